@@ -55,9 +55,13 @@ def normalise_month(value: str | Column) -> Column:
     """``202403`` or ``Mar24`` as ``2024-03``; anything else is NULL."""
     text = F.trim(col(value).cast("string"))
     numeric = F.when(text.rlike(r"^\d{6}$"), F.try_to_timestamp(text, F.lit("yyyyMM")))
+    # two-digit years from 69 on are of the last century
+    century = F.when(F.substring(text, 4, 2) >= "69", "19").otherwise("20")
     named = F.when(
         text.rlike(r"^[A-Za-z]{3}\d{2}$"),
-        F.try_to_timestamp(F.initcap(text), F.lit("MMMyy")),
+        F.try_to_timestamp(
+            F.concat(F.initcap(F.substring(text, 1, 3)), century, F.substring(text, 4, 2)), F.lit("MMMyyyy")
+        ),
     )
     return F.date_format(F.coalesce(numeric, named), "yyyy-MM")
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from colgauge.functions.scalars import col
 from colgauge.operators.order import quantiles, running_totals
+from colgauge.session import materialise
 
 GROUP = ("variant", "split")
 NOT_AN_OUTCOME = -9999
@@ -24,7 +25,7 @@ def score_blocks(pred: DataFrame, group: Sequence[str] = GROUP, y: str = "y", sc
     """Rows summed per score, in falling score order.
 
     ``n`` and ``sy`` cover rows with an outcome; ``m``, ``my`` and ``mp`` leave out
-    the not-an-outcome code as well.
+    the not-an-outcome code as well; ``rows`` and ``sp`` cover every row.
     """
     outcome = col(y).cast("double")
     valid = outcome.isNotNull() & (outcome != NOT_AN_OUTCOME)
@@ -35,8 +36,10 @@ def score_blocks(pred: DataFrame, group: Sequence[str] = GROUP, y: str = "y", sc
         F.count_if(valid).alias("m"),
         F.coalesce(F.sum(F.when(valid, outcome)), zero).alias("my"),
         F.coalesce(F.sum(F.when(valid, col(score).cast("double"))), zero).alias("mp"),
+        F.count(F.lit(1)).alias("rows"),
+        F.coalesce(F.sum(col(score).cast("double")), zero).alias("sp"),
     )
-    return running_totals(blocks, group, "value", ["n", "sy", "m"], descending=True)
+    return running_totals(blocks, group, "value", ["n", "sy", "m", "my", "mp", "rows", "sp"], descending=True)
 
 
 def _area(blocks: DataFrame, group: Sequence[str], name: str) -> DataFrame:
@@ -77,9 +80,10 @@ def top_sums(
 
     ``cuts`` maps a name to the counter it counts in (``n`` or ``m``) and its k, which
     may use ``n_total`` and ``m_total``. Gives ``{name}_y`` and ``{name}_p`` per group.
-    Only the one block each cut falls inside is ever looked at row by row.
+    Only the one block each cut falls inside is ever looked at row by row; where the
+    cuts fall is written out first, one row per group, as the rows are read by it.
     """
-    sums = {"n": ("sy", "sy"), "m": ("my", "mp")}
+    sums = {"n": ("sy", "sp"), "m": ("my", "mp")}
     whole = []
     for name, (counter, k) in cuts.items():
         n, before = F.col(counter), F.col(f"{counter}_before")
@@ -87,42 +91,45 @@ def top_sums(
             share = F.greatest(F.lit(0.0), F.least(n, k - before).cast("double")) / n
         else:
             share = (before + n <= k).cast("double")
+            inside = F.struct(F.col("value").alias("_score"), (k - before).cast("bigint").alias("need"))
+            whole.append(F.max(F.when((before < k) & (k < before + n), inside)).alias(f"_in_{name}"))
         for label, column in zip(("y", "p"), sums[counter]):
             whole.append(F.sum(F.when(n > 0, share * F.col(column)).otherwise(0.0)).alias(f"{name}_{label}"))
-    totals = [F.max("n_total").alias("n_total"), F.max("m_total").alias("m_total"),
-              F.sum("sy").alias("sy_total"), F.sum("my").alias("my_total"), F.sum("mp").alias("mp_total")]
+    totals = [F.max("n_total").alias("n_total"), F.max("m_total").alias("m_total"), F.sum("rows").alias("rows_total"),
+              *[F.sum(c).alias(f"{c}_total") for c in ("sy", "my", "mp", "sp")]]
     out = blocks.groupBy(*group).agg(*whole, *totals)
     if tie is None:
         return out
-    split = blocks.select(*group, F.col("value").alias("_score"), F.explode(F.array(*[
-        F.struct(F.lit(name).alias("cut"), F.lit(counter).alias("counter"),
-                 (k - F.col(f"{counter}_before")).cast("bigint").alias("need"), F.col(counter).cast("bigint").alias("size"))
-        for name, (counter, k) in cuts.items()
-    ])).alias("_c")).select(*[col(g).alias(f"_{g}") for g in group], "_score", "_c.*").filter("need > 0 AND need < size")
+    out = materialise(out, "cuts")
+    inner = [f"_{g}" for g in group]
+    split = out.select(*[col(g).alias(f"_{g}") for g in group], F.explode(F.array(*[
+        F.when(F.col(f"_in_{name}").isNotNull(), F.struct(
+            F.lit(name).alias("cut"), F.lit(counter).alias("counter"),
+            F.col(f"_in_{name}._score").alias("_score"), F.col(f"_in_{name}.need").alias("need")))
+        for name, (counter, _) in cuts.items()
+    ])).alias("_c")).filter("_c IS NOT NULL").select(*inner, "_c.*")
     outcome = col(y).cast("double")
     counted = F.when(F.col("counter") == "n", outcome.isNotNull()).otherwise(
         outcome.isNotNull() & (outcome != NOT_AN_OUTCOME)
     )
     same = [col(g) == col(f"_{g}") for g in group]
-    rows = (
-        pred.join(split, [*same, col(score).cast("double").eqNullSafe(F.col("_score"))])
-        .filter(counted)
-        .select(*group, "cut", "need", col(tie).alias("_tie"), outcome.alias("_y"), F.col("_score").alias("_p"))
+    rows = pred.join(split, [*same, col(score).cast("double").eqNullSafe(F.col("_score"))]).filter(counted)
+    by_tie = rows.groupBy(*inner, "cut", "need", col(tie).alias("_tie")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(outcome).alias("_y"),
+        F.sum(F.coalesce("_score", F.lit(0.0))).alias("_p")
     )
-    inner = [*group, "cut"]
-    by_tie = rows.groupBy(*inner, "need", "_tie").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("_y").alias("_y"), F.sum("_p").alias("_p")
-    )
-    picked = running_totals(by_tie, inner, "_tie", ["n"]).filter(F.col("n_before") < F.col("need"))
-    extra = picked.groupBy(*group).agg(*[
+    order_of = [*inner, "cut", "need"]
+    picked = running_totals(by_tie, order_of, "_tie", ["n", "_y", "_p"]).filter(F.col("n_before") < F.col("need"))
+    extra = picked.groupBy(*inner).agg(*[
         F.sum(F.when(F.col("cut") == name, F.col(f"_{label}"))).alias(f"_extra_{name}_{label}")
         for name in cuts for label in ("y", "p")
     ])
-    joined = out.join(extra, list(group), "left")
-    return joined.withColumns({
-        f"{name}_{label}": F.col(f"{name}_{label}") + F.coalesce(F.col(f"_extra_{name}_{label}"), F.lit(0.0))
-        for name in cuts for label in ("y", "p")
-    }).drop(*[f"_extra_{name}_{label}" for name in cuts for label in ("y", "p")])
+    joined = out.join(extra, [col(g) == col(f"_{g}") for g in group], "left")
+    names = [f"{name}_{label}" for name in cuts for label in ("y", "p")]
+    kept = [c for c in out.columns if c not in names and not c.startswith("_in_")]
+    return joined.select(*kept, *[
+        (F.col(n) + F.coalesce(F.col(f"_extra_{n}"), F.lit(0.0))).alias(n) for n in names
+    ])
 
 
 def _capture_cuts(shares: Sequence[float]) -> dict[str, tuple[str, Column]]:
@@ -180,17 +187,14 @@ def evaluate_predictions(
     blocks = score_blocks(pred, group, y, score)
     cuts = {**_capture_cuts(shares), **_calibration_cuts(bins)}
     cut = top_sums(pred, blocks, cuts, group, y, score, tie).select(
-        *group, _calibration_column(bins), *_capture_columns(shares)
-    )
-    means = pred.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.avg(col(y).cast("double")).alias("actual_mean"),
-        F.avg(col(score).cast("double")).alias("pred_mean"),
+        *group, F.col("rows_total").alias("n_rows"), _calibration_column(bins),
+        F.try_divide(F.col("sy_total"), F.col("n_total")).alias("actual_mean"),
+        F.try_divide(F.col("sp_total"), F.col("rows_total")).alias("pred_mean"), *_capture_columns(shares),
     )
     gini = adjusted_gini(pred, group, y, score, blocks)
-    names = list(group)
-    return means.join(gini, names, "left").join(cut, names, "left").select(
-        *names, "n_rows", "adj_gini", "accuracy", "actual_mean", "pred_mean",
-        *[f"capture_rate_{p:g}" for p in shares],
+    return cut.join(gini, list(group), "left").select(
+        *group, "n_rows", "adj_gini", "accuracy", "actual_mean", "pred_mean",
+        *[f"`capture_rate_{p:g}`" for p in shares],
     )
 
 

@@ -102,10 +102,11 @@ def running_totals(
         .orderBy(key)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    for n in sums:
-        earlier = F.coalesce(F.sum(n).over(inside), F.lit(0))
-        b = b.withColumn(f"{n}_before", F.col(f"{n}_carry") + earlier)
-    return b.drop("_bucket", *[f"{n}_carry" for n in sums])
+    return b.select(
+        *blocks.columns,
+        *[(F.col(f"{n}_carry") + F.coalesce(F.sum(n).over(inside), F.lit(0))).alias(f"{n}_before") for n in sums],
+        *[f"{n}_total" for n in sums],
+    )
 
 
 def positions(
@@ -149,7 +150,9 @@ def value_at(blocks: DataFrame, group: Sequence[str], requests: Mapping[str, Col
         name: F.max(F.when((before <= at) & (at < before + n), F.col("value"))).alias(name)
         for name, at in requests.items()
     }
-    return blocks.groupBy(*group).agg(F.max("n_total").alias("n_total"), *hits.values())
+    return blocks.groupBy(*group).agg(
+        F.max("n_total").alias("n_total"), F.count(F.lit(1)).alias("n_levels"), *hits.values()
+    )
 
 
 def quantiles(
@@ -160,9 +163,9 @@ def quantiles(
 ) -> DataFrame:
     """Exact quantiles with linear interpolation: one row per (by, feature).
 
-    ``values`` holds one number per probability, NULLs and nothing else left out of
-    the order. No sample and no sketch: the two neighbouring values of each
-    position are looked up in the running counts.
+    ``values`` holds one number per probability, over the values that are not NULL;
+    ``n_levels`` counts the distinct ones. No sample and no sketch: the two values
+    around each position are looked up in the running counts.
     """
     group = [*by, "feature"]
     blocks = running_totals(value_counts(melt(df, by, columns), group), group, "value", ["n"])
@@ -176,7 +179,7 @@ def quantiles(
         at = (F.col("n_total") - 1) * F.lit(float(p))
         lo, hi = F.col(f"lo{i}"), F.col(f"hi{i}")
         interpolated.append(lo + (hi - lo) * (at - F.floor(at)))
-    return found.select(*group, "n_total", F.array(*interpolated).alias("values"))
+    return found.select(*group, "n_total", "n_levels", F.array(*interpolated).alias("values"))
 
 
 def attach_by_value(

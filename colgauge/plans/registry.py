@@ -21,7 +21,9 @@ class Tables:
         return f"{self.folder}/{name}.parquet"
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name))
+        table = self.spark.read.parquet(self.path(name))
+        setattr(self, name, table)
+        return table
 
 
 def query(name: str, sql: str | None = None):

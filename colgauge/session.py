@@ -49,3 +49,14 @@ def durable(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a reliable checkpoint."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back.
+
+    What follows starts from files of known size: nothing upstream runs twice, a lost
+    executor costs no recomputation, and joins see how large the table really is.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
