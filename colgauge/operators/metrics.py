@@ -30,10 +30,11 @@ def score_blocks(pred: DataFrame, group: Sequence[str] = GROUP, y: str = "y", sc
     outcome = col(y).cast("double")
     valid = outcome.isNotNull() & (outcome != NOT_AN_OUTCOME)
     zero = F.lit(0.0)
-    blocks = pred.groupBy(*group, col(score).cast("double").alias("value")).agg(
+    scored = pred.withColumn("value", col(score).cast("double"))
+    blocks = scored.groupBy(*group, "value").agg(
         F.count(outcome).alias("n"),
         F.coalesce(F.sum(outcome), zero).alias("sy"),
-        F.count_if(valid).alias("m"),
+        F.count(F.when(valid, F.lit(1))).alias("m"),
         F.coalesce(F.sum(F.when(valid, outcome)), zero).alias("my"),
         F.coalesce(F.sum(F.when(valid, col(score).cast("double"))), zero).alias("mp"),
         F.count(F.lit(1)).alias("rows"),
@@ -42,29 +43,41 @@ def score_blocks(pred: DataFrame, group: Sequence[str] = GROUP, y: str = "y", sc
     return running_totals(blocks, group, "value", ["n", "sy", "m", "my", "mp", "rows", "sp"], descending=True)
 
 
-def _area(blocks: DataFrame, group: Sequence[str], name: str) -> DataFrame:
-    """2 x area under the cumulative share of y, less 1; equal values share positions."""
+def _cumulated() -> Column:
+    """The running total of y summed over rows; rows of equal value share positions."""
     n, s = F.col("n"), F.col("sy")
-    out = blocks.groupBy(*group).agg(
-        F.sum(n * F.col("sy_before") + s * (n + 1) / 2).alias("_c"),
-        F.sum(s).alias("_s"), F.sum(n).alias("_n"),
+    return F.sum(n * F.col("sy_before") + s * (n + 1) / 2)
+
+
+def _curve(cumulated: str, total: str, n: str) -> Column:
+    """2 x area under the cumulative share of y, less 1."""
+    curve = (2 * F.col(cumulated) / F.col(total) - 1) / F.col(n) - 1
+    return F.when((F.col(n) > 0) & (F.col(total) != 0), curve)
+
+
+def _perfect(pred: DataFrame, group: Sequence[str], y: str) -> DataFrame:
+    """(group, _x2): the curve of the order by y itself."""
+    outcomes = pred.filter(col(y).isNotNull()).groupBy(*group, col(y).cast("double").alias("value")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(col(y).cast("double")).alias("sy")
     )
-    curve = (2 * F.col("_c") / F.col("_s") - 1) / F.col("_n") - 1
-    return out.select(*group, F.when((F.col("_n") > 0) & (F.col("_s") != 0), curve).alias(name))
+    blocks = running_totals(outcomes, group, "value", ["n", "sy"], descending=True)
+    out = blocks.groupBy(*group).agg(_cumulated().alias("_c"), F.max("sy_total").alias("_s"), F.max("n_total").alias("_n"))
+    return out.select(*group, _curve("_c", "_s", "_n").alias("_x2"))
+
+
+def _gini(curve: Column) -> Column:
+    return F.when(F.col("_x2") != 0, curve / F.col("_x2")).alias("adj_gini")
 
 
 def adjusted_gini(
-    pred: DataFrame, group: Sequence[str] = GROUP, y: str = "y", score: str = "score",
-    blocks: DataFrame | None = None,
+    pred: DataFrame, group: Sequence[str] = GROUP, y: str = "y", score: str = "score"
 ) -> DataFrame:
     """The Gini of the score order over that of a perfect order: (group, adj_gini)."""
-    blocks = score_blocks(pred, group, y, score) if blocks is None else blocks
-    outcomes = pred.filter(col(y).isNotNull()).groupBy(*group, col(y).cast("double").alias("value")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(col(y).cast("double")).alias("sy")
+    areas = score_blocks(pred, group, y, score).groupBy(*group).agg(
+        _cumulated().alias("_c"), F.max("sy_total").alias("_s"), F.max("n_total").alias("_n")
     )
-    perfect = running_totals(outcomes, group, "value", ["sy"], descending=True)
-    both = _area(blocks, group, "_x1").join(_area(perfect, group, "_x2"), list(group), "left")
-    return both.select(*group, F.when(F.col("_x2") != 0, F.col("_x1") / F.col("_x2")).alias("adj_gini"))
+    both = areas.join(_perfect(pred, group, y), list(group), "left")
+    return both.select(*group, _gini(_curve("_c", "_s", "_n")))
 
 
 def top_sums(
@@ -83,31 +96,47 @@ def top_sums(
     Only the one block each cut falls inside is ever looked at row by row; where the
     cuts fall is written out first, one row per group, as the rows are read by it.
     """
-    sums = {"n": ("sy", "sp"), "m": ("my", "mp")}
-    whole = []
-    for name, (counter, k) in cuts.items():
-        n, before = F.col(counter), F.col(f"{counter}_before")
+    columns = {"n": ("sy", "sp"), "m": ("my", "mp")}
+    positions = F.array(*[
+        F.struct(
+            F.lit(name).alias("cut"), F.lit(counter).alias("counter"),
+            (k - F.col(f"{counter}_before")).cast("double").alias("need"), F.col(counter).cast("double").alias("size"),
+            F.col("value").alias("score"),
+            *[F.col(f"{c}_before").alias(f"before_{label}") for label, c in zip(("y", "p"), columns[counter])],
+            *[F.col(c).alias(f"all_{label}") for label, c in zip(("y", "p"), columns[counter])],
+        )
+        for name, (counter, k) in cuts.items()
+    ])
+    # Each cut lies in one block, so a group gathers at most one entry per cut.
+    held = F.filter(positions, lambda c: (c["need"] > 0) & (c["need"] <= c["size"]))
+    # Rows are summed here rather than read off the running totals: what one side of
+    # the running totals leaves unused would keep both from sharing their shuffle.
+    totals = [F.max(f"{c}_total").alias(f"{c}_total") for c in ("n", "m", "sy", "my", "mp", "sp")]
+    totals += [F.sum("rows").alias("rows_total"), _cumulated().alias("cumulated")]
+    out = blocks.withColumn("_held", held).groupBy(*group).agg(
+        *totals, F.flatten(F.collect_list(F.when(F.size("_held") > 0, F.col("_held")))).alias("_cuts")
+    )
+    partial = lambda c: (c["need"] < c["size"])
+
+    def up_to(label: str, c: Column) -> Column:
         if tie is None:
-            share = F.greatest(F.lit(0.0), F.least(n, k - before).cast("double")) / n
-        else:
-            share = (before + n <= k).cast("double")
-            inside = F.struct(F.col("value").alias("_score"), (k - before).cast("bigint").alias("need"))
-            whole.append(F.max(F.when((before < k) & (k < before + n), inside)).alias(f"_in_{name}"))
-        for label, column in zip(("y", "p"), sums[counter]):
-            whole.append(F.sum(F.when(n > 0, share * F.col(column)).otherwise(0.0)).alias(f"{name}_{label}"))
-    totals = [F.max("n_total").alias("n_total"), F.max("m_total").alias("m_total"), F.sum("rows").alias("rows_total"),
-              *[F.sum(c).alias(f"{c}_total") for c in ("sy", "my", "mp", "sp")]]
-    out = blocks.groupBy(*group).agg(*whole, *totals)
+            return c[f"before_{label}"] + c["need"] / c["size"] * c[f"all_{label}"]
+        return c[f"before_{label}"] + F.when(partial(c), F.lit(0.0)).otherwise(c[f"all_{label}"])
+
+    found = F.map_from_entries(F.transform(
+        "_cuts", lambda c: F.struct(c["cut"], F.struct(up_to("y", c).alias("y"), up_to("p", c).alias("p")))
+    ))
+    value = lambda source, name, label: F.coalesce(F.col(source)[name][label], F.lit(0.0))
+    kept = [*group, *[f"{c}_total" for c in ("n", "m", "rows", "sy", "my", "mp", "sp")], "cumulated"]
     if tie is None:
-        return out
+        return out.withColumn("_found", found).select(
+            *kept, *[value("_found", name, label).alias(f"{name}_{label}") for name in cuts for label in ("y", "p")]
+        )
     out = materialise(out, "cuts")
     inner = [f"_{g}" for g in group]
-    split = out.select(*[col(g).alias(f"_{g}") for g in group], F.explode(F.array(*[
-        F.when(F.col(f"_in_{name}").isNotNull(), F.struct(
-            F.lit(name).alias("cut"), F.lit(counter).alias("counter"),
-            F.col(f"_in_{name}._score").alias("_score"), F.col(f"_in_{name}.need").alias("need")))
-        for name, (counter, _) in cuts.items()
-    ])).alias("_c")).filter("_c IS NOT NULL").select(*inner, "_c.*")
+    split = out.select(
+        *[col(g).alias(f"_{g}") for g in group], F.explode(F.filter("_cuts", partial)).alias("_c")
+    ).select(*inner, "_c.cut", "_c.counter", "_c.need", F.col("_c.score").alias("_score"))
     outcome = col(y).cast("double")
     counted = F.when(F.col("counter") == "n", outcome.isNotNull()).otherwise(
         outcome.isNotNull() & (outcome != NOT_AN_OUTCOME)
@@ -118,17 +147,17 @@ def top_sums(
         F.count(F.lit(1)).alias("n"), F.sum(outcome).alias("_y"),
         F.sum(F.coalesce("_score", F.lit(0.0))).alias("_p")
     )
-    order_of = [*inner, "cut", "need"]
-    picked = running_totals(by_tie, order_of, "_tie", ["n", "_y", "_p"]).filter(F.col("n_before") < F.col("need"))
-    extra = picked.groupBy(*inner).agg(*[
-        F.sum(F.when(F.col("cut") == name, F.col(f"_{label}"))).alias(f"_extra_{name}_{label}")
-        for name in cuts for label in ("y", "p")
-    ])
-    joined = out.join(extra, [col(g) == col(f"_{g}") for g in group], "left")
-    names = [f"{name}_{label}" for name in cuts for label in ("y", "p")]
-    kept = [c for c in out.columns if c not in names and not c.startswith("_in_")]
+    picked = running_totals(by_tie, [*inner, "cut", "need"], "_tie", ["n", "_y", "_p"]).filter(
+        F.col("n_before") < F.col("need")
+    )
+    sums = picked.groupBy(*inner, "cut").agg(F.sum("_y").alias("y"), F.sum("_p").alias("p"))
+    extra = sums.groupBy(*inner).agg(
+        F.map_from_entries(F.collect_list(F.struct("cut", F.struct("y", "p")))).alias("_extra")
+    )
+    joined = out.withColumn("_found", found).join(extra, same, "left")
     return joined.select(*kept, *[
-        (F.col(n) + F.coalesce(F.col(f"_extra_{n}"), F.lit(0.0))).alias(n) for n in names
+        (value("_found", name, label) + value("_extra", name, label)).alias(f"{name}_{label}")
+        for name in cuts for label in ("y", "p")
     ])
 
 
@@ -186,16 +215,13 @@ def evaluate_predictions(
     """The full metric bundle of every variant and split, one row each."""
     blocks = score_blocks(pred, group, y, score)
     cuts = {**_capture_cuts(shares), **_calibration_cuts(bins)}
-    cut = top_sums(pred, blocks, cuts, group, y, score, tie).select(
-        *group, F.col("rows_total").alias("n_rows"), _calibration_column(bins),
+    found = top_sums(pred, blocks, cuts, group, y, score, tie)
+    return found.join(_perfect(pred, group, y), list(group), "left").select(
+        *group, F.col("rows_total").alias("n_rows"),
+        _gini(_curve("cumulated", "sy_total", "n_total")), _calibration_column(bins),
         F.try_divide(F.col("sy_total"), F.col("n_total")).alias("actual_mean"),
         F.try_divide(F.col("sp_total"), F.col("rows_total")).alias("pred_mean"), *_capture_columns(shares),
     )
-    gini = adjusted_gini(pred, group, y, score, blocks)
-    return cut.join(gini, list(group), "left").select(
-        *group, "n_rows", "adj_gini", "accuracy", "actual_mean", "pred_mean",
-        *[f"`capture_rate_{p:g}`" for p in shares],
-    )
 
 
 def gini_gain(challenger: str | Column, champion: str | Column) -> tuple[Column, Column]:

@@ -59,9 +59,13 @@ def carry_in(
 
     ``{name}_carry`` is the sum (or maximum) over every earlier bucket, and with
     ``totals`` ``{name}_total`` is the sum over the whole group. Only the table of
-    bucket totals is sorted.
+    bucket totals is sorted. Rows without a group are left out.
     """
     sums, maxima = dict(sums or {}), dict(maxima or {})
+    # Said before both uses of ``df``, so that the join adds no condition to one side
+    # only and the shuffle that made ``df`` is run once and read twice.
+    for g in group:
+        df = df.filter(col(g).isNotNull())
     per_bucket = df.groupBy(*group, bucket).agg(
         *[F.sum(c).alias(f"_s_{n}") for n, c in sums.items()],
         *[F.max(c).alias(f"_m_{n}") for n, c in maxima.items()],

@@ -196,11 +196,11 @@ def variable_gini(
         .groupBy(*group, "value")
         .agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
     )
-    blocks = running_totals(filled, group, "value", ["n"])
+    blocks = running_totals(filled, group, "value", ["n", "pos"])
     rank = F.col("n_before") + (F.col("n") + 1) / 2
     sums = blocks.groupBy(*group).agg(
-        F.sum(F.col("pos") * rank).alias("_ranks"), F.sum("pos").cast("double").alias("_n1"),
-        F.sum("n").cast("double").alias("_n"), F.count(F.lit(1)).alias("_levels"),
+        F.sum(F.col("pos") * rank).alias("_ranks"), F.max("pos_total").cast("double").alias("_n1"),
+        F.max("n_total").cast("double").alias("_n"), F.count(F.lit(1)).alias("_levels"),
     )
     n1, n0 = F.col("_n1"), F.col("_n") - F.col("_n1")
     auc = (F.col("_ranks") - n1 * (n1 + 1) / 2) / (n1 * n0)

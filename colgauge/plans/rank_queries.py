@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from colgauge.operators import binning, cases, metrics, order, ranks
+from colgauge.session import materialise
 from colgauge.plans.registry import BASE_SQL, MODEL_SQL, Tables, model_rows, query, rnd
 
 # ---- feature rows: line items summed to orders, with gaps where a sum is empty ----
@@ -243,12 +244,13 @@ PRED_SQL = f"""{FEATURE_SQL}, pred AS ({' UNION ALL '.join(
 
 
 def predictions(t: Tables) -> DataFrame:
-    """Long predictions, one row per variant and model row."""
+    """Long predictions, one row per variant and model row, kept as a written table."""
     f = feature_rows(t)
     scores = F.array(*[
         F.struct(F.lit(v).alias("variant"), F.coalesce(F.expr(s), F.lit(0.0)).alias("score")) for v, s in SCORES.items()
     ])
-    return f.select("split", "id", "y", F.explode(scores).alias("_s")).select("_s.variant", "split", "id", "y", "_s.score")
+    long = f.select("split", "id", "y", F.explode(scores).alias("_s")).select("_s.variant", "split", "id", "y", "_s.score")
+    return materialise(long, "predictions")
 
 
 GINI_SQL = """blk AS (SELECT variant, split, score, CAST(count(*) AS DOUBLE) AS n, CAST(sum(y) AS DOUBLE) AS s FROM pred GROUP BY ALL),
