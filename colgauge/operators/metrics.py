@@ -96,19 +96,24 @@ def top_sums(
     Only the one block each cut falls inside is ever looked at row by row; where the
     cuts fall is written out first, one row per group, as the rows are read by it.
     """
-    columns = {"n": ("sy", "sp"), "m": ("my", "mp")}
-    positions = F.array(*[
-        F.struct(
-            F.lit(name).alias("cut"), F.lit(counter).alias("counter"),
-            (k - F.col(f"{counter}_before")).cast("double").alias("need"), F.col(counter).cast("double").alias("size"),
-            F.col("value").alias("score"),
-            *[F.col(f"{c}_before").alias(f"before_{label}") for label, c in zip(("y", "p"), columns[counter])],
-            *[F.col(c).alias(f"all_{label}") for label, c in zip(("y", "p"), columns[counter])],
-        )
+    def pick(c: Column, n_column: str, m_column: str) -> Column:
+        return F.when(c["counter"] == "n", F.col(n_column)).otherwise(F.col(m_column))
+
+    def inside(c: Column) -> Column:
+        need = c["k"] - pick(c, "n_before", "m_before")
+        return (need > 0) & (need <= pick(c, "n", "m"))
+
+    wanted = F.array(*[
+        F.struct(F.lit(name).alias("cut"), F.lit(counter).alias("counter"), k.cast("double").alias("k"))
         for name, (counter, k) in cuts.items()
     ])
     # Each cut lies in one block, so a group gathers at most one entry per cut.
-    held = F.filter(positions, lambda c: (c["need"] > 0) & (c["need"] <= c["size"]))
+    held = F.transform(F.filter(wanted, inside), lambda c: F.struct(
+        c["cut"].alias("cut"), c["counter"].alias("counter"), F.col("value").alias("score"),
+        (c["k"] - pick(c, "n_before", "m_before")).alias("need"), pick(c, "n", "m").cast("double").alias("size"),
+        pick(c, "sy_before", "my_before").alias("before_y"), pick(c, "sy", "my").alias("all_y"),
+        pick(c, "sp_before", "mp_before").alias("before_p"), pick(c, "sp", "mp").alias("all_p"),
+    ))
     # Rows are summed here rather than read off the running totals: what one side of
     # the running totals leaves unused would keep both from sharing their shuffle.
     totals = [F.max(f"{c}_total").alias(f"{c}_total") for c in ("n", "m", "sy", "my", "mp", "sp")]

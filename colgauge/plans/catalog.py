@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colgauge.plans import linkage_queries, rank_queries, table_queries  # noqa: F401
+from colgauge.plans import linkage_queries, model_queries, rank_queries, table_queries  # noqa: F401
 from colgauge.plans.registry import QUERIES, SQL, Query
 
 
