@@ -83,7 +83,7 @@ def adjusted_gini(
 def top_sums(
     pred: DataFrame,
     blocks: DataFrame,
-    cuts: Mapping[str, tuple[str, Column]],
+    cuts: Mapping[str, tuple[str, str]],
     group: Sequence[str] = GROUP,
     y: str = "y",
     score: str = "score",
@@ -91,29 +91,23 @@ def top_sums(
 ) -> DataFrame:
     """Sums over the first k rows in falling score order, for several k at once.
 
-    ``cuts`` maps a name to the counter it counts in (``n`` or ``m``) and its k, which
-    may use ``n_total`` and ``m_total``. Gives ``{name}_y`` and ``{name}_p`` per group.
+    ``cuts`` maps a name to the counter it counts in (``n`` or ``m``) and its k, an
+    expression that may use ``n_total`` and ``m_total``. Gives ``{name}_y`` and ``{name}_p`` per group.
     Only the one block each cut falls inside is ever looked at row by row; where the
     cuts fall is written out first, one row per group, as the rows are read by it.
     """
-    def pick(c: Column, n_column: str, m_column: str) -> Column:
-        return F.when(c["counter"] == "n", F.col(n_column)).otherwise(F.col(m_column))
-
-    def inside(c: Column) -> Column:
-        need = c["k"] - pick(c, "n_before", "m_before")
-        return (need > 0) & (need <= pick(c, "n", "m"))
-
-    wanted = F.array(*[
-        F.struct(F.lit(name).alias("cut"), F.lit(counter).alias("counter"), k.cast("double").alias("k"))
-        for name, (counter, k) in cuts.items()
-    ])
+    wanted = ", ".join(
+        f"named_struct('cut', '{name}', 'counter', '{counter}', 'k', CAST({k} AS DOUBLE))" for name, (counter, k) in cuts.items()
+    )
+    pick = lambda n, m: f"IF(c.counter = 'n', {n}, {m})"
+    need = f"(c.k - {pick('n_before', 'm_before')})"
     # Each cut lies in one block, so a group gathers at most one entry per cut.
-    held = F.transform(F.filter(wanted, inside), lambda c: F.struct(
-        c["cut"].alias("cut"), c["counter"].alias("counter"), F.col("value").alias("score"),
-        (c["k"] - pick(c, "n_before", "m_before")).alias("need"), pick(c, "n", "m").cast("double").alias("size"),
-        pick(c, "sy_before", "my_before").alias("before_y"), pick(c, "sy", "my").alias("all_y"),
-        pick(c, "sp_before", "mp_before").alias("before_p"), pick(c, "sp", "mp").alias("all_p"),
-    ))
+    held = F.expr(
+        f"transform(filter(array({wanted}), c -> {need} > 0 AND {need} <= {pick('n', 'm')}), c -> named_struct("
+        f"'cut', c.cut, 'counter', c.counter, 'score', value, 'need', {need}, 'size', CAST({pick('n', 'm')} AS DOUBLE), "
+        f"'before_y', {pick('sy_before', 'my_before')}, 'all_y', {pick('sy', 'my')}, "
+        f"'before_p', {pick('sp_before', 'mp_before')}, 'all_p', {pick('sp', 'mp')}))"
+    )
     # Rows are summed here rather than read off the running totals: what one side of
     # the running totals leaves unused would keep both from sharing their shuffle.
     totals = [F.max(f"{c}_total").alias(f"{c}_total") for c in ("n", "m", "sy", "my", "mp", "sp")]
@@ -121,26 +115,21 @@ def top_sums(
     out = blocks.withColumn("_held", held).groupBy(*group).agg(
         *totals, F.flatten(F.collect_list(F.when(F.size("_held") > 0, F.col("_held")))).alias("_cuts")
     )
-    partial = lambda c: (c["need"] < c["size"])
-
-    def up_to(label: str, c: Column) -> Column:
-        if tie is None:
-            return c[f"before_{label}"] + c["need"] / c["size"] * c[f"all_{label}"]
-        return c[f"before_{label}"] + F.when(partial(c), F.lit(0.0)).otherwise(c[f"all_{label}"])
-
-    found = F.map_from_entries(F.transform(
-        "_cuts", lambda c: F.struct(c["cut"], F.struct(up_to("y", c).alias("y"), up_to("p", c).alias("p")))
-    ))
-    value = lambda source, name, label: F.coalesce(F.col(source)[name][label], F.lit(0.0))
+    inside = "c.need / c.size * c.all_{0}" if tie is None else "IF(c.need < c.size, 0D, c.all_{0})"
+    found = F.expr(
+        "map_from_entries(transform(_cuts, c -> struct(c.cut, named_struct("
+        f"'y', c.before_y + {inside.format('y')}, 'p', c.before_p + {inside.format('p')}))))"
+    )
+    value = lambda source, name, label: f"coalesce({source}['{name}'].{label}, 0D)"
     kept = [*group, *[f"{c}_total" for c in ("n", "m", "rows", "sy", "my", "mp", "sp")], "cumulated"]
     if tie is None:
         return out.withColumn("_found", found).select(
-            *kept, *[value("_found", name, label).alias(f"{name}_{label}") for name in cuts for label in ("y", "p")]
+            *kept, *[F.expr(f"{value('_found', name, label)} AS {name}_{label}") for name in cuts for label in ("y", "p")]
         )
     out = materialise(out, "cuts")
     inner = [f"_{g}" for g in group]
     split = out.select(
-        *[col(g).alias(f"_{g}") for g in group], F.explode(F.filter("_cuts", partial)).alias("_c")
+        *[col(g).alias(f"_{g}") for g in group], F.expr("explode(filter(_cuts, c -> c.need < c.size)) AS _c")
     ).select(*inner, "_c.cut", "_c.counter", "_c.need", F.col("_c.score").alias("_score"))
     outcome = col(y).cast("double")
     counted = F.when(F.col("counter") == "n", outcome.isNotNull()).otherwise(
@@ -161,13 +150,13 @@ def top_sums(
     )
     joined = out.withColumn("_found", found).join(extra, same, "left")
     return joined.select(*kept, *[
-        (value("_found", name, label) + value("_extra", name, label)).alias(f"{name}_{label}")
+        F.expr(f"{value('_found', name, label)} + {value('_extra', name, label)} AS {name}_{label}")
         for name in cuts for label in ("y", "p")
     ])
 
 
-def _capture_cuts(shares: Sequence[float]) -> dict[str, tuple[str, Column]]:
-    return {f"c{i}": ("n", F.floor(F.col("n_total") * F.lit(float(p)))) for i, p in enumerate(shares)}
+def _capture_cuts(shares: Sequence[float]) -> dict[str, tuple[str, str]]:
+    return {f"c{i}": ("n", f"floor(n_total * {float(p)!r}D)") for i, p in enumerate(shares)}
 
 
 def _capture_columns(shares: Sequence[float]) -> list[Column]:
@@ -177,22 +166,24 @@ def _capture_columns(shares: Sequence[float]) -> list[Column]:
     ]
 
 
-def _calibration_cuts(bins: int) -> dict[str, tuple[str, Column]]:
-    return {f"g{i}": ("m", F.ceil(F.lit(i) * F.col("m_total") / F.lit(bins))) for i in range(1, bins)}
+def _calibration_cuts(bins: int) -> dict[str, tuple[str, str]]:
+    return {f"g{i}": ("m", f"ceil({i} * m_total / {bins})") for i in range(1, bins)}
 
 
 def _calibration_column(bins: int) -> Column:
-    zero = F.lit(0.0)
-    y = [zero, *[F.col(f"g{i}_y") for i in range(1, bins)], F.col("my_total")]
-    p = [zero, *[F.col(f"g{i}_p") for i in range(1, bins)], F.col("mp_total")]
-    k = [F.lit(0), *[F.ceil(F.lit(i) * F.col("m_total") / F.lit(bins)) for i in range(1, bins)], F.col("m_total")]
-    missed, actual = zero, zero
-    for g in range(bins):
-        size = k[g + 1] - k[g]
-        mean_y, mean_p = (y[g + 1] - y[g]) / size, (p[g + 1] - p[g]) / size
-        missed = missed + F.when(size > 0, F.abs(mean_p - mean_y)).otherwise(zero)
-        actual = actual + F.when(size > 0, F.abs(mean_y)).otherwise(zero)
-    return F.when((F.col("m_total") > 0) & (actual != 0), 1 - missed / actual).alias("accuracy")
+    """Written as one SQL expression: ``bins`` groups would be hundreds of column calls."""
+    edges = range(1, bins)
+    y = f"array(0D, {', '.join([*[f'g{i}_y' for i in edges], 'my_total'])})"
+    p = f"array(0D, {', '.join([*[f'g{i}_p' for i in edges], 'mp_total'])})"
+    k = f"array(0L, {', '.join([*[f'ceil({i} * m_total / {bins})' for i in edges], 'm_total'])})"
+    groups = (
+        f"transform(sequence(1, {bins}), i -> named_struct('n', element_at({k}, i + 1) - element_at({k}, i), "
+        f"'y', element_at({y}, i + 1) - element_at({y}, i), 'p', element_at({p}, i + 1) - element_at({p}, i)))"
+    )
+    means = f"transform(filter({groups}, g -> g.n > 0), g -> named_struct('y', g.y / g.n, 'p', g.p / g.n))"
+    missed = f"aggregate({means}, 0D, (t, g) -> t + abs(g.p - g.y))"
+    actual = f"aggregate({means}, 0D, (t, g) -> t + abs(g.y))"
+    return F.expr(f"CASE WHEN m_total > 0 AND {actual} != 0 THEN 1 - {missed} / {actual} END AS accuracy")
 
 
 def capture_rate(
