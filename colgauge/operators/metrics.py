@@ -101,19 +101,23 @@ def top_sums(
     )
     pick = lambda n, m: f"IF(c.counter = 'n', {n}, {m})"
     need = f"(c.k - {pick('n_before', 'm_before')})"
-    # Each cut lies in one block, so a group gathers at most one entry per cut.
+    # Few blocks hold a cut: the plain comparison spares the others the lists. Each cut
+    # lies in one block, so a group gathers at most one entry per cut.
+    holds = " OR ".join(
+        f"({counter}_before < {k} AND {k} <= {counter}_before + {counter})" for counter, k in cuts.values()
+    )
     held = F.expr(
-        f"transform(filter(array({wanted}), c -> {need} > 0 AND {need} <= {pick('n', 'm')}), c -> named_struct("
+        f"CASE WHEN {holds} THEN transform(filter(array({wanted}), c -> {need} > 0 AND {need} <= {pick('n', 'm')}), c -> named_struct("
         f"'cut', c.cut, 'counter', c.counter, 'score', value, 'need', {need}, 'size', CAST({pick('n', 'm')} AS DOUBLE), "
         f"'before_y', {pick('sy_before', 'my_before')}, 'all_y', {pick('sy', 'my')}, "
-        f"'before_p', {pick('sp_before', 'mp_before')}, 'all_p', {pick('sp', 'mp')}))"
+        f"'before_p', {pick('sp_before', 'mp_before')}, 'all_p', {pick('sp', 'mp')})) END"
     )
     # Rows are summed here rather than read off the running totals: what one side of
     # the running totals leaves unused would keep both from sharing their shuffle.
     totals = [F.max(f"{c}_total").alias(f"{c}_total") for c in ("n", "m", "sy", "my", "mp", "sp")]
     totals += [F.sum("rows").alias("rows_total"), _cumulated().alias("cumulated")]
     out = blocks.withColumn("_held", held).groupBy(*group).agg(
-        *totals, F.flatten(F.collect_list(F.when(F.size("_held") > 0, F.col("_held")))).alias("_cuts")
+        *totals, F.flatten(F.collect_list("_held")).alias("_cuts")
     )
     inside = "c.need / c.size * c.all_{0}" if tie is None else "IF(c.need < c.size, 0D, c.all_{0})"
     found = F.expr(

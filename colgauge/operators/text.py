@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from colgauge.functions.scalars import col
 from colgauge.operators.order import attach_by_value
+from colgauge.session import materialise
 
 # The words that carry no meaning of their own.
 STOP_WORDS = (
@@ -45,7 +46,7 @@ def text_similarity(others: DataFrame, id_col: str, text: str, query: str) -> Da
     asked = spark.createDataFrame([(query,)], "q string").select(words("q").alias("w")).first().w
     counts = {w: float(asked.count(w)) for w in sorted(set(asked))}
     n = others.agg(F.count(F.lit(1)) + 1).scalar()
-    tf = word_counts(others, id_col, text)
+    tf = materialise(word_counts(others, id_col, text), "words")
     in_query = F.col("word").isin(*counts) if counts else F.lit(False)
     freq = tf.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     total = freq.agg(F.sum("n")).scalar()
@@ -107,6 +108,7 @@ def novelty(
         col(id_col).alias("id"), F.struct(col(run).alias("run"), col(round_col).alias("round")).alias("at"),
         F.array_sort(words(text)).alias("_words"),
     ).withColumn("bag", F.sha2(F.concat_ws(" ", "_words"), 256))
+    bagged = materialise(bagged, "bagged")
     bags = bagged.groupBy("bag").agg(
         F.count(F.lit(1)).alias("copies"), F.min("at").alias("first_at"), F.max("at").alias("last_at"),
         F.any_value("_words").alias("_words"),
@@ -114,7 +116,7 @@ def novelty(
     tf = bags.select("bag", "copies", F.explode("_words").alias("word")).groupBy("bag", "copies", "word").agg(
         F.count(F.lit(1)).alias("tf")
     )
-    weights = _weights(tf, bags)
+    weights = materialise(_weights(materialise(tf, "words"), bags), "weights")
     rest = Window.partitionBy("bag").orderBy(F.col("df").desc(), F.col("word").desc()).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
