@@ -520,3 +520,31 @@ def shared_ids(t: Tables) -> DataFrame:
 @query("unknown_ids", "SELECT o_custkey AS id FROM orders EXCEPT SELECT user_id FROM events")
 def unknown_ids(t: Tables) -> DataFrame:
     return t.orders.select(F.col("o_custkey").alias("id")).subtract(t.events.select(F.col("user_id").alias("id")))
+
+
+@query("project_named", "SELECT o_orderkey AS id, o_orderdate < TIMESTAMP '1998-01-01' AS early, o_totalprice AS price FROM orders")
+def project_named(t: Tables) -> DataFrame:
+    """Only the id, the as-of date and the one column a feature names reach the scan."""
+    early = F.col("as_of") < F.lit("1998-01-01").cast("timestamp_ntz")
+    return clean.project_named(model_rows(t), ["price"]).select("id", early.alias("early"), "price")
+
+
+@query("cut_window", f"{BASE_SQL} SELECT m.id, count(*) AS n FROM model m JOIN hist h ON m.key = h.key AND h.event_time < m.as_of "
+       "AND h.event_time >= m.as_of - INTERVAL 200 DAY GROUP BY 1")
+def cut_window(t: Tables) -> DataFrame:
+    """A window taken from rows linked without one."""
+    from colgauge.operators.linkage import cut_window as cut, link_point_in_time
+
+    linked = link_point_in_time(model_rows(t), history(t), key="key", time="event_time")
+    return cut(linked, "event_time", "as_of", 200).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("write_artifacts", f"WITH {MODEL_SQL} SELECT split, count(*) AS n_rows, CAST(sum(y) AS BIGINT) AS positives FROM model GROUP BY 1")
+def write_artifacts(t: Tables) -> DataFrame:
+    """A small table written as csv beside row-scale scores as parquet, and both read back."""
+    rows = model_rows(t)
+    small = rows.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"))
+    written = sinks.write_artifacts({"mix": small, "predictions": rows.select("split", "id", "y")}, scratch_path(t.spark, "artifacts"))
+    scores = t.spark.read.parquet(written["predictions"]).groupBy("split").agg(F.sum("y").alias("positives"))
+    mix = tables.read_table(t.spark, written["mix"], format="csv", schema="split string, n_rows bigint")
+    return mix.join(scores, "split").select("split", "n_rows", "positives")
