@@ -224,7 +224,7 @@ def no_signal_reason(df: DataFrame, columns: Sequence[str], split: str = "split"
     )
     where = F.when(F.col("_valid").isNotNull(), F.lit(" on valid and test")).otherwise(F.lit(" on test"))
     hint = F.when(
-        F.col("_varied") == 1, F.lit(", though it varies on train - its data may not cover the later period")
+        F.col("_varied") == 1, F.lit("; it does vary on train, so its source may end too early")
     ).otherwise(F.lit(""))
     return per_feature.filter(F.col("_test").isNotNull()).select(
         "feature", F.concat(F.col("_test"), where, hint).alias("reason")

@@ -145,8 +145,8 @@ def exact_quantiles(t: Tables) -> DataFrame:
     return out.select("split", "feature", *[rnd(F.col("values")[i], 4).alias(f"p{int(p * 1000)}") for i, p in enumerate(probs)])
 
 
-@query("no_signal_reason", """SELECT 'flat' AS feature, 'one value (1) on valid and test, though it varies on train - its data may not cover the later period' AS reason
-UNION ALL SELECT 'gone', 'empty on test, though it varies on train - its data may not cover the later period'""")
+@query("no_signal_reason", """SELECT 'flat' AS feature, 'one value (1) on valid and test; it does vary on train, so its source may end too early' AS reason
+UNION ALL SELECT 'gone', 'empty on test; it does vary on train, so its source may end too early'""")
 def no_signal_reason(t: Tables) -> DataFrame:
     rows = model_rows(t).select(
         "split", "price",

@@ -137,8 +137,8 @@ def decide_batch(verdicts: DataFrame, comparison: DataFrame | None = None, optio
     if comparison is not None:
         gain = comparison.filter(F.col("variant") == "base_plus_new").agg(F.max(f"gini_gain_{options.gini_split}")).scalar()
     kept = F.col("n_passed") > 0
-    none = F.concat(F.lit("no candidate cleared all four gates - most fell at the "), F.when(F.col("_worst.n") > 0, F.col("_worst.gate")).otherwise("unknown"))
-    note = F.when(F.col("n_candidates") == 0, "no candidates were proposed").when(
+    none = F.concat(F.lit("every candidate was stopped, most often at: "), F.when(F.col("_worst.n") > 0, F.col("_worst.gate")).otherwise("unknown"))
+    note = F.when(F.col("n_candidates") == 0, "there was nothing to judge").when(
         kept, F.concat(F.col("n_passed").cast("string"), F.lit(" candidates cleared every gate"))).otherwise(none)
     return out.select(
         F.when(kept, "KEEP").otherwise("TRY A NEW BATCH").alias("verdict"), "n_candidates", "n_passed", "passed",

@@ -47,12 +47,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back.
 

@@ -53,7 +53,6 @@ def test_brute_force_with_many_ties(spark):
 
 
 def test_flag_outcomes(spark):
-    rows = [("a", 1, None), ("a", 2, 1), ("a", 3, 0)]
     df = spark.createDataFrame(
         [("a", 1, False, True), ("a", 2, True, False), ("b", 1, True, False), ("c", 1, False, False), ("d", 1, True, True)],
         "k string, day int, f0 boolean, f1 boolean")
@@ -64,4 +63,3 @@ def test_flag_outcomes(spark):
     got = {r.k: (r.outcome, r.rows_sooner, r.days_sooner) for r in cases.flag_outcomes(
         cases.first_flags(seq, "k", "t", {"base": F.col("f0"), "variant": F.col("f1")})).collect()}
     assert got == {"a": ("earlier", 1, 1), "b": ("only_base", None, None), "c": ("neither", None, None), "d": ("same", 0, 0)}
-    assert len(rows) == 3
