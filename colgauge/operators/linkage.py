@@ -53,7 +53,10 @@ def link_point_in_time(
         latest = ids.agg(F.max(col(as_of))).scalar()
         events = events.filter(col(time) < latest if rule == STRICT else col(time) <= latest)
         if days is not None:
-            events = events.filter(col(time) >= ids.agg(days_before(F.min(col(as_of)), days)).scalar())
+            # The minimum of a one-field struct is aggregated another way than the maximum
+            # above; alike, both would be merged into one value the scan cannot use.
+            first_day = F.min(F.struct(col(as_of).alias("at")))["at"]
+            events = events.filter(col(time) >= ids.filter(col(as_of).isNotNull()).agg(days_before(first_day, days)).scalar())
     on = list(keys)
     if days is not None:
         width = int(days) * 86_400
