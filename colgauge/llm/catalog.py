@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from colgauge.llm import pivot_search  # noqa: F401
+from colgauge.llm import pivot_search, simhash  # noqa: F401
 from colgauge.llm.common import QUERIES, SQL, Query
 
 
