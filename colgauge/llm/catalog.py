@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from colgauge.llm import feistel_pii, pivot_search, simhash  # noqa: F401
+from colgauge.llm import feistel_pii, odd_sketch, pivot_search, simhash  # noqa: F401
 from colgauge.llm.common import QUERIES, SQL, Query
 
 
