@@ -41,7 +41,7 @@ def whole_text(text: str | Column) -> Column:
 
 def input_bytes(df: DataFrame) -> int:
     """Bytes of the files behind ``df`` as the plan knows them; what sizes of groups follow."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def groups_for(df: DataFrame, each: int = 8 << 20, least: int = 8) -> int:
