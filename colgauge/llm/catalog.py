@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from colgauge.llm import backoff_lm, feistel_pii, odd_sketch, pivot_search, simhash, string_kernel  # noqa: F401
+from colgauge.llm import backoff_lm, feistel_pii, odd_sketch, pivot_search, simhash, string_kernel, toxic_grammar  # noqa: F401
 from colgauge.llm.common import QUERIES, SQL, Query
 
 
