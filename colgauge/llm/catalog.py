@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from colgauge.llm import backoff_lm, feistel_pii, odd_sketch, pivot_search, sentencepieces, simhash, string_kernel, toxic_grammar  # noqa: F401
+from colgauge.llm import backoff_lm, best_fit_packing, feistel_pii, odd_sketch, pivot_search, sentencepieces, simhash, string_kernel, toxic_grammar, weighted_mix  # noqa: F401
 from colgauge.llm.common import QUERIES, SQL, Query
 
 
