@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from colgauge.llm import backoff_lm, best_fit_packing, feistel_pii, odd_sketch, pivot_search, sentencepieces, simhash, string_kernel, toxic_grammar, weighted_mix  # noqa: F401
+import corpus_pipeline
+from colgauge.llm import (  # noqa: F401
+    backoff_lm, best_fit_packing, feistel_pii, odd_sketch, pivot_search, sentencepieces, simhash, string_kernel, toxic_grammar,
+    weighted_mix,
+)
 from colgauge.llm.common import QUERIES, SQL, Query
 
 
 def registered_queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    return QUERIES | {"pipeline": corpus_pipeline.run}
 
 
 def registered_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
