@@ -92,24 +92,22 @@ def id_expression(df: DataFrame, template: str) -> tuple[Column, list[str]]:
     absent = [name for name, _ in fields if name not in df.columns]
     if absent:
         raise KeyError(f"the id template names columns the rows do not have: {absent}")
-    pieces, position = [], 0
-    for match in TEMPLATE_FIELD.finditer(template):
-        name, pattern = match.groups()
-        pieces.append(F.lit(template[position:match.start()]))
-        position = match.end()
-        value, dtype = col(name), df.schema[name].dataType
-        if pattern:
-            for directive, spelled in DATE_PATTERNS.items():
-                pattern = pattern.replace(directive, spelled)
-            if isinstance(dtype, T.StringType):
-                value = F.try_to_timestamp(value)
-            value = F.date_format(value, pattern)
-        elif isinstance(dtype, (T.DoubleType, T.FloatType)):
-            whole = value == F.floor(value)
-            value = F.when(whole, value.cast("bigint").cast("string")).otherwise(value.cast("string"))
-        pieces.append(value.cast("string"))
-    pieces.append(F.lit(template[position:]))
-    return F.concat(*pieces), [name for name, _ in fields]
+    # Literal text and fields take turns: split() gives text, name, pattern, text, ...
+    parts = TEMPLATE_FIELD.split(template)
+    filled = [_template_value(df, name, pattern) for name, pattern in zip(parts[1::3], parts[2::3])]
+    texts = [F.lit(text) for text in parts[::3]]
+    return F.concat(*[c for pair in zip(texts, filled) for c in pair], texts[-1]), [name for name, _ in fields]
+
+
+def _template_value(df: DataFrame, name: str, pattern: str | None) -> Column:
+    """One field of an id template as text."""
+    value, dtype = col(name), df.schema[name].dataType
+    if pattern:
+        spelled = re.sub("|".join(map(re.escape, DATE_PATTERNS)), lambda m: DATE_PATTERNS[m[0]], pattern)
+        return F.date_format(F.try_to_timestamp(value) if isinstance(dtype, T.StringType) else value, spelled)
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        return F.when(value == F.floor(value), value.cast("bigint").cast("string")).otherwise(value.cast("string"))
+    return value.cast("string")
 
 
 def build_id(df: DataFrame, template: str, name: str = "id") -> DataFrame:
@@ -118,6 +116,16 @@ def build_id(df: DataFrame, template: str, name: str = "id") -> DataFrame:
     return df.withColumn(name, expression)
 
 
+def require_ids(df: DataFrame, id_col: str = "id") -> DataFrame:
+    """The rows, refused with a count and an example if an id is blank or repeated."""
+    counts = df.groupBy(col(id_col).alias("_id")).agg(F.count(F.lit(1)).alias("_n"))
+    bad = counts.filter(F.col("_id").isNull() | (F.trim(F.col("_id").cast("string")) == "") | (F.col("_n") > 1))
+    found = bad.agg(F.sum("_n").alias("n"), F.min(F.coalesce(F.col("_id").cast("string"), F.lit("(none)"))).alias("first")).first()
+    if found.n:
+        raise ValueError(f"{found.n:,} rows have a blank or repeated id, for example {found['first']!r}")
+    return df
+
+
 def id_problems(df: DataFrame, id_col: str = "id") -> DataFrame:
     """One row: rows, rows without an id, rows sharing their id with another row."""
     counts = df.groupBy(col(id_col).alias("_id")).agg(F.count(F.lit(1)).alias("_n"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from colgauge.functions.scalars import col
 from colgauge.operators.order import running_totals
@@ -13,7 +13,6 @@ FAILED_WEIGHT = 0.5
 # Reasons that say nothing about the idea behind a feature.
 NO_EVIDENCE = r"^script failed|^build\(\) returned"
 SAME_COLUMN = r"against the existing column '([^']+)'|with the model column `([^`]+)`"
-MAX_ROUNDS = 64
 
 
 def outcome_rollup(attempts: DataFrame) -> DataFrame:
@@ -53,26 +52,30 @@ def evidence_standing(records: DataFrame, group: str, evidence: str = "evidence"
 def family_roots(records: DataFrame, key: str = "key", same_as: str = "same_as") -> DataFrame:
     """(key, family): each record's earliest ancestor along its ``same_as`` link.
 
-    Every round doubles the distance a record looks up, so a chain of n links takes
-    log2(n) rounds. Each round is written out, which cuts the lineage; records that
-    have found their root take no part in the rounds after it.
+    Records that lead into a circle of links share the circle's smallest key. Every round
+    doubles the distance a record looks up, so a chain of n links takes log2(n) rounds;
+    only records still on their way are written again. What has not arrived after as many
+    steps as there are records goes round in a circle, and has seen all of it.
     """
-    keys = records.select(col(key).alias("key"))
     links = records.select(col(key).alias("key"), col(same_as).alias("_same"))
-    known = keys.select(F.col("key").alias("_same"))
+    known = records.select(col(key).alias("_same"))
     rooted = links.join(known, "_same", "left_semi").select("key", F.col("_same").alias("up"))
-    loose = links.join(rooted.select("key"), "key", "left_anti").select("key", F.col("key").alias("up"))
-    table = materialise(
-        loose.withColumn("done", F.lit(True)).unionByName(rooted.withColumn("done", F.lit(False))), "families"
-    )
-    for _ in range(MAX_ROUNDS):
-        active, done = table.filter("NOT done"), table.filter("done")
-        if active.isEmpty():
-            return table.select("key", F.col("up").alias("family"))
-        above = table.select(F.col("key").alias("up"), F.col("up").alias("_above"), F.col("done").alias("_above_done"))
-        moved = active.join(above, "up").select("key", F.col("_above").alias("up"), F.col("_above_done").alias("done"))
-        table = materialise(done.unionByName(moved), "families")
-    raise ValueError("same_as links form a circle")
+    loose = links.join(rooted.select("key"), "key", "left_anti")
+    settled = materialise(loose.select("key", F.col("key").alias("up"), F.lit(True).alias("done")), "families")
+    active = materialise(rooted.withColumns({"done": F.lit(False), "low": F.col("up")}), "families")
+    steps, waiting = 1, active.count()
+    reach = waiting
+    while waiting and steps <= 2 * reach:
+        above = settled.withColumn("low", F.col("key")).unionByName(active).select(
+            F.col("key").alias("up"), F.col("up").alias("_up"), F.col("done").alias("_done"), F.col("low").alias("_low"))
+        moved = materialise(active.join(above, "up").select(
+            "key", F.col("_up").alias("up"), F.col("_done").alias("done"), F.least("low", "_low").alias("low")), "families")
+        settled = settled.unionByName(moved.filter("done").drop("low"))
+        active, steps = moved.filter("NOT done"), 2 * steps
+        waiting = active.count()
+    round_ = active.select(F.col("key").alias("up"), F.col("low").alias("family"))
+    circles = active.join(round_, "up").select("key", "family")
+    return settled.select("key", F.col("up").alias("family")).unionByName(circles)
 
 
 def pool_families(
@@ -115,7 +118,10 @@ def novelty_per_round(items: DataFrame, run: str = "run", round_col: str = "roun
         F.count(F.lit(1)).alias("proposed"), F.count_if(~col(repeats)).alias("new")
     )
     per_run = rounds.groupBy("run").agg(F.sum("new").alias("_new")).withColumn("_all", F.lit(1))
-    before = running_totals(per_run, ["_all"], "run", ["_new"]).select("run", "_new_before")
+    # Runs named by text fall in buckets by their leading bytes.
+    named = isinstance(per_run.schema["run"].dataType, T.StringType)
+    lead = F.conv(F.rpad(F.hex(F.substring(F.col("run").cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("bigint") if named else None
+    before = running_totals(per_run, ["_all"], "run", ["_new"], bucket=lead).select("run", "_new_before")
     along = Window.partitionBy("run").orderBy("round")
     return rounds.join(before, "run").select(
         "run", "round", "proposed", "new", (F.col("proposed") - F.col("new")).alias("repeated"),

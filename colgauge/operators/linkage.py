@@ -12,6 +12,8 @@ from colgauge.operators.order import running_totals, time_bucket
 STRICT, INCLUSIVE = "strict", "inclusive"
 
 
+AMOUNT = "decimal(28,9)"
+
 def _aslist(value: str | Sequence[str]) -> list[str]:
     return [value] if isinstance(value, str) else list(value)
 
@@ -159,8 +161,12 @@ def link_aggregate(ids: DataFrame, aggregate: DataFrame, *, key: str | Sequence[
 
 
 def attach_feature(rows: DataFrame, feature: DataFrame, id_col: str = "id") -> DataFrame:
-    """A feature of one row per id joined back to every row, repeats of an id included."""
-    return rows.join(feature, id_col, "left")
+    """A feature joined back to every row, repeats of an id included.
+
+    The feature is first brought to one row per id, of several values the largest, so no row is multiplied.
+    """
+    single = feature.groupBy(id_col).agg(*[F.max(col(c)).alias(c) for c in feature.columns if c != id_col])
+    return rows.join(single, id_col, "left")
 
 
 def backfill_columns(sample: DataFrame, pool: DataFrame, id_col: str, columns: Sequence[str]) -> DataFrame:
@@ -267,8 +273,9 @@ def window_totals(
 
     A window total is the running total at the as-of date less the running total
     where the window opens, so no (id, event) pair is ever made: the work grows with
-    ids plus events, whatever their key. Counts are exact; a sum carries the
-    rounding of the key's running total.
+    ids plus events, whatever their key. Sums are kept to nine decimals, so nothing of
+    a key's past cancels. A measure that is not finite, or 1e19 or more, counts as
+    missing. Ids without a key or an as-of date have no events.
     """
     edges = {"e0": col(as_of), **{f"e{w}": days_before(as_of, w) for w in windows}}
     points = ids.filter(col(key).isNotNull() & col(as_of).isNotNull()).select(
@@ -278,9 +285,9 @@ def window_totals(
     ).select(id_col, "_key", "_p.edge", F.col("_p.t").alias("_t"))
     events = source.filter(col(key).isNotNull() & col(time).isNotNull()).select(
         col(key).alias("_key"), col(time).cast("timestamp").alias("_t"),
-        F.lit(1).alias("_n"), F.coalesce(col(measure).cast("double"), F.lit(0.0)).alias("_s"),
+        F.lit(1).alias("_n"), F.coalesce(col(measure).cast("double").try_cast(AMOUNT), F.lit(0).cast(AMOUNT)).alias("_s"),
     )
-    marks = points.select("_key", "_t", F.lit(0).alias("_n"), F.lit(0.0).alias("_s"))
+    marks = points.select("_key", "_t", F.lit(0).alias("_n"), F.lit(0).cast(AMOUNT).alias("_s"))
     blocks = events.unionByName(marks).groupBy("_key", "_t").agg(F.sum("_n").alias("_n"), F.sum("_s").alias("_s"))
     running = running_totals(blocks, ["_key"], "_t", ["_n", "_s"], bucket=time_bucket("_t", 30 * 86_400))
     at_edge = points.join(running.select("_key", "_t", "_n_before", "_s_before"), ["_key", "_t"])
@@ -288,10 +295,12 @@ def window_totals(
         F.max(F.when(F.col("edge") == name, F.col(f"_{m}_before"))).alias(f"_{m}_{name}")
         for name in edges for m in ("n", "s")
     ])
-    return wide.select(id_col, *[
-        (F.col(f"_{m}_e0") - F.col(f"_{m}_e{w}")).alias(f"{label}_{w}d")
-        for w in windows for m, label in (("n", "n_events"), ("s", f"{measure}_sum"))
-    ])
+    labels = [(w, m, label, kind) for w in windows for m, label, kind in (("n", "n_events", "bigint"), ("s", f"{measure}_sum", "double"))]
+    found = wide.select(id_col, *[
+        (F.col(f"_{m}_e0") - F.col(f"_{m}_e{w}")).cast(kind).alias(f"{label}_{w}d") for w, m, label, kind in labels])
+    without = ids.filter(col(key).isNull() | col(as_of).isNull()).select(
+        col(id_col), *[F.lit(0).cast(kind).alias(f"{label}_{w}d") for w, _, label, kind in labels])
+    return found.unionByName(without)
 
 
 def merge_rankings(attribution: DataFrame, importance: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from colgauge.functions.scalars import col
 from colgauge.operators.order import quantiles, running_totals
@@ -141,7 +141,7 @@ def top_sums(
     )
     same = [col(g) == col(f"_{g}") for g in group]
     rows = pred.join(split, [*same, col(score).cast("double").eqNullSafe(F.col("_score"))]).filter(counted)
-    by_tie = rows.groupBy(*inner, "cut", "need", col(tie).alias("_tie")).agg(
+    by_tie = rows.groupBy(*inner, "cut", "need", _tie_order(pred, tie).alias("_tie")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(outcome).alias("_y"),
         F.sum(F.coalesce("_score", F.lit(0.0))).alias("_p")
     )
@@ -159,6 +159,12 @@ def top_sums(
     ])
 
 
+def _tie_order(pred: DataFrame, tie: str) -> Column:
+    """Ids that are numbers order a tie themselves, all others by their hash."""
+    number = isinstance(pred.select(col(tie).alias("t")).schema["t"].dataType, T.NumericType)
+    return col(tie) if number else F.xxhash64(col(tie))
+
+
 def _capture_cuts(shares: Sequence[float]) -> dict[str, tuple[str, str]]:
     return {f"c{i}": ("n", f"floor(n_total * {float(p)!r}D)") for i, p in enumerate(shares)}
 

@@ -22,7 +22,6 @@ from colgauge.operators.order import attach_by_value, melt, quantiles, running_t
 MIN_ROWS = 3
 SAME_MIN_ROWS = 50
 REBUILT = 0.99
-MANY_PAIRS = 64
 
 
 def rank_table(long: DataFrame, group: Sequence[str]) -> DataFrame:
@@ -59,14 +58,12 @@ def _clipped(rho: Column) -> Column:
     return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), rho))
 
 
-def correlate(wide: DataFrame, pairs: Sequence[tuple[str, str]], method: str = "auto") -> DataFrame:
+def correlate(wide: DataFrame, pairs: Sequence[tuple[str, str]], method: str = "blocks") -> DataFrame:
     """Pairwise-complete Pearson correlation: (feature, other, rho, n).
 
-    A few pairs are plain aggregates; many are summed as blocks, one matrix product
-    per batch of rows. NULL below three common rows or without spread.
+    Sums are taken as blocks, one matrix product per batch of rows, or on request as
+    plain aggregates. NULL below three common rows or without spread.
     """
-    if method == "auto":
-        method = "blocks" if len(pairs) > MANY_PAIRS else "aggregates"
     sums = _block_sums(wide, pairs) if method == "blocks" else _pair_sums(wide, pairs)
     n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
     cov = F.col("sxy") - sx * sy / n
@@ -118,7 +115,7 @@ def _block_sums(wide: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
 
 
 def spearman_pairs(
-    df: DataFrame, id_col: str, pairs: Sequence[tuple[str, str]], method: str = "auto"
+    df: DataFrame, id_col: str, pairs: Sequence[tuple[str, str]], method: str = "blocks"
 ) -> DataFrame:
     """Rank correlation over ranks of the whole column: (feature, other, rho, n)."""
     columns = list(dict.fromkeys(name for pair in pairs for name in pair))
@@ -159,7 +156,7 @@ def nearest_column(df: DataFrame, id_col: str, features: Sequence[str], base: Se
     # but the row count, which the correlation of centred ranks does not need.
     centred = ranks.select(*[F.coalesce(col(c), F.lit(0.0)).alias(c) for c in columns])
     pairs = [(f, b) for f in features for b in base if f != b]
-    sums = _block_sums(centred, pairs) if len(pairs) > MANY_PAIRS else _pair_sums(centred, pairs)
+    sums = _block_sums(centred, pairs)
     rho = F.when(
         (F.col("sxx") > 0) & (F.col("syy") > 0), F.col("sxy") / F.sqrt(F.col("sxx") * F.col("syy"))
     )

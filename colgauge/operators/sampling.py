@@ -7,15 +7,34 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from colgauge.functions.scalars import col
-from colgauge.operators.order import hash_order, running_totals, value_at
+from colgauge.operators.order import hash_order
+from colgauge.session import materialise
 
 
-def _class_cuts(df: DataFrame, group: Sequence[str], cuts: Mapping[str, Column]) -> DataFrame:
-    """Per group, the hash each cut falls on: the largest hash among its first k rows."""
-    blocks = df.groupBy(*group, F.col("_hash").alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    running = running_totals(blocks, group, "value", ["n"])
-    found = value_at(running, group, {name: k - 1 for name, k in cuts.items()})
-    return found.drop("n_total", "n_levels")
+_TOP = 48   # bits below the hash ranges that are counted first
+
+
+def _class_cuts(rows: DataFrame, cuts: Mapping[str, Column]) -> DataFrame:
+    """Per group the hash each cut falls on: the k-th smallest; NULL for k = 0.
+
+    ``cuts`` gives k by name and may use ``n_total``, the rows of the group. Rows are counted by
+    the leading bits of their hash, at most 65,536 counts for a group; only the rows of the one
+    range that a cut falls in are put in order. The result has a row for each group.
+    """
+    place = F.shiftright("_hash", _TOP)
+    counts = rows.groupBy("_group", place.alias("_range")).agg(F.count(F.lit(1)).alias("n"))
+    along = Window.partitionBy("_group").orderBy("_range")
+    run = counts.withColumns({
+        "_upto": F.sum("n").over(along), "n_total": F.sum("n").over(Window.partitionBy("_group"))})
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("cut"), k.cast("bigint").alias("k")) for name, k in cuts.items()]))
+    asked = run.select("_group", "_range", "_upto", "n", wanted.alias("_w")).select("*", "_w.cut", "_w.k")
+    edges = materialise(asked.filter((F.col("k") <= F.col("_upto")) & (F.col("k") > F.col("_upto") - F.col("n"))).select(
+        "_group", "_range", "cut", (F.col("k") - F.col("_upto") + F.col("n")).alias("_nth")), "cut-ranges")
+    inside = rows.select("_group", "_hash", place.alias("_range")).join(edges, ["_group", "_range"])
+    order = Window.partitionBy("_group", "cut").orderBy("_hash")
+    found = inside.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") == F.col("_nth"))
+    # Written, so that what joins it knows how small it is.
+    return materialise(found.groupBy("_group").agg(*[F.max(F.when(F.col("cut") == n, F.col("_hash"))).alias(n) for n in cuts]), "cuts")
 
 
 def _hashed(df: DataFrame, ids: Sequence[str], seed: int, group: Column) -> DataFrame:
@@ -34,29 +53,26 @@ def stratified_split(
     rows = _hashed(df, id_cols, seed, col(target))
     n_test = F.round(F.col("n_total") * test)
     n_valid = F.round(F.col("n_total") * valid)
-    cuts = _class_cuts(rows, ["_group"], {"_t": n_test, "_v": n_test + n_valid})
-    label = (
-        F.when(F.col("_hash") <= F.col("_t"), "test").when(F.col("_hash") <= F.col("_v"), "valid").otherwise("train")
-    )
-    return rows.join(cuts, "_group").withColumn(name, label).drop("_hash", "_group", "_t", "_v")
+    cuts = _class_cuts(rows, {"_t": n_test, "_v": n_test + n_valid})
+    label = F.when(F.col("_hash") <= F.col("_t"), "test").when(F.col("_hash") <= F.col("_v"), "valid").otherwise("train")
+    return rows.join(cuts, "_group", "left").withColumn(name, label).drop("_hash", "_group", "_t", "_v")
 
 
-def balanced_sample(
-    df: DataFrame, target: str, id_cols: Sequence[str], size: int, balance: bool = True, seed: int = 42
-) -> DataFrame:
-    """Up to size/classes rows of each class, or ``size`` rows of all, in hash order."""
-    rows = _hashed(df, id_cols, seed, col(target) if balance else F.lit("all"))
-    if balance:
-        classes = F.greatest(F.lit(1), rows.agg(F.count_distinct("_group")).scalar())
-        share = F.greatest(F.lit(1), F.floor(F.lit(size) / classes))
-    else:
-        share = F.lit(size)
-    cuts = _class_cuts(rows, ["_group"], {"_c": F.least(share, F.col("n_total"))})
+def balanced_sample(df: DataFrame, target: str, id_cols: Sequence[str], size: int, seed: int = 42) -> DataFrame:
+    """Up to size/classes rows of each class, in hash order."""
+    rows = _hashed(df, id_cols, seed, col(target))
+    classes = max(1, rows.select("_group").distinct().count())
+    cuts = _class_cuts(rows, {"_c": F.least(F.lit(max(1, size // classes)), F.col("n_total"))})
     return rows.join(cuts, "_group").filter(F.col("_hash") <= F.col("_c")).drop("_hash", "_group", "_c")
 
 
 def uniform_sample(df: DataFrame, id_cols: Sequence[str], size: int, seed: int = 42) -> DataFrame:
-    return balanced_sample(df, id_cols[0], id_cols, size, balance=False, seed=seed)
+    """``size`` rows of all, in hash order: one cut, and a filter where the rows are."""
+    rows = _hashed(df, id_cols, seed, F.lit("all"))
+    cut = _class_cuts(rows, {"_c": F.least(F.lit(size), F.col("n_total"))}).first()
+    if cut is None or cut["_c"] is None:
+        return df.limit(0)
+    return df.filter(hash_order(id_cols, seed) <= F.lit(cut["_c"]))
 
 
 def split_by_time(df: DataFrame, time: str, valid_from: Column, test_from: Column, name: str = "split") -> DataFrame:

@@ -26,7 +26,7 @@ class RunOptions:
     shares: tuple[float, ...] = (0.01, 0.05, 0.10)
     sentinels: tuple[float, ...] = DEFAULT_SENTINELS
     indicators: MissingIndicators | None = None
-    attribution_sample: int | None = 20_000
+    attribution_sample: int | None = None
 
 
 @dataclass
@@ -92,7 +92,7 @@ def evaluation_results(run: Run, feature_stats: DataFrame, split: str = "test")
     """
     from colgauge.operators.metrics import score_level
 
-    feature = F.when(F.col("variant").startswith("loi__"), F.substring("variant", 6, 10_000))
+    feature = F.when(F.col("variant").startswith("loi__"), F.regexp_replace("variant", "^loi__", ""))
     trained = run.comparison.filter(F.col("variant") != "base").select(
         "variant", feature.alias("feature"), *[c for c in run.comparison.columns if c.endswith(f"_{split}")], F.lit(True).alias("trained"))
     spark = run.comparison.sparkSession

@@ -55,7 +55,7 @@ def candidate_evidence(
         rows = rows.withColumns({"kept": F.lit(True), "decided_by": text, "reason": text})
     if comparison is not None:
         gains = comparison.filter(F.col("variant").startswith("loi__")).select(
-            F.substring("variant", 6, 10_000).alias("feature"), F.col(f"gini_gain_{options.gini_split}").alias("gain"),
+            F.regexp_replace("variant", "^loi__", "").alias("feature"), F.col(f"gini_gain_{options.gini_split}").alias("gain"),
             (F.col("gini_gain_valid") if "gini_gain_valid" in comparison.columns else num).alias("gain_valid"))
         rows = rows.join(gains, "feature", "left")
     else:

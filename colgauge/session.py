@@ -30,11 +30,15 @@ def build_session(app: str = "colgauge", master: str | None = None, **conf: str)
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    Only a session that names none (a local test) gets a temporary folder.
+    Only a local session that names none, as in tests, gets a temporary folder; on a cluster it is
+    an error, as each executor would write to a disk of its own.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        master = context.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         folder = tempfile.mkdtemp(prefix="colgauge-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
     if not context.getCheckpointDir():

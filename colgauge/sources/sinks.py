@@ -12,8 +12,6 @@ from colgauge.operators.clean import FeatureSet
 from colgauge.operators.guards import check_prepared
 from colgauge.sources.tables import file_listing
 
-MAX_EXTRACT_SHARE = 0.5
-
 
 def write_splits(df: DataFrame, features: FeatureSet, path: str, mapping: DataFrame | None = None) -> str:
     """Checks the prepared table, then writes one folder per split; nothing is written if a check fails."""
@@ -59,14 +57,15 @@ def extract_cut(source: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 
 def save_extract(
     spark: SparkSession, source: DataFrame, source_path: str, ids: DataFrame, key: str, path: str,
-    max_share: float = MAX_EXTRACT_SHARE,
+    max_share: float | None = None,
 ) -> bool:
-    """Keeps the cut beside its fingerprint; False when it is too large a part of the source."""
-    cut = extract_cut(source, ids, key)
-    n_source, n_cut = source.count(), cut.count()
-    if n_source == 0 or n_cut > max_share * n_source:
+    """Keeps the cut beside its fingerprint; with ``max_share`` False if it is a larger part of the source.
+
+    The cut runs once; its rows are then counted from the files written.
+    """
+    extract_cut(source, ids, key).write.mode("overwrite").parquet(f"{path}/rows")
+    if max_share is not None and spark.read.parquet(f"{path}/rows").count() > max_share * source.count():
         return False
-    cut.write.mode("overwrite").parquet(f"{path}/rows")
     extract_fingerprint(spark, source_path, ids, key).write.mode("overwrite").parquet(f"{path}/fingerprint")
     return True
 

@@ -155,9 +155,10 @@ def test_families(spark):
     df = spark.createDataFrame(chain, "key string, same_as string, signal int, none int")
     got = {r.key: (r.family, r.members, r.signal) for r in evidence.pool_families(df).collect()}
     assert all(got[f"k{i}"] == (f"k{i // 50 * 50}", 50, 25) for i in range(200))
-    circle = spark.createDataFrame([("a", "b"), ("b", "a")], "key string, same_as string")
-    with pytest.raises(ValueError, match="circle"):
-        evidence.family_roots(circle)
+    circle = [("a", "b"), ("b", "c"), ("c", "a"), ("0", "1"), ("1", "b"), ("x", "x"), ("y", "gone")]
+    df = spark.createDataFrame(circle, "key string, same_as string")
+    got = {r.key: r.family for r in evidence.family_roots(df).collect()}
+    assert got == {"a": "a", "b": "a", "c": "a", "0": "a", "1": "a", "x": "x", "y": "y"}
 
 
 def test_feature_book_refuses_a_leak(histories):
