@@ -162,7 +162,7 @@ class Automaton:
         self.unknown = -math.log10(total + distinct + 1)
         self.words = len(grams.keys[0])
         docs = 0 if not len(sums[0]) else int(sums[0][grams.at[0][grams.first + grams.size - 1]].max(initial=0))
-        self.start = 1 if docs else 0       # state 1 is the start of a text, which no n-gram of order 1 counts
+        self.start = 1 if docs and order > 1 else 0       # state 1 is the start of a text, which no n-gram of order 1 counts
         self.fail, self.cost = [0, 0], [0.0, math.log10(tau / (docs + tau))]
         numbers, lower = [], None
         arcs: dict[int, tuple[float, int]] = {}

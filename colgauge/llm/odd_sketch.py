@@ -284,12 +284,13 @@ def near_duplicates(docs: DataFrame, id_col: str, text: str, shingle: int = SHIN
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its group, all columns kept.
 
-    Rows without a NULL id and rows that repeat an id are judged by their id.
+    Rows with a NULL id stay; rows that repeat an id stay or go by their id.
     """
     classes = near_duplicates(docs, id_col, text)
     gone = classes.groupBy(F.col(id_col).alias("_gone")).agg(
         F.max((F.col("component_id") == F.col(id_col)).cast("int")).alias("_stays")).filter("_stays = 0").select("_gone")
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"))
+    return rows.join(gone, F.col("_id") == F.col("_gone"), "left_anti").select("_row.*")
 
 
 OP5_SQL = """WITH RECURSIVE w AS (

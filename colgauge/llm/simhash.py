@@ -80,7 +80,7 @@ def fingerprints(docs: DataFrame, keys: list[str], text: str, name: str = "finge
     exploded = split.select(*keys, F.explode_outer(terms("_words", shingle)).alias("_t"))
     hashed = exploded.select(
         *keys, F.coalesce(F.xxhash64("_t"), F.lit(0)).alias("_h"),
-        F.coalesce(F.least(F.length("_t"), F.lit(64)), F.lit(0)).cast("long").alias("_w"))
+        F.when(F.col("_t").isNull(), 0).otherwise(F.least(F.length("_t"), F.lit(64))).cast("long").alias("_w"))
     voted = hashed.groupBy(*keys).agg(*_votes(), F.sum("_w").alias("_total"))
     return voted.select(*keys, F.when(F.col("_total") > 0, _fingerprint()).otherwise(F.lit(0)).cast("long").alias(name))
 

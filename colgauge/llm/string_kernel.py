@@ -167,18 +167,19 @@ def fit_languages(docs: DataFrame, text: str, lang: str, id_col: str, learns: Co
     return LanguageModel(langs, marks.known, weights, offset, sharpness)
 
 
-def identify(docs: DataFrame, text: str, model: LanguageModel) -> DataFrame:
-    """``docs`` with all its columns, and the columns ``_lang`` and ``_sure``."""
-    names = docs.columns
-    packed = docs.select(F.struct(*names).alias("row"), F.col(text).alias("text"))
-
+def _found(docs: DataFrame, text: str, model: LanguageModel) -> DataFrame:
+    """(row, found.lang, found.score): rows as they were beside what is found."""
     @F.pandas_udf("lang string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
         best, score = model.predict(texts.tolist())
         return pd.DataFrame({"lang": best, "score": score})
 
-    found = packed.select("row", predict("text").alias("found"))
-    return found.select("row.*", F.col("found.lang").alias("_lang"), F.col("found.score").alias("_sure"))
+    return docs.select(F.struct("*").alias("row"), predict(F.col(text)).alias("found"))
+
+
+def identify(docs: DataFrame, text: str, model: LanguageModel, lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """``docs`` with all its columns and two more: the language and how sure it is."""
+    return _found(docs, text, model).select("row.*", F.col("found.lang").alias(lang), F.col("found.score").alias(score))
 
 
 SURE = 0.35     # the pipeline keeps a document whose best language has at least this share
@@ -192,7 +193,7 @@ def keep_known(docs: DataFrame, text: str = "text", lang: str = "lang", id_col:
     model = fit_languages(docs, text, lang, id_col, fold(id_col, 3) != 1)
     if not model.langs:
         return docs
-    return identify(docs, text, model).filter((F.col("_lang") != UNKNOWN) & (F.col("_sure") >= SURE)).drop("_lang", "_sure")
+    return _found(docs, text, model).filter((F.col("found.lang") != UNKNOWN) & (F.col("found.score") >= SURE)).select("row.*")
 
 
 @query("op3_string_kernel")
@@ -201,4 +202,4 @@ def op3_string_kernel(spark, folder):
     held = fold("doc_id", 3) == 1
     model = fit_languages(docs, "text", "lang", "doc_id", ~held)
     found = identify(docs.select("doc_id", "text"), "text", model)
-    return found.select("doc_id", held.alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_sure").alias("score"))
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")

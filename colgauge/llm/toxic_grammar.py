@@ -228,13 +228,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learns: Column, id_col: str
     return Toxicity(learned, fit_weights(np.array([r.counts for r in rows]), *(np.array([float(r[k]) for r in rows]) for k in "tn")))
 
 
-def score_toxicity(docs: DataFrame, text: str, model: Toxicity) -> DataFrame:
-    """``docs`` with all its columns and ``_toxicity``."""
+def score_toxicity(docs: DataFrame, text: str, model: Toxicity, name: str = "score") -> DataFrame:
+    """``docs`` with all its columns and ``name``, a number from 0 to 1."""
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series([model.score(t) for t in texts])
 
-    return docs.select(F.struct("*").alias("row"), score(F.col(text)).alias("_toxicity")).select("row.*", "_toxicity")
+    return docs.select(F.struct("*").alias("row"), score(F.col(text)).alias("_new")).select("row.*", F.col("_new").alias(name))
 
 
 @query("op10_toxic_grammar")
@@ -243,4 +243,4 @@ def op10_toxic_grammar(spark, folder):
     held = fold("doc_id", 3) == 1
     model = fit_toxicity(docs, table(spark, folder, "labels"), ~held)
     return score_toxicity(docs, "text", model).select(
-        "doc_id", held.alias("held_out"), F.col("_toxicity").alias("score"), (F.col("_toxicity") >= FLAG).cast("int").alias("predicted"))
+        "doc_id", held.alias("held_out"), "score", (F.col("score") >= FLAG).cast("int").alias("predicted"))

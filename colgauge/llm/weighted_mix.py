@@ -107,9 +107,9 @@ def prefix_ends(stock: DataFrame, leaf: Sequence[str], rest: str) -> DataFrame:
 
 def mix(
     docs: DataFrame, levels: Sequence[Column], weights: Mapping[str, float], share: float = SHARE, id_col: str = "doc_id",
-    text: str = "text", epochs: int = EPOCHS, seed: int = SEED,
+    text: str = "text", epochs: int = EPOCHS, seed: int = SEED, epoch: str | None = None,
 ) -> DataFrame:
-    """``docs`` as often as each is used, all columns kept, and ``_epoch`` from 0 on.
+    """``docs`` as often as each is used, all columns kept; ``epoch`` names a column for its number, from 0 on.
 
     ``levels`` gives the branch of a document from the root down; the budget is ``share`` of all its tokens.
     """
@@ -128,7 +128,8 @@ def mix(
     rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), *path).join(plan, names)
     times = F.col("_whole") + (draw(seed, F.col("_whole"), F.col("_id")) <= F.col("_last")).cast("int")
     taken = rows.withColumn("_times", times).filter(F.col("_times") > 0)
-    return taken.select("_row", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)).alias("_epoch")).select("_row.*", "_epoch")
+    numbered = taken.select("_row", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)).alias("_at"))
+    return numbered.select("_row.*", *([F.col("_at").alias(epoch)] if epoch else []))
 
 
 def domain(source: str | Column) -> Column:
@@ -170,6 +171,6 @@ SELECT doc_id, domain, lang, source, CAST(unnest(range(whole + CAST(part AS INTE
 @query("op1_weighted_mix", OP1_SQL)
 def op1_weighted_mix(spark, folder):
     docs = table(spark, folder, "documents").withColumn("domain", domain("source"))
-    done = mix(docs, [F.col("domain"), F.col("lang"), F.col("source")], WEIGHTS)
+    done = mix(docs, [F.col("domain"), F.col("lang"), F.col("source")], WEIGHTS, epoch="epoch")
     empty = lambda c: F.coalesce(c, F.lit("")).alias(c)
-    return done.select("doc_id", "domain", empty("lang"), empty("source"), F.col("_epoch").alias("epoch"))
+    return done.select("doc_id", "domain", empty("lang"), empty("source"), "epoch")

@@ -36,12 +36,12 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mix(docs, [domain("source"), F.col("lang"), F.col("source")], WEIGHTS).drop("_epoch")
+    return mix(docs, [domain("source"), F.col("lang"), F.col("source")], WEIGHTS)
 
 
 def ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with ``ids`` in place of the text, and how many there are."""
-    return encode(docs, "text", "ids", Pieces.load()).withColumn("n_tokens", F.size("ids").cast("long")).drop("text")
+    """Documents with ``ids`` in place of the text, and ``n_tokens``, how many there are; columns so named before go."""
+    return encode(docs.drop("ids", "n_tokens"), "text", "ids", Pieces.load()).withColumn("n_tokens", F.size("ids").cast("long")).drop("text")
 
 
 STAGES = [("language_id", language), ("near_dedup", near_copies), ("pii", private), ("mixture", mixture), ("sentencepiece", ids)]
