@@ -143,7 +143,7 @@ def with_next(docs: DataFrame, id_col: str, carried: dict[str, Column], order: l
     facts = rows.agg(F.min("_at").alias("lo"), F.max("_at").alias("hi"), F.count(F.lit(1)).alias("n")).first()
     lo, hi, n = facts.lo or 0, facts.hi or 0, max(facts.n, 1)
     step = max(1, -(-(hi - lo + 1) * width // n))
-    bucket = F.coalesce(F.floor((F.col("_at").cast("decimal(38,0)") - F.lit(lo)) / F.lit(step)), F.lit(-1)).cast("long")
+    bucket = F.coalesce(F.floor((F.col("_at").cast("decimal(38,0)") - F.lit(lo)) / F.lit(step)) + 1, F.lit(0)).cast("long")
     rows = rows.withColumn("_bucket", bucket).withColumn("_next", F.struct(*[c.alias(k) for k, c in carried.items()]))
     found = _next_of(rows, ["_at", *order], (hi - lo) // step + 2, width)
     return found.select(*docs.columns, "_bucket", *[F.col(f"_after.{k}").alias(f"next_{k}") for k in carried])
