@@ -5,8 +5,8 @@ starts where it ends. The file's model is a merge (BPE) model: an arc weighs 0 w
 the border between its two pieces standing and minus infinity where a merge would cross it, so exactly
 one path has weight 0, and it is the encoding. Whether a border stands depends on the two pieces alone.
 
-No piece holds a space after another character, so before a space, and around a character that is
-in no piece, there is a sure cut: a single boundary state. Between sure cuts a stretch of text is
+Between two characters that stand beside each other in no piece - before a space, around an unknown
+character, mostly before punctuation - there is a sure cut: a single boundary state. Between sure cuts a stretch of text is
 scanned once and remembered. Giant documents are split into chunks, at a sure cut where one lies
 near, else anywhere: then the boundary states are the pieces that end just before the cut, and a chunk
 gives a transfer matrix from the states before it to those behind it (0 or minus infinity, kept as bits).
@@ -34,7 +34,7 @@ from colgauge.session import materialise
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"      # a parameter; read by the driver alone
 CHUNK = 1 << 16         # characters of a chunk of a giant document
-REMEMBER = 300_000      # stretches remembered before the older half is let go
+REMEMBER = 200_000      # stretches remembered before the older half is let go
 
 SPACE = "▁"
 _NONE = -1              # the state at a sure cut
@@ -61,12 +61,20 @@ class Pieces:
         self.ends: dict[str, int] = {}      # last two characters -> longest piece that ends in them
         for p in self.ids:
             self.ends[p[-2:]] = max(self.ends.get(p[-2:], 1), len(p))
-        self.known = set("".join(self.ids))
+        # First four characters -> the longest piece that begins so; the pairs of characters inside pieces.
+        self.begins: dict[str, int] = {}
+        for p in self.ids:
+            if len(p) > 3:
+                self.begins[p[:4]] = max(self.begins.get(p[:4], 4), len(p))
+        self.inner = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
+        self.known = set(self.ids) & set("".join(self.ids))
+        self.spelled = [p.encode() for p in pieces]
+        for b, i in enumerate(byte_ids):
+            self.spelled[i] = bytes([b])
         self._stands: dict[int, bool] = {}
         self._seen: dict[str, tuple[int, ...]] = {}
         self._older: dict[str, tuple[int, ...]] = {}
-        inner = any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        if inner:
+        if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("a piece holds a space after another character")
         self.stretch = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n+" if "\n" not in self.known else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -137,35 +145,71 @@ class Pieces:
             piece = self.ids.get(text[i:j])
             if piece is not None:
                 yield i, piece
-        if c not in self.ids:
-            yield j - 1, _UNKNOWN
 
     def stretch_ids(self, text: str) -> tuple[int, ...]:
-        """The ids of a text between two sure cuts: at each place the one piece whose path has weight 0."""
-        if text in self.ids:
-            return (self.ids[text],)
-        last, start = [_NONE] * (len(text) + 1), [0] * (len(text) + 1)
-        ids, ends, known, borders = self.ids.get, self.ends.get, self.known, self._stands.get
-        for j in range(1, len(text) + 1):
-            last[j], start[j] = _UNKNOWN, j - 1
-            if text[j - 1] not in known:
+        """The ids of a text between two sure cuts: the one path through its lattice whose weight is 0.
+
+        Followed from piece to piece, the longest first. Only one path of weight 0 leads to a place, so a
+        place from which it cannot go on is given up for good, and no place is left twice.
+        """
+        ids, begins, borders = self.ids.get, self.begins.get, self._stands.get
+        whole = ids(text)
+        if whole is not None:
+            return (whole,)
+        n, at, path, lost = len(text), 0, [], set()
+        size = begins(text[:4], 3)
+        while at < n:
+            size = min(size, n - at)
+            before = path[-1] if path else _NONE
+            while size:
+                if at + size not in lost:
+                    piece = ids(text[at : at + size])
+                    if piece is not None:
+                        if before < 0:
+                            break
+                        stands = borders(before << 20 | piece)
+                        if self.stands(before, piece) if stands is None else stands:
+                            break
+                size -= 1
+            if size:
+                path.append(piece)
+                at += size
+                size = begins(text[at : at + 4], 3)
+            else:
+                lost.add(at)
+                size = len(self.pieces[path[-1]])
+                at -= size
+                path.pop()
+                size -= 1
+        return tuple(path)
+
+    def pieces_of(self, text: str) -> tuple[int, ...]:
+        """The ids of a stretch, cut further wherever no piece holds the two characters beside each other."""
+        inner, out, first = self.inner, [], 0
+        for k in range(1, len(text) + 1):
+            if k < len(text) and text[k - 1 : k + 1] in inner:
                 continue
-            for i in range(max(0, j - ends(text[max(j - 2, 0) : j], 1)), j):
-                piece = ids(text[i:j])
-                if piece is None:
-                    continue
-                before = last[i]
-                if before >= 0:
-                    found = borders(before << 20 | piece)
-                    if not (self.stands(before, piece) if found is None else found):
-                        continue
-                last[j], start[j] = piece, i
-                break
-        path, j = [], len(text)
-        while j:
-            path.append((start[j], j, last[j]))
-            j = start[j]
-        return self.spell(text, reversed(path))
+            part = text[first:k]
+            first = k
+            if part in self.ids:
+                out.append(self.ids[part])
+            elif len(part) == 1:
+                out.extend(self.byte_ids[b] for b in part.encode("utf-8", "replace"))
+            else:
+                out += self.remembered(part, self.stretch_ids)
+        return tuple(out)
+
+    def remembered(self, text: str, find) -> tuple[int, ...]:
+        """What ``find`` says of a text; short texts are found once while they are in use."""
+        ids = self._seen.get(text)
+        if ids is None:
+            ids = self._older.get(text) or find(text)
+            if len(text) <= 64:
+                if len(self._seen) >= REMEMBER:
+                    self._older, self._seen = self._seen, {}
+                    self._stands.clear()
+                self._seen[text] = ids
+        return ids
 
     def spell(self, text: str, path) -> tuple[int, ...]:
         out: list[int] = []
@@ -182,33 +226,20 @@ class Pieces:
 
     def encode_marked(self, marked: str) -> np.ndarray:
         out: list[int] = []
-        seen = self._seen
         for s in self.stretch.findall(marked):
-            ids = seen.get(s)
-            if ids is None:
-                ids = self._older.get(s) or self.stretch_ids(s)
-                if len(s) <= 64:
-                    if len(seen) >= REMEMBER:
-                        self._older, self._seen = seen, {}
-                        seen = self._seen
-                        self._stands.clear()
-                    seen[s] = ids
-            out += ids
+            out += self._seen.get(s) or self.remembered(s, self.pieces_of)
         return np.array(out, np.int32)
 
     def decode(self, ids) -> str:
         """The text of ids: pieces, bytes where there are bytes, without the space put before."""
-        of_byte = {i: b for b, i in enumerate(self.byte_ids)}
-        parts = [bytes([of_byte[i]]) if i in of_byte else self.pieces[i].encode() for i in map(int, ids)]
-        text = b"".join(parts).decode("utf-8", "replace").replace(SPACE, " ")
-        return text.removeprefix(" ")
+        text = b"".join(map(self.spelled.__getitem__, np.asarray(ids).tolist())).decode("utf-8", "replace")
+        return text.replace(SPACE, " ").removeprefix(" ")
 
     # Chunks of giant documents.
 
     def sure(self, marked: str, at: int) -> bool:
         """Whether a sure cut lies before place ``at``."""
-        a, b = marked[at - 1], marked[at]
-        return (b == SPACE and a != SPACE) or a not in self.known or b not in self.known
+        return marked[at - 1 : at + 1] not in self.inner
 
     def split(self, marked: str, size: int) -> list[tuple[int, int]]:
         """Chunks of about ``size`` characters, ending at a sure cut where one lies within another ``size``."""
@@ -376,6 +407,8 @@ def encode(docs: DataFrame, text: str, name: str, pieces: Pieces, chunk: int = C
     def here(texts: pd.Series) -> pd.Series:
         return pd.Series([pieces.encode(t) for t in texts])
 
+    # Said to be non-deterministic, or a plan that uses the ids twice would encode twice.
+    here = here.asNondeterministic()
     long = F.length(whole_text(text)) > 2 * chunk
     rows = docs.select(F.struct("*").alias("row"), whole_text(text).alias("text"), long.alias("long"))
     short = rows.filter("NOT long").select("row.*", here("text").alias(name))
