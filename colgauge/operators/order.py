@@ -6,8 +6,9 @@ over the whole group would put it in one task. Instead:
 
 1. rows are summed to one block per distinct value (partial aggregation shrinks
    repeated values before the shuffle),
-2. each block falls in a bucket given by a monotone function of its value, so the
-   bucket never depends on a sample and is the same if a task is run again,
+2. each block falls in a bucket given by a monotone function of its value and of the
+   smallest and largest value near it, so the buckets follow the data, never depend on a
+   sample, and are the same if a task is run again,
 3. the small table of bucket totals is summed in bucket order, and each block adds
    what came before it inside its own bucket.
 """
@@ -23,6 +24,7 @@ from colgauge.functions.scalars import col, seconds
 LOWEST = -(2**62)
 _LOG_SHIFT = 746.0  # above |ln| of the smallest double, so every logarithm is positive
 _LARGEST = 1.7e308
+CROWDED = 4096  # blocks of a bucket that are still put in order by one task
 
 
 def value_bucket(value: str | Column, steps: int = 4096) -> Column:
@@ -42,6 +44,26 @@ def value_bucket(value: str | Column, steps: int = 4096) -> Column:
     )
 
 
+def data_buckets(blocks: DataFrame, group: Sequence[str], order: str) -> DataFrame:
+    """Adds ``_bucket``, a pair of numbers that never decreases along ``order`` within a group.
+
+    The first is :func:`value_bucket`. Where that holds more than ``CROWDED`` blocks - a column
+    of narrow range, ids, times - the second cuts it in equal steps between its smallest and
+    largest value, as many as keep the steps of evenly spread values below that number.
+    """
+    value = col(order).cast("double")
+    coarse = blocks.withColumn("_coarse", value_bucket(order))
+    held = coarse.groupBy(*group, "_coarse").agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(F.lit(1)).alias("_held"))
+    crowded = held.filter((F.col("_held") > CROWDED) & (F.col("_lo") < F.col("_hi"))).withColumn(
+        "_steps", F.ceil(F.col("_held") * 2 / F.lit(CROWDED))).drop("_held")
+    share = F.nanvl((value - F.col("_lo")) / (F.col("_hi") - F.col("_lo")), F.lit(0.0))
+    step = F.when(value >= F.col("_hi"), F.col("_steps") - 1).otherwise(
+        F.least(F.floor(share * F.col("_steps")), F.col("_steps") - 1))
+    fine = F.coalesce(step, F.lit(0)).cast("bigint")
+    joined = coarse.join(crowded, [*group, "_coarse"], "left")
+    return joined.withColumn("_bucket", F.struct(F.col("_coarse").alias("a"), fine.alias("b"))).select(*blocks.columns, "_bucket")
+
+
 def time_bucket(time: str | Column, width: int = 86_400) -> Column:
     """The number of the ``width``-second interval a time falls in."""
     return F.floor(seconds(time) / F.lit(width))
@@ -97,8 +119,11 @@ def running_totals(
     order. NULL order values come first, or last when descending.
     """
     if bucket is None:
-        bucket = value_bucket(order)
-    b = blocks.withColumn("_bucket", -bucket if descending else bucket)
+        b = data_buckets(blocks, group, order)
+        if descending:
+            b = b.withColumn("_bucket", F.struct((-F.col("_bucket.a")).alias("a"), (-F.col("_bucket.b")).alias("b")))
+    else:
+        b = blocks.withColumn("_bucket", -bucket if descending else bucket)
     b = carry_in(b, group, "_bucket", {n: F.col(n) for n in sums}, totals=True)
     key = col(order).desc_nulls_last() if descending else col(order).asc_nulls_first()
     inside = (

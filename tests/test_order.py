@@ -92,3 +92,16 @@ def test_psi(spark):
     df = spark.createDataFrame(rows, "split string, same double, gone double").withColumn("empty", F.lit(None).cast("double"))
     got = {r.feature: r.psi for r in binning.psi(df, ["same", "gone", "empty"], "split", "train").collect()}
     assert got["same"] == pytest.approx(0, abs=1e-12) and got["gone"] > 1.0 and got["empty"] is None
+
+
+@pytest.mark.parametrize("low, step", [(101_325.0, 5e-6), (1_700_000_000_000_000.0, 1.0), (-8.0, 1e-7)])
+def test_narrow_values_are_spread(spark, low, step):
+    """Values of narrow relative range - pressures, microseconds - do not meet in one bucket."""
+    blocks = spark.range(200_000).select(F.lit("x").alias("g"), (F.lit(low) + F.col("id") * step).alias("value"), F.lit(1).alias("n"))
+    spread = order.data_buckets(blocks, ["g"], "value")
+    assert spread.groupBy("_bucket").count().agg(F.max("count")).first()[0] < 0.02 * 200_000
+    for down in (False, True):
+        ranked = order.running_totals(blocks, ["g"], "value", ["n"], descending=down)
+        place = F.round((F.col("value") - low) / step)
+        wanted = 199_999 - place if down else place
+        assert ranked.filter(F.col("n_before") != wanted).count() == 0
