@@ -1,7 +1,7 @@
 """Token ids packed into rows of fixed length by best fit, longest first.
 
-Each document is encoded, an end token is put behind it, and it is cut into pieces of at most the row length;
-nothing is lost, and the pieces' places in their document are kept. Documents are dealt into
+Each document is encoded by the tokenizer's library, an end token is put behind it, and it is cut into
+pieces of at most the row length; nothing is lost, and the pieces' places in their document are kept. Documents are dealt into
 shards of bounded size by a hash, and a shard packs its pieces from the longest to the shortest, each
 into the row with the least room that still holds it. A segment tree over the amounts of room says in
 O(log length) steps which is the least one that suffices. A packed row carries its ids as a binary
@@ -14,13 +14,16 @@ no rows. Other columns are not read.
 
 from __future__ import annotations
 
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from colgauge.llm.common import groups_for, query, table, whole_text
-from colgauge.llm.sentencepieces import Pieces, encode
+from colgauge.llm.sentencepieces import MODEL
+from colgauge.llm.words import chunks
 
 LENGTH = 2048       # ids of a row
 END = 2             # the id put behind each document
@@ -80,6 +83,27 @@ def best_fit(lengths: list[int], length: int) -> list[list[int]]:
     return rows
 
 
+def load_model(path: str = MODEL) -> bytes:
+    """A tokenizer's file, read by the driver and sent with the tasks: half a MB."""
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def _encode(model: bytes):
+    """The tokenizer's ids of each text, as int32."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import sentencepiece
+
+        library = sentencepiece.SentencePieceProcessor(model_proto=model)
+        for b in batches:
+            texts = b["text"].tolist()
+            for first, end in chunks(texts):
+                ids = [array("i", x).tobytes() for x in library.encode(texts[first:end], num_threads=1)]
+                yield pd.DataFrame({"id": b["id"].array[first:end], "shard": b["shard"].array[first:end], "ids": ids})
+    return run
+
+
 def _pack(length: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pieces = []
@@ -101,23 +125,16 @@ def _pack(length: int):
     return run
 
 
-def pack(docs: DataFrame, id_col: str, text: str, pieces: Pieces, length: int = LENGTH) -> DataFrame:
+def pack(docs: DataFrame, id_col: str, text: str, model: bytes, length: int = LENGTH) -> DataFrame:
     """Packed rows: (shard, row, ids, positions, cu_seqlens, doc_ids, starts).
 
     ``ids`` and ``positions`` are rows of int32 matrices; segment s of a row holds ids cu_seqlens[s] to
     cu_seqlens[s + 1], which are those of doc_ids[s] from its place starts[s] on.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    shards = groups_for(rows.select("text"), SHARD)
-    encoded = encode(rows, "text", "ids", pieces)
-
-    @F.pandas_udf("binary")
-    def as_bytes(column: pd.Series) -> pd.Series:
-        return pd.Series([np.asarray(x, "<i4").tobytes() for x in column])
-
-    # The text's hash deals rows that share an id; only ids move.
-    shard = F.pmod(F.xxhash64("id", F.length(whole_text("text"))), F.lit(shards)).cast("int")
-    dealt = encoded.select("id", shard.alias("shard"), as_bytes("ids").alias("ids"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text).alias("text"))
+    # The length deals rows that share an id; only ids move.
+    shard = F.pmod(F.xxhash64("id", F.length("text")), F.lit(groups_for(rows.select("text"), SHARD))).cast("int")
+    dealt = rows.select("id", shard.alias("shard"), "text").mapInPandas(_encode(model), "id long, shard int, ids binary")
     return dealt.groupBy("shard").applyInPandas(_pack(length), _SCHEMA)
 
 
@@ -129,6 +146,6 @@ def write_packed(packed: DataFrame, path: str) -> None:
 @query("op6_best_fit_packing")
 def op6_best_fit_packing(spark, folder):
     """Every packed row of ``documents`` with its segments, and digests of its ids and positions."""
-    packed = pack(table(spark, folder, "documents"), "doc_id", "text", Pieces.load())
+    packed = pack(table(spark, folder, "documents"), "doc_id", "text", load_model())
     return packed.select("shard", "row", "doc_ids", "starts", "cu_seqlens", F.element_at("cu_seqlens", -1).alias("n_ids"),
                          F.sha2("ids", 256).alias("ids_sha256"), F.sha2("positions", 256).alias("positions_sha256"))

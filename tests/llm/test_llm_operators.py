@@ -352,7 +352,7 @@ def test_best_fit_against_brute_force():
 
 def test_packing_is_lossless(spark, pieces):
     df = rows(spark, "hello world", "a b c", "hello world")
-    packed = best_fit_packing.pack(df, "doc_id", "text", pieces, length=16).collect()
+    packed = best_fit_packing.pack(df, "doc_id", "text", best_fit_packing.load_model(), length=16).collect()
     parts = {}
     for r in packed:
         ids, pos = np.frombuffer(r.ids, "<i4"), np.frombuffer(r.positions, "<i4")
@@ -367,7 +367,7 @@ def test_packing_is_lossless(spark, pieces):
             assert [x for _, p in found for x in p] == whole
         else:       # twice the same row
             assert sum(len(p) for _, p in found) == 2 * len(whole)
-    assert best_fit_packing.pack(empty(spark), "doc_id", "text", pieces).count() == 0
+    assert best_fit_packing.pack(empty(spark), "doc_id", "text", best_fit_packing.load_model()).count() == 0
 
 
 # --- 7 -----------------------------------------------------------------------------------------
