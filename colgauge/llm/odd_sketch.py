@@ -40,6 +40,7 @@ ROWS, BANDS = 5, 36                # at 80 percent, one pair in two million shar
 SKETCH = 512                       # bits of an odd sketch
 MARGIN = 0.17                      # an estimate this far below the threshold is still confirmed on the sets
 PART = 1 << 16                     # shingles of a block of sets, about
+POOL = 16                          # single nodes of a bucket that are still compared pair by pair
 
 _U = np.uint64
 _K = ROWS * BANDS
@@ -137,7 +138,11 @@ def _confirm(percent: int):
 
 
 def _search(percent: int):
-    """Looks each asked set up in a block of sets: of every asked node the first that it links with."""
+    """Looks each asked set up in a block of sets.
+
+    In a component, whose members are linked already, the first link is enough; in a pool of single nodes
+    a link is given if it joins what the links given before did not.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -146,13 +151,23 @@ def _search(percent: int):
                 known = [np.frombuffer(m["shingles"], _U) for m in r.members]
                 sizes = np.array([len(m) for m in known])
                 every, starts = np.concatenate(known), np.cumsum(sizes) - sizes
+                top = {m["node"]: m["node"] for m in [*r.members, *r.asked]}
+
+                def root(x: int) -> int:
+                    while top[x] != x:
+                        top[x] = x = top[top[x]]
+                    return x
+
                 for asked in r.asked:
                     q = np.frombuffer(asked["shingles"], _U)
                     hit = q[np.minimum(np.searchsorted(q, every), len(q) - 1)] == every
                     both = np.add.reduceat(hit.astype(np.int64), starts)
                     link = np.flatnonzero(100 * both >= percent * (len(q) + sizes - both))
-                    if len(link):
-                        found.append((asked["node"], r.members[link[0]]["node"]))
+                    for k in link if r.pool else link[:1]:
+                        a, b = asked["node"], r.members[k]["node"]
+                        if root(a) != root(b):
+                            top[root(a)] = root(b)
+                            found.append((a, b))
             yield pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
     return run
 
@@ -170,21 +185,27 @@ def _searched(live: DataFrame, labels: DataFrame, nodes: DataFrame, sets_of, per
     # Two single nodes are sifted like a pair, and meet in the first band that they share.
     first_band = F.get(F.filter(F.zip_with("bands_a", "bands_b", lambda x, y: F.when(x == y, x)), lambda v: v.isNotNull()), F.lit(0))
     single = _may_link(percent) & (first_band == F.col("key"))
-    met = asked.join(known, "key").filter(smaller & ((F.col("size_b") > 1) | single))
-    wanted = materialise(met.select("a", F.col("label_b").alias("into")).distinct(), "searches")
-    members = whole.join(wanted.select(F.col("into").alias("label")).distinct(), "label")
-    sets = sets_of(members.select("node").union(wanted.select("a")))
+    # Where many single nodes share a bucket they are a pool, searched as a component is.
+    alone = rows.filter("size = 1").select("key", "node")
+    crowded = materialise(alone.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > POOL).select("key"), "pools")
+    pool = alone.join(crowded, "key").select("node", F.col("key").alias("into"), F.lit(True).alias("pool"))
+    few = known.join(crowded.select("key", F.lit(True).alias("_crowded")), "key", "left")
+    met = asked.join(few, "key").filter(smaller & ((F.col("size_b") > 1) | (F.col("_crowded").isNull() & single)))
+    searches = met.select(F.col("a").alias("node"), F.col("label_b").alias("into"), F.lit(False).alias("pool")).distinct()
+    wanted = materialise(searches.union(pool), "searches")
+    targets = wanted.filter("NOT pool").select(F.col("into").alias("label")).distinct()
+    members = whole.join(targets, "label").select("node", F.col("label").alias("into"), F.lit(False).alias("pool")).union(pool)
+    sets = sets_of(members.select("node").union(wanted.select("node")))
 
     def blocks(df: DataFrame, name: str) -> DataFrame:
         """(into, block of (node, shingles)): the sets for each component, in blocks of bounded size."""
         sized = df.join(sets, "node").withColumn("_n", F.length("shingles") / 8)
-        parts = sized.groupBy("into").agg(F.ceil(F.sum("_n") / F.lit(PART)).cast("int").alias("_parts"))
-        dealt = sized.join(parts, "into").withColumn("_part", F.pmod(F.xxhash64("node"), F.col("_parts")))
-        return dealt.groupBy("into", "_part").agg(F.collect_list(F.struct("node", "shingles")).alias(name)).drop("_part")
+        parts = sized.groupBy("into", "pool").agg(F.ceil(F.sum("_n") / F.lit(PART)).cast("int").alias("_parts"))
+        dealt = sized.join(parts, ["into", "pool"]).withColumn("_part", F.pmod(F.xxhash64("node"), F.col("_parts")))
+        return dealt.groupBy("into", "pool", "_part").agg(F.collect_list(F.struct("node", "shingles")).alias(name)).drop("_part")
 
-    found = blocks(members.select("node", F.col("label").alias("into")), "members").join(
-        blocks(wanted.select(F.col("a").alias("node"), "into"), "asked"), "into")
-    return materialise(found.select("members", "asked").mapInPandas(_search(percent), "a long, b long"), "links")
+    found = blocks(members, "members").join(blocks(wanted, "asked"), ["into", "pool"])
+    return materialise(found.select("pool", "members", "asked").mapInPandas(_search(percent), "a long, b long"), "links")
 
 
 def far_apart(percent: int) -> int:
