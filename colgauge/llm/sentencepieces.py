@@ -34,7 +34,8 @@ from colgauge.session import materialise
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"      # a parameter; read by the driver alone
 CHUNK = 1 << 16         # characters of a chunk of a giant document
-REMEMBER = 200_000      # stretches remembered before the older half is let go
+BATCH = 1_000           # documents that a worker holds at once
+REMEMBER = 120_000      # stretches remembered before the older half is let go
 
 SPACE = "▁"
 _NONE = -1              # the state at a sure cut
@@ -407,6 +408,10 @@ def encode(docs: DataFrame, text: str, name: str, pieces: Pieces, chunk: int = C
     def here(texts: pd.Series) -> pd.Series:
         return pd.Series([pieces.encode(t) for t in texts])
 
+    # Batches of fewer rows: ids and texts of thousands of documents at once are what fills a worker.
+    conf, name_of = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(conf.get(name_of)) > BATCH:
+        conf.set(name_of, str(BATCH))
     # Said to be non-deterministic, or a plan that uses the ids twice would encode twice.
     here = here.asNondeterministic()
     long = F.length(whole_text(text)) > 2 * chunk
