@@ -5,9 +5,16 @@ telephone and social security numbers, e-mail addresses - are replaced by others
 format: a number is taken as an index into its domain Z_a x Z_b, and a Feistel network over the
 two parts permutes the domain under a key, so different values stay different, equal ones stay
 equal in every document, and check digits are made anew. Of an e-mail address every letter and
-digit but those of the last label is shifted within its class by a Feistel network over two halves.
+digit but those of the last label is shifted within its class (``ALPHABETS`` for Latin letters with
+marks, Cyrillic and Greek; letters of other scripts stay) by a Feistel network over two halves.
 Values that do not validate, and all other text, are left as they are.
 
+Looked for are: IBANs of each country's length; e-mail addresses with letters of any script; dates
+year first, day first or, with a day after the twelfth, month first, also before a time of day;
+telephone numbers with ``+`` and country code, or of ten digits in groups of 3, 3 and 4. A number with
+``+`` ends where its country's numbers do if all of them have one length (``NATIONAL``), else after at most 15 digits.
+National numbers in other groups and dates with a month's name are not looked for.
+
 DataFrame functions only; no Python runs on the executors. Matches are found in one pass; only
 the parts of a text that match are rewritten.
 
@@ -26,17 +33,49 @@ KEY = "example-key"     # a parameter: a real key comes from the caller
 ROUNDS = 8
 
 # The forms that are looked for, the first that fits at a place wins.
-EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}"
-IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
+EMAIL = r"[\p{L}\p{N}_][\p{L}\p{M}\p{N}._%+-]*+@(?:[\p{L}\p{N}](?:[\p{L}\p{M}\p{N}-]*[\p{L}\p{M}\p{N}])?\.)+(?:[A-Za-z]{2,}|\p{L}{2,})"
+# Length of an IBAN -> its countries. A number ends where its country's does, whatever follows it.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_form(length: int, countries: str) -> str:
+    groups, rest = divmod(length - 4, 4)
+    return rf"(?:{countries.replace(' ', '|')})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{groups}}}" + (rf" ?[A-Z0-9]{{{rest}}}" if rest else "")
+
+
+# Any other country comes last.
+IBAN = r"(?=[A-Z]{2}\d{2})(?:" + "|".join(_iban_form(n, c) for n, c in IBAN_LENGTHS.items()) + r"|[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)"
 IPV4 = r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)"
-DATE = r"(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[./](?:0[1-9]|1[0-2])[./](?:19|20)\d\d"
-PHONE = r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[ .-]\d{4}"
+_DAY, _MONTH, _YEAR = r"(?:0[1-9]|[12]\d|3[01])", r"(?:0[1-9]|1[0-2])", r"(?:19|20)\d\d"
+# Year first, day first, or month first where no day-first reading is: the day is after the twelfth.
+MONTH_FIRST = rf"{_MONTH}[./-](?:1[3-9]|2\d|3[01])[./-]{_YEAR}"
+DATE = rf"{_YEAR}[/-]{_MONTH}[/-]{_DAY}|{_DAY}[./-]{_MONTH}[./-]{_YEAR}|{MONTH_FIRST}"
+# Digits behind a country code, where all numbers of the country have as many; any other number has 8 to 15 digits in all.
+NATIONAL = {8: "45 47 65 852", 9: "31 32 33 34 41 48 351 420 421 380 61 56", 10: "1 7 44 52 57 90 91", 11: "86"}
+COUNTRY = r"(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+E164 = r"\+(?:" + "|".join(
+    rf"(?:{c.replace(' ', '|')})(?: ?\(0\))?(?:[ .-]|\) ?| \()?\d(?:(?:[ ./-]|\)[ .-]?| \()?\d){{{n - 1}}}" for n, c in NATIONAL.items()
+) + r"|\d(?:(?:[ ./-]|\)[ .-]?| ?\()?\d){7,14})"
+PHONE = E164 + r"|(?:\+\d{1,3}[ .-]?|1[ .-])?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}"
 SSN = r"\d{3}-\d{2}-\d{4}"
 CARD = r"\d{4}([ -]?)\d{4}([ -]?)\d{4}([ -]?)\d{1,7}|\d{4}[ -]?\d{6}[ -]?\d{5}"
 KINDS = {"email": EMAIL, "iban": IBAN, "ip": IPV4, "date": DATE, "phone": PHONE, "ssn": SSN, "card": CARD}
 _BEFORE, _AFTER = r"(?<![\w@+.-])", r"(?![\w@]|[.-]\d)"
+# An address begins at the first letter of its run, whatever mark stands before; a time may follow a date.
+_EDGES = {"email": (r"(?<![\p{L}\p{M}\p{N}_@])(?<![\p{L}\p{M}\p{N}_@][.%+-]{1,8})", _AFTER), "date": (_BEFORE, rf"(?:{_AFTER}|(?=[Tt]\d\d:?\d\d))")}
 _PLAIN = {k: p.replace("([ -]?)", "[ -]?") for k, p in KINDS.items()}
-ANY = _BEFORE + "(?:" + "|".join(_PLAIN.values()) + ")" + _AFTER
+ANY = "|".join("{}(?:{}){}".format(_EDGES.get(k, (_BEFORE, _AFTER))[0], p, _EDGES.get(k, (_BEFORE, _AFTER))[1]) for k, p in _PLAIN.items())
+# Letters beside a to z that are shifted among themselves; each has one capital letter.
+ALPHABETS = (
+    "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿāăąćĉċčďđēĕėęěĝğġģĥħĩīĭįĵķĺļľłńņňŋōŏőœŕŗřśŝşšţťŧũūŭůűųŵŷźżž",
+    "абвгдежзийклмнопрстуфхцчшщъыьэюяёєіїґ", "αβγδεζηθικλμνξοπρστυφχψωάέήίόύώ",
+)
 DATE_BASE, DATE_A, DATE_B = "1900-01-01", 270, 271      # 73,170 days: a domain without remainder
 
 
@@ -116,10 +155,16 @@ def _mixed(digits: Column, left: int, right: int, key: str, what: Column) -> Col
 
 
 def _phone(s: Column, key: str) -> Column:
-    """The last ten digits permuted, a country code kept."""
+    """The number behind the country code permuted; without a ``+`` it is the last ten digits."""
     d = _digits(s)
-    lead = F.length(d) - 10
-    return _refill(s, F.concat(F.substring(d, F.lit(1), lead), _mixed(F.substring(d, lead + 1, F.lit(10)), 5, 5, key, F.lit("phone"))), "[0-9]")
+    behind = F.length(F.regexp_extract(d, "^" + COUNTRY, 0)) + s.rlike(r"^\+\d{1,3} ?\(0\)").cast("int")
+    lead = F.when(s.startswith("+"), behind).otherwise(F.length(d) - 10)
+    rest = F.substring(d, lead + 1, F.length(d))
+    n = F.length(rest)
+    new = F.lit(None).cast("string")
+    for size in range(4, 15):
+        new = F.when(n == size, _mixed(rest, size // 2, size - size // 2, key, F.lit("phone" if size == 10 else f"phone{size}"))).otherwise(new)
+    return _refill(s, F.concat(F.substring(d, F.lit(1), lead), new), "[0-9]")
 
 
 def _ssn(s: Column, key: str) -> Column:
@@ -138,14 +183,23 @@ def _ssn(s: Column, key: str) -> Column:
 
 
 def _date(s: Column, key: str) -> Column:
-    """Days from 1900-01-01 to 2100-05-01, written as they were; NULL for a day that no calendar has."""
-    iso = s.rlike(r"^\d{4}-")
-    mark = F.substring(s, 3, 1)
-    text = F.when(iso, s).otherwise(F.concat_ws("-", F.substring(s, 7, 4), F.substring(s, 4, 2), F.substring(s, 1, 2)))
+    """Days from 1900-01-01 to 2100-05-01, written as they were; NULL for a day that no calendar has.
+
+    A month-first date is permuted until its day is again after the twelfth, so no other date is written like it.
+    """
+    d = _digits(s)
+    iso, month_first = s.rlike(r"^\d{4}"), s.rlike(f"^(?:{MONTH_FIRST})$")
+    at = lambda *parts: F.concat_ws("-", *[F.substring(d, a, n) for a, n in parts])
+    text = F.when(iso, at((1, 4), (5, 2), (7, 2))).when(month_first, at((5, 4), (1, 2), (3, 2))).otherwise(at((5, 4), (3, 2), (1, 2)))
     day = F.try_to_date(text, "yyyy-MM-dd")
-    new = F.date_add(F.lit(DATE_BASE).cast("date"), feistel(F.datediff(day, F.lit(DATE_BASE).cast("date")).cast("long"), DATE_A, DATE_B, key, F.lit("date")).cast("int"))
-    back = F.concat(F.date_format(new, "dd"), mark, F.date_format(new, "MM"), mark, F.date_format(new, "yyyy"))
-    return F.when(day.isNotNull(), F.when(iso, F.date_format(new, "yyyy-MM-dd")).otherwise(back))
+    index = F.datediff(day, F.lit(DATE_BASE).cast("date")).cast("long")
+    step = lambda x: feistel(x, DATE_A, DATE_B, key, F.lit("date"))
+    date_of = lambda x: F.date_add(F.lit(DATE_BASE).cast("date"), x.cast("int"))
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(64)), step(index), lambda x, _: F.when(F.dayofmonth(date_of(x)) > 12, x).otherwise(step(x)))
+    new = date_of(F.when(month_first, walked).otherwise(step(index)))
+    form = lambda f: F.date_format(new, f)
+    digits = F.when(iso, form("yyyyMMdd")).when(month_first, form("MMddyyyy")).otherwise(form("ddMMyyyy"))
+    return F.when(day.isNotNull(), _refill(s, digits, "[0-9]"))
 
 
 def _ip(s: Column, key: str) -> Column:
@@ -157,12 +211,20 @@ def _ip(s: Column, key: str) -> Column:
 
 def _shifted(s: Column, key: str, what: Column) -> Column:
     """Letters and digits of a string permuted within their classes; case and the rest are kept."""
-    low = F.split(F.lower(s), "")
-    size = lambda c: F.when(c.rlike("[0-9]"), 10).when(c.rlike("[a-z]"), 26).otherwise(1)
-    value = lambda c: F.when(c.rlike("[0-9]"), F.ascii(c) - 48).when(c.rlike("[a-z]"), F.ascii(c) - 97).otherwise(F.lit(0))
+    low = F.transform(F.split(s, ""), F.lower)      # letter by letter: one may have two small ones
+    classes = [("0123456789", "9"), ("abcdefghijklmnopqrstuvwxyz", "a"), *((x, x[0]) for x in ALPHABETS)]
+
+    def by_class(c: Column, of, rest: Column) -> Column:
+        out = rest
+        for alphabet, name in reversed(classes):
+            out = F.when(F.position(c, F.lit(alphabet)) > 0, of(alphabet, name)).otherwise(out)
+        return out
+
+    size = lambda c: by_class(c, lambda x, _: F.lit(len(x)), F.lit(1))
+    value = lambda c: by_class(c, lambda x, _: F.position(c, F.lit(x)) - 1, F.lit(0))
     half = F.floor(F.size(low) / 2).cast("int")
     left, right = F.slice(low, F.lit(1), half), F.slice(low, half + 1, F.size(low) - half)
-    shape = F.concat(F.lit("s"), F.regexp_replace(F.regexp_replace(F.lower(s), "[0-9]", "9"), "[a-z]", "a"))
+    shape = F.concat(F.lit("s"), F.array_join(F.transform(low, lambda c: by_class(c, lambda _, name: F.lit(name), c)), ""))
 
     def move(part: Column, sizes: Column, pad: Column) -> Column:
         return F.transform(part, lambda v, j: F.pmod(v + F.conv(F.substring(pad, (j % 32) * 4 + 1, F.lit(4)), 16, 10).cast("int"), F.get(sizes, j)))
@@ -177,14 +239,17 @@ def _shifted(s: Column, key: str, what: Column) -> Column:
 
     start = F.struct(F.transform(left, value).alias("l"), F.transform(right, value).alias("r"))
     done = F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn, lambda st: F.concat(st["l"], st["r"]))
-    chars = F.zip_with(F.split(s, ""), done, lambda c, v: F.when(c.rlike("[0-9]"), F.char(v + 48)).when(
-        c.rlike("[a-z]"), F.char(v + 97)).when(c.rlike("[A-Z]"), F.char(v + 65)).otherwise(c))
-    return F.array_join(chars, "")
+
+    def written(c: Column, v: Column) -> Column:
+        new = by_class(F.lower(c), lambda x, _: F.substring(F.lit(x), v + 1, F.lit(1)), c)
+        return F.when(c == F.lower(c), new).otherwise(F.upper(new))
+
+    return F.array_join(F.zip_with(F.split(s, ""), done, written), "")
 
 
 def _email(s: Column, key: str) -> Column:
     """All but the last label."""
-    last = F.regexp_extract(s, r"\.[A-Za-z]+$", 0)
+    last = F.regexp_extract(s, r"\.\p{L}+$", 0)
     body = F.substring(s, F.lit(1), F.length(s) - F.length(last))
     return F.concat(_shifted(body, key, F.concat(F.lit("email"), F.lower(last))), last)
 

@@ -245,6 +245,40 @@ def test_pseudonyms(spark):
     assert feistel_pii.pseudonymise(empty(spark)).count() == 0
 
 
+def test_pseudonyms_of_wider_forms(spark):
+    values = {
+        "iban": ["ES91 2100 0418 4502 0005 1332", "NO93 8601 1117 947", "DE89370400440532013000"],
+        "email": ["lañ.55@mail9.example.com", "Ünal_ö@exämple.de", "_x.y@mail.org", "иван@почта.рф"],
+        "phone": ["+44 20 7946 0958", "555 123 4567", "+33 1 23 45 67 89", "+442079460958", "+44 (0)20 7946 0958", "+49 30 123456", "1-800-555-0199"],
+        "date": ["2023-01-15", "01/15/2023", "2023/01/15", "15-01-2023"],
+    }
+    after = {"iban": " I am 12 DE89 3704 0044 0532 0130 00", "email": ", yes", "phone": " I am", "date": "T10:00:00Z"}
+    flat = [(k, v) for k, vs in values.items() for v in vs]
+    texts = [f"see {v}{after[k] if k != 'date' or v[2] == '2' else ' x'}" for k, v in flat]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in feistel_pii.pseudonymise(df, found="found").collect()}
+    for i, (k, v) in enumerate(flat):
+        p = got[i].found[0]
+        assert (p.kind, p.value) == (k, v) and p.pseudonym != v and len(p.pseudonym) == len(v), (v, got[i])
+        assert got[i].text.startswith(f"see {p.pseudonym}" + texts[i][4 + len(v) :][:5])
+        assert all(a.isalpha() == b.isalpha() and a.isdigit() == b.isdigit() and a.isupper() == b.isupper() for a, b in zip(v, p.pseudonym))
+    of = {p.value: p.pseudonym for r in got.values() for p in r.found}
+    assert len(got[0].found) == 2 and of["+44 20 7946 0958"].replace(" ", "") == of["+442079460958"] == of["+44 (0)20 7946 0958"].replace(" (0)", "").replace(" ", "")
+    assert of["+33 1 23 45 67 89"].startswith("+33 ") and of["+49 30 123456"].startswith("+49 ")
+    assert of["2023-01-15"].replace("-", "/") == of["2023/01/15"] and int(of["01/15/2023"][3:5]) > 12
+    assert "ñ" not in of["lañ.55@mail9.example.com"]
+    plain = ["lañ.55 and 2023-13-15T10:00", "x" * 3 + " ES91 2100 0418 4502 0005 1333 I am", "a.b.c-" * 20_000]
+    same = spark.createDataFrame(list(enumerate(plain)), "doc_id long, text string")
+    assert [r.text for r in feistel_pii.pseudonymise(same).orderBy("doc_id").collect()] == plain
+
+
+def test_month_first_dates_stay_different(spark):
+    days = spark.range(45000, 46000).select(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")).alias("d")).filter("day(d) > 12")
+    df = days.select(F.concat_ws(" ", F.date_format("d", "MM/dd/yyyy"), F.date_format("d", "dd/MM/yyyy")).alias("text"))
+    found = [p for r in feistel_pii.pseudonymise(df, found="found").collect() for p in r.found]
+    assert len(found) == 2 * df.count() and len({p.pseudonym for p in found}) == len(found)
+
+
 def test_pseudonyms_run_no_python(spark):
     plan = registered_queries()["op4_feistel_pii"](spark, SMALL)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Exchange" not in plan
