@@ -16,6 +16,7 @@ STOP_WORDS = (
     "customer customers account accounts feature features measure measures"
 ).split()
 REPEAT_FROM = 0.6
+PASSAGES = 1000     # passages whose words are sent to every task at once
 
 
 def words(text: str | Column) -> Column:
@@ -81,6 +82,46 @@ def nearest_text(others: DataFrame, id_col: str, text: str, query: str) -> DataF
     )
 
 
+def nearest_passages(
+    others: DataFrame, id_col: str, text: str, passages: DataFrame, passage_id: str, passage_text: str, each: int = PASSAGES
+) -> DataFrame:
+    """The closest of all passages to each text: (id, passage id, similarity) for every text; ids are unique.
+
+    Words are weighted by their rarity over the texts and the passages together. The words of a text are dealt by its
+    id once; the words of the passages come to them in blocks of about ``each`` passages.
+    Of passages equally close, to six places, the first counts; a text that shares no word with any has none, and similarity 0.
+    """
+    asked = materialise(word_counts(passages, passage_id, passage_text), "words")
+    split = others.select(col(id_col).alias("id"), words(text).alias("_words"))
+    n = others.count() + (n_passages := passages.count())
+    seen = split.select(F.explode(F.array_distinct("_words")).alias("word")).unionByName(asked.select("word"))
+    freq = materialise(seen.groupBy("word").agg(_inverse(F.lit(float(n)), F.count(F.lit(1))).alias("idf")), "frequencies")
+    weighed = asked.join(freq, "word").select(F.col("id").alias("passage"), "word", "idf", (F.col("tf") * F.col("idf")).alias("v"))
+    lengths = weighed.groupBy("passage").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("length"))
+    weighed = materialise(weighed.join(lengths, "passage").select("passage", "word", "idf", (F.col("v") / F.col("length")).alias("v")), "passages")
+    tf = split.repartition("id").select("id", F.explode("_words").alias("word")).groupBy("id", "word").agg(F.count(F.lit(1)).alias("tf"))
+    blocks, best, lengths_of = max(1, -(-n_passages // each)), None, None
+    for k in range(blocks):
+        block = weighed.filter(F.pmod(F.xxhash64("passage"), F.lit(blocks)) == k)
+        # Bounded by the passages of a block, so texts stay where they are.
+        holders = F.broadcast(block.groupBy("word").agg(F.first("idf").alias("idf"), F.collect_list(F.struct("passage", "v")).alias("in")))
+        weight = tf.join(holders, "word").select("id", (F.col("tf") * F.col("idf")).alias("w"), "in")
+        if lengths_of is None:      # only words of no passage of the first block are dealt by word
+            rest = tf.join(holders.select("word"), "word", "left_anti").join(freq, "word").select("id", (F.col("tf") * F.col("idf")).alias("w"))
+            squares = [x.groupBy("id").agg(F.sum(F.col("w") * F.col("w")).alias("sq")) for x in (weight, rest)]
+            lengths_of = squares[0].unionByName(squares[1]).groupBy("id").agg(F.sqrt(F.sum("sq")).alias("length"))
+            lengths_of = materialise(lengths_of, "lengths")
+        pairs = weight.select("id", "w", F.explode("in").alias("x")).groupBy("id", "x.passage").agg(F.sum(F.col("w") * F.col("x.v")).alias("dot"))
+        texts = pairs.groupBy("id").agg(F.collect_list(F.struct("passage", "dot")).alias("near")).join(lengths_of, "id")
+        close = F.transform("near", lambda x: F.struct((-F.round(x["dot"] / F.col("length"), 6)).alias("far"), x["passage"].alias("passage")))
+        top = texts.select("id", F.array_min(close).alias("near")).select("id", (-F.col("near.far")).alias("similarity"), "near.passage").filter("similarity IS NOT NULL")
+        best = top if best is None else best.unionByName(top)
+    if blocks > 1:
+        best = best.groupBy("id").agg(F.min(F.struct((-F.col("similarity")).alias("far"), "passage")).alias("near")).select("id", (-F.col("near.far")).alias("similarity"), "near.passage")
+    return others.select(col(id_col).alias("id")).join(best, "id", "left").select(
+        F.col("id").alias(id_col), F.col("passage").alias(passage_id), F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
+
+
 def _weights(tf: DataFrame, items: DataFrame) -> DataFrame:
     """(bag, word, df, weight) with weights of length one; ``copies`` counts the texts of a bag."""
     n = items.agg(F.sum("copies")).scalar()

@@ -412,6 +412,20 @@ def text_similarity(t: Tables) -> DataFrame:
     return text.text_similarity(t.documents, "doc_id", "text", asked).withColumn("similarity", rnd("similarity"))
 
 
+@query("text_nearest", f"""WITH d AS (SELECT 0 AS k, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+tok AS (SELECT k, id, unnest({words_sql('text')}) AS w FROM d), tf AS (SELECT k, id, w, count(*) AS tf FROM tok GROUP BY ALL),
+idf AS (SELECT w, ln((1.0::DOUBLE + (SELECT count(*) FROM d)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY 1),
+x AS (SELECT k, id, tf.w, tf * idf AS v FROM tf JOIN idf ON tf.w = idf.w), n AS (SELECT k, id, sqrt(sum(v * v)) AS n FROM x GROUP BY ALL),
+dot AS (SELECT a.id, b.id AS item_id, sum(a.v * b.v) AS d FROM x a JOIN x b ON a.w = b.w AND a.k = 0 AND b.k = 1 GROUP BY ALL),
+s AS (SELECT dot.id, item_id, round(d / (a.n * b.n), 6) AS similarity FROM dot JOIN n a ON a.k = 0 AND a.id = dot.id JOIN n b ON b.k = 1 AND b.id = item_id),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY similarity DESC, item_id) = 1)
+SELECT doc_id, item_id, coalesce(similarity, 0) + 0.0 AS similarity FROM documents LEFT JOIN best ON doc_id = id""")
+def text_nearest(t: Tables) -> DataFrame:
+    """Every document with the nearest of all benchmark passages."""
+    out = text.nearest_passages(t.documents, "doc_id", "text", t.benchmark, "item_id", "text")
+    return out.withColumn("similarity", rnd("similarity"))
+
+
 @query("novelty", f"""WITH it AS (SELECT conv_id * 1000 + turn AS id, conv_id AS run, turn AS round, {words_sql('text')} AS ws FROM conversations),
 tf AS (SELECT id, run, round, w, count(*) AS tf FROM (SELECT id, run, round, unnest(ws) AS w FROM it) GROUP BY ALL),
 idf AS (SELECT w, ln((1.0::DOUBLE + (SELECT count(*) FROM it)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY 1),

@@ -150,6 +150,15 @@ def test_text_similarity(spark):
     assert near > 0.5 > far and text.nearest_text(df, "id", "text", texts[0]).first().id == 0
 
 
+@pytest.mark.parametrize("each", [1, 1000])
+def test_nearest_of_all_passages(spark, each):
+    passages = spark.createDataFrame([(7, "green apples grow"), (8, "blue whales swim"), (9, "red foxes run"), (10, "blue whales swim"), (11, None)], "p long, t string")
+    texts = spark.createDataFrame([(1, "whales swim far"), (2, "foxes run"), (3, "apples apples"), (4, "nothing shared"), (5, None)], "id long, text string")
+    got = {r.id: r for r in text.nearest_passages(texts, "id", "text", passages, "p", "t", each).collect()}
+    assert {i: r.p for i, r in got.items()} == {1: 8, 2: 9, 3: 7, 4: None, 5: None}
+    assert got[1].similarity > 0.5 and got[4].similarity == got[5].similarity == 0
+
+
 def test_families(spark):
     chain = [(f"k{i}", f"k{i - 1}" if i % 50 else None, i % 2, 1 - i % 2) for i in range(200)]
     df = spark.createDataFrame(chain, "key string, same_as string, signal int, none int")
