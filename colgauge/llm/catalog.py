@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import corpus_pipeline
 from colgauge.llm import (  # noqa: F401
-    backoff_lm, best_fit_packing, feistel_pii, odd_sketch, pivot_search, sentencepieces, simhash, string_kernel, toxic_grammar,
-    weighted_mix,
+    backoff_lm, best_fit_packing, feistel_pii, filter_audit, odd_sketch, pivot_search, sentencepieces, simhash, string_kernel,
+    token_counts, toxic_grammar, vector_codes, weighted_mix,
 )
 from colgauge.llm.common import QUERIES, SQL, Query
 
