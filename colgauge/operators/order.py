@@ -16,6 +16,7 @@ over the whole group would put it in one task. Instead:
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -224,16 +225,17 @@ def attach_by_value(
     ``table`` carries ``n`` and ``n_total``, the rows of each key and of its group.
     Keys with at least 1/``hot_share`` of a group's rows - at most ``hot_share`` of
     them in a group - are sent to every task; the rest, each a small part of the
-    rows, meet by a shuffle. Rows already served are spread over the shuffle by
-    ``spread`` and match nothing there.
+    rows, meet by a shuffle. Rows already served, and those with a NULL key, are spread
+    over the shuffle by ``spread`` and match nothing there.
     """
     heavy = F.col("n") * F.lit(hot_share) >= F.col("n_total")
     hot = table.filter(heavy).select(*keys, F.col(take).alias("_hot"))
     cold = table.filter(~heavy).select(*keys, F.lit(0).cast("bigint").alias("_salt"), F.col(take).alias("_cold"))
     served = rows.join(F.broadcast(hot), list(keys), "left")
+    waits = reduce(lambda x, y: x & y, [col(k).isNotNull() for k in keys], F.col("_hot").isNull())
     served = served.withColumn(
         "_salt",
-        F.when(F.col("_hot").isNull(), F.lit(0).cast("bigint")).otherwise(F.pmod(F.xxhash64(spread), F.lit(4096)) + 1),
+        F.when(waits, F.lit(0).cast("bigint")).otherwise(F.pmod(F.xxhash64(spread), F.lit(4096)) + 1),
     )
     joined = served.join(cold, [*keys, "_salt"], "left")
     return joined.withColumn(take, F.coalesce("_hot", "_cold")).drop("_hot", "_cold", "_salt")
