@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from colgauge.operators.order import attach_by_value
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -46,4 +48,15 @@ def input_bytes(df: DataFrame) -> int:
 
 def groups_for(df: DataFrame, each: int = 8 << 20, least: int = 8) -> int:
     """A number of groups that grows with the input, so that one group never does."""
-    return max(least, min(1 << 20, -(-input_bytes(df) // each)))
+    return max(least, -(-input_bytes(df) // each))
+
+
+def look_up(rows: DataFrame, keys: list[str], known: DataFrame, take: str, spread: str) -> DataFrame:
+    """Adds ``take`` from ``known`` (unique keys, none NULL) to ``rows``, which are read three times; NULL where nothing is known.
+
+    Keys that hold a thousandth of the rows, so at most a thousand, are sent to every task, the others meet by a
+    shuffle that ``spread`` deals the rows of the first ones over. ``take`` is a small value.
+    """
+    held = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    counted = held.join(known.select(*keys, take), keys).withColumn("n_total", F.lit(rows.count()))
+    return attach_by_value(rows, counted, keys, take, F.col(spread))

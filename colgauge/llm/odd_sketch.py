@@ -9,10 +9,11 @@
    first of its pivots. Pairs whose sketches are too far apart, or whose sizes rule the threshold
    out, go; the others are confirmed on their full sets, and links are joined to components. A second
    round does the same with pivots of other components.
-3. Only nodes that share a bucket and are still in different components can hold a link that was
-   not looked at. Each node of the smaller component is looked up in the larger one, whose members lie in
-   blocks of bounded size: a search, of which only links come out, never the pairs of a group. No
-   link inside a bucket is lost.
+3. Only nodes that share a bucket and are still in different components can hold a link that was not looked
+   at. Every such bucket, of two nodes or a million, is searched in the same way: its nodes are packed into blocks of
+   bounded size, pairs of blocks are dealt over the tasks, and inside a task the sketches of two blocks are
+   compared as matrices; the nodes that passed with a node of another component are packed again, with their sets, and
+   searched block by block. Only links that join components come out, never the pairs of a group.
 
 A pair at the threshold itself misses every band once in about two million cases, and its
 sketch the margin about once in fifty thousand; everything else is exact.
@@ -31,16 +32,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from colgauge.llm.common import query, table
+from colgauge.llm.common import look_up, query, table
 from colgauge.llm.words import each_text, mix
-from colgauge.session import materialise
+from colgauge.session import discard, materialise
 
 SHINGLE, SIMILARITY = 5, 80        # words, percent: what near-duplicates mean unless a caller says otherwise
 ROWS, BANDS = 5, 36                # at 80 percent, one pair in two million shares no band
 SKETCH = 512                       # bits of an odd sketch
 MARGIN = 0.17                      # an estimate this far below the threshold is still confirmed on the sets
-PART = 1 << 16                     # shingles of a block of sets, about
-POOL = 16                          # single nodes of a bucket that are still compared pair by pair
+BLOCK = 1024                       # nodes of a block of sketches, about
+PART = 1 << 18                     # shingles of a block of sets, about
+PAIRS = 64                         # pairs that one copy of a pivot's set serves, about
 
 _U = np.uint64
 _K = ROWS * BANDS
@@ -137,75 +139,107 @@ def _confirm(percent: int):
     return run
 
 
-def _search(percent: int):
-    """Looks each asked set up in a block of sets.
+def _column(members: list, name: str, kind) -> np.ndarray:
+    return np.array([m[name] for m in members], kind)
+
+
+def _passing(a: list, b: list, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each node of ``a`` the places of those nodes of ``b`` that may link with it and lie in another component."""
+    bits = _column(b, "sketch", np.int64).view(_U).reshape(len(b), -1)
+    n, labels, limit = _column(b, "n", np.int64), _column(b, "label", np.int64), far_apart(percent)
+    for i, m in enumerate(a):
+        at = np.flatnonzero((labels != m["label"]) & (np.minimum(n, m["n"]) * 100 >= np.maximum(n, m["n"]) * percent))
+        apart = np.bitwise_count(bits[at] ^ np.array(m["sketch"], np.int64).view(_U)).sum(1, dtype=np.int64)
+        yield i, at[apart <= limit]
 
-    In a component, whose members are linked already, the first link is enough; in a pool of single nodes
-    a link is given if it joins what the links given before did not.
-    """
+
+def _sieve(percent: int):
+    """The nodes of two blocks of one bucket that may link, in the first bucket that both share."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                a, b = r.members, r.others if r.others is not None else r.members
+                bands, found = _column(b, "bands", np.int64).reshape(len(b), -1), set()
+                for i, at in _passing(a, b, percent):
+                    shared = bands[at] == np.array(a[i]["bands"], np.int64)
+                    first = bands[at, shared.argmax(1)] == r.key if len(at) else np.zeros(0, bool)
+                    if first.any():
+                        found.add(a[i]["node"])
+                        found.update(b[k]["node"] for k in at[first])
+                yield pd.DataFrame({"key": np.int64(r.key), "node": np.array(sorted(found), np.int64)})
+    return run
+
+
+def _search(percent: int):
+    """Links between two blocks of one bucket, each if it joins what the links before it did not."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = []
             for r in batch.itertuples(index=False):
-                known = [np.frombuffer(m["shingles"], _U) for m in r.members]
-                sizes = np.array([len(m) for m in known])
-                every, starts = np.concatenate(known), np.cumsum(sizes) - sizes
-                top = {m["node"]: m["node"] for m in [*r.members, *r.asked]}
+                a, b = r.members, r.others if r.others is not None else r.members
+                top = {m["label"]: m["label"] for m in [*a, *b]}
 
                 def root(x: int) -> int:
                     while top[x] != x:
                         top[x] = x = top[top[x]]
                     return x
 
-                for asked in r.asked:
-                    q = np.frombuffer(asked["shingles"], _U)
-                    hit = q[np.minimum(np.searchsorted(q, every), len(q) - 1)] == every
-                    both = np.add.reduceat(hit.astype(np.int64), starts)
-                    link = np.flatnonzero(100 * both >= percent * (len(q) + sizes - both))
-                    for k in link if r.pool else link[:1]:
-                        a, b = asked["node"], r.members[k]["node"]
-                        if root(a) != root(b):
-                            top[root(a)] = root(b)
-                            found.append((a, b))
+                sets = [np.frombuffer(m["shingles"], _U) for m in b]
+                for i, at in _passing(a, b, percent):
+                    mine = np.frombuffer(a[i]["shingles"], _U)
+                    for k in at:
+                        one, two = root(a[i]["label"]), root(b[k]["label"])
+                        if one == two:
+                            continue
+                        both = len(np.intersect1d(mine, sets[k], assume_unique=True))
+                        if 100 * both >= percent * (len(mine) + len(sets[k]) - both):
+                            top[one] = two
+                            found.append((a[i]["node"], b[k]["node"]))
             yield pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
     return run
 
 
-def _searched(live: DataFrame, labels: DataFrame, nodes: DataFrame, sets_of, percent: int) -> DataFrame:
-    """Links between components that share a bucket: the nodes of the smaller one looked up in the larger."""
-    whole = nodes.select("node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    sizes = whole.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    rows = live.select("key", "node", "label").join(sizes, "label").join(nodes.select("node", "n", "sketch", "bands"), "node")
-    rows = materialise(rows, "live-facts")
-    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("label", "size", "n", "sketch", "bands")]
-    asked = rows.select("key", F.col("node").alias("a"), *side("a"))
-    known = rows.groupBy("key", "label").agg(*[F.first(c).alias(c) for c in ("size", "n", "sketch", "bands")]).select("key", *side("b"))
-    smaller = (F.col("size_a") < F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("label_a") < F.col("label_b")))
-    # Two single nodes are sifted like a pair, and meet in the first band that they share.
-    first_band = F.get(F.filter(F.zip_with("bands_a", "bands_b", lambda x, y: F.when(x == y, x)), lambda v: v.isNotNull()), F.lit(0))
-    single = _may_link(percent) & (first_band == F.col("key"))
-    # Where many single nodes share a bucket they are a pool, searched as a component is.
-    alone = rows.filter("size = 1").select("key", "node")
-    crowded = materialise(alone.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > POOL).select("key"), "pools")
-    pool = alone.join(crowded, "key").select("node", F.col("key").alias("into"), F.lit(True).alias("pool"))
-    few = known.join(crowded.select("key", F.lit(True).alias("_crowded")), "key", "left")
-    met = asked.join(few, "key").filter(smaller & ((F.col("size_b") > 1) | (F.col("_crowded").isNull() & single)))
-    searches = met.select(F.col("a").alias("node"), F.col("label_b").alias("into"), F.lit(False).alias("pool")).distinct()
-    wanted = materialise(searches.union(pool), "searches")
-    targets = wanted.filter("NOT pool").select(F.col("into").alias("label")).distinct()
-    members = whole.join(targets, "label").select("node", F.col("label").alias("into"), F.lit(False).alias("pool")).union(pool)
-    sets = sets_of(members.select("node").union(wanted.select("node")))
-
-    def blocks(df: DataFrame, name: str) -> DataFrame:
-        """(into, block of (node, shingles)): the sets for each component, in blocks of bounded size."""
-        sized = df.join(sets, "node").withColumn("_n", F.length("shingles") / 8)
-        parts = sized.groupBy("into", "pool").agg(F.ceil(F.sum("_n") / F.lit(PART)).cast("int").alias("_parts"))
-        dealt = sized.join(parts, ["into", "pool"]).withColumn("_part", F.pmod(F.xxhash64("node"), F.col("_parts")))
-        return dealt.groupBy("into", "pool", "_part").agg(F.collect_list(F.struct("node", "shingles")).alias(name)).drop("_part")
-
-    found = blocks(members, "members").join(blocks(wanted, "asked"), ["into", "pool"])
-    return materialise(found.select("pool", "members", "asked").mapInPandas(_search(percent), "a long, b long"), "links")
+def _block_pairs(rows: DataFrame, weight: Column, size: int, fields: list[str], name: str) -> DataFrame:
+    """(key, members, others): the rows of each key in blocks of about ``size``, and every two blocks that can hold a link.
+
+    ``others`` is NULL where a block meets itself. A component as large as a block fills blocks of its own,
+    and two blocks of one component do not meet.
+    """
+    sized = materialise(rows.withColumn("_weight", weight.cast("long")), f"{name}-rows")
+    heavy = sized.groupBy("key", "label").agg(F.sum("_weight").alias("_held"))
+    alone = F.col("_held") >= size
+    rest = heavy.groupBy("key").agg(F.sum(F.when(~alone, F.col("_held"))).alias("_rest"))
+    parts = F.ceil(F.when(alone, F.col("_held")).otherwise(F.col("_rest")) / F.lit(size)).cast("int")
+    plan = heavy.join(rest, "key").select("key", "label", F.struct(alone.alias("alone"), parts.alias("parts")).alias("_plan"))
+    planned = look_up(sized, ["key", "label"], materialise(plan, f"{name}-plan"), "_plan", "node")
+    lone = F.col("_plan.alone")
+    block = F.struct(lone.alias("alone"), F.when(lone, F.col("label")).otherwise(0).alias("label"), F.pmod(F.xxhash64("node"), F.col("_plan.parts")).alias("part"))
+    blocks = materialise(planned.groupBy("key", block.alias("block")).agg(
+        F.collect_list(F.struct(*fields)).alias("members"), F.min("label").alias("low"), F.max("label").alias("high")), f"{name}-blocks")
+    discard(sized)
+    # Blocks are numbered by names alone; their rows follow when the pairs are dealt out.
+    names = blocks.select("key", "block", "low", "high")
+    other = names.select("key", F.col("block").alias("_other"), F.col("low").alias("_low"), F.col("high").alias("_high"))
+    mixed = (F.col("low") < F.col("high")) | (F.col("_low") < F.col("_high")) | (F.col("low") != F.col("_low"))
+    pairs = names.join(other, "key").filter((F.col("block") < F.col("_other")) & mixed).select("key", "block", "_other")
+    held = blocks.select("key", "block", "members")
+    met = pairs.join(held, ["key", "block"]).join(
+        held.select("key", F.col("block").alias("_other"), F.col("members").alias("others")), ["key", "_other"])
+    own = blocks.filter("low < high").select("key", "members")
+    return met.select("key", "members", "others").unionByName(own, allowMissingColumns=True)
+
+
+def _searched(live: DataFrame, nodes: DataFrame, sets_of, percent: int) -> DataFrame:
+    """Links between the components that still share a bucket."""
+    facts = live.select("key", "node", "label").join(nodes.select("node", "n", "sketch", "bands"), "node")
+    met = _block_pairs(facts, F.lit(1), BLOCK, ["node", "label", "n", "sketch", "bands"], "sketch")
+    passed = materialise(met.mapInPandas(_sieve(percent), "key long, node long").distinct(), "passed")
+    sets = sets_of(passed.select("node"))
+    rows = live.select("key", "node", "label").join(passed, ["key", "node"]).join(nodes.select("node", "n", "sketch"), "node").join(sets, "node")
+    met = _block_pairs(rows, F.length("shingles") / 8, PART, ["node", "label", "n", "sketch", "shingles"], "set")
+    return materialise(met.select("members", "others").mapInPandas(_search(percent), "a long, b long"), "links")
 
 
 def far_apart(percent: int) -> int:
@@ -223,25 +257,29 @@ def _may_link(percent: int) -> Column:
     return sizes & (apart <= far_apart(percent))
 
 
-def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node that each node of an edge reaches.
 
     Every round each node takes the smallest label among its neighbours', then the label of its
-    label; paths halve, so a few rounds do. A round is written before the next one reads it.
+    label; paths halve, so a few rounds do. A round is written before the next one reads it, and labels
+    are looked up so that neither a pivot of many edges nor a large component is a hot key.
     """
     both = materialise(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
     labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("_near"))
+        seen = look_up(both, ["b"], labels.select(F.col("node").alias("b"), "label"), "label", "a")
+        near = seen.groupBy(F.col("a").alias("node")).agg(F.min("label").alias("_near"))
         # A label also offers itself to the node it names, so that trees hang on smaller roots.
         offered = near.join(labels, "node").select(F.col("label").alias("node"), "_near").groupBy("node").agg(F.min("_near").alias("_offer"))
-        taken = labels.join(near, "node").join(offered, "node", "left").select(
-            "node", F.least("label", "_near", F.coalesce("_offer", "label")).alias("label"), F.col("label").alias("_old"))
-        jump = taken.select(F.col("node").alias("label"), F.col("label").alias("_up"))
-        after = materialise(taken.join(jump, "label").select("node", F.least("label", "_up").alias("label"), "_old"), "labels")
+        taken = materialise(labels.join(near, "node").join(offered, "node", "left").select(
+            "node", F.least("label", "_near", F.coalesce("_offer", "label")).alias("label"), F.col("label").alias("_old")), "labels")
+        after = look_up(taken, ["label"], taken.select(F.col("node").alias("label"), F.col("label").alias("_up")), "_up", "node")
+        after = materialise(after.select("node", F.least("label", "_up").alias("label"), "_old"), "labels")
+        discard(labels, taken)
         if not after.filter(F.col("label") != F.col("_old")).limit(1).count():
+            discard(both)
             return after.select("node", "label")
-        labels = after.select("node", "label")
+        labels = after
 
 
 def near_duplicates(docs: DataFrame, id_col: str, text: str, shingle: int = SHINGLE, percent: int = SIMILARITY) -> DataFrame:
@@ -255,16 +293,19 @@ def near_duplicates(docs: DataFrame, id_col: str, text: str, shingle: int = SHIN
     nodes = materialise(full.groupBy("node").agg(
         F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"), F.min("id").alias("first_id")), "nodes")
     bands = nodes.select("node", F.explode("bands").alias("key"))
-    pivots = bands.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot < last")
+    pivots = bands.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot < last").select("key", "pivot")
     # Only buckets of two nodes or more go on.
-    shared = materialise(bands.join(pivots, "key"), "shared-bands")
+    shared = materialise(look_up(bands, ["key"], materialise(pivots, "pivots"), "pivot", "node").filter("pivot IS NOT NULL"), "shared-bands")
     facts = nodes.select("node", "n", "sketch")
 
     def sifted(pairs: DataFrame) -> DataFrame:
         """Of each node's pivots the first, if sizes and sketches allow a link."""
         a = facts.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
-        b = facts.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
-        return pairs.groupBy("a").agg(F.min("b").alias("b")).join(a, "a").join(b, "b").filter(_may_link(percent)).select("a", "b")
+        chosen = materialise(pairs.groupBy("a").agg(F.min("b").alias("b")), "chosen")
+        pivot = facts.select(F.col("node").alias("b"), F.struct("n", "sketch").alias("_pivot"))
+        met = look_up(chosen, ["b"], pivot, "_pivot", "a").join(a, "a")
+        met = met.withColumn("n_b", F.col("_pivot.n")).withColumn("sketch_b", F.col("_pivot.sketch"))
+        return met.filter(_may_link(percent)).select("a", "b")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         """(node, shingles) of some nodes, from the texts again."""
@@ -275,31 +316,37 @@ def near_duplicates(docs: DataFrame, id_col: str, text: str, shingle: int = SHIN
         return materialise(sets.filter("node = of").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
+        """Pairs whose full sets make a link; a pivot's set comes in as many copies as its pairs need."""
         pairs = materialise(pairs, "candidates")
         sets = sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
-        a, b = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
-        return materialise(pairs.join(a, "a").join(b, "b").mapInPandas(_confirm(percent), "a long, b long"), "links")
+        copies = materialise(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / F.lit(PAIRS)).cast("int").alias("copies")), "copies")
+        dealt = look_up(pairs, ["b"], copies, "copies", "a").select("a", "b", F.pmod(F.xxhash64("a"), F.col("copies")).alias("copy"))
+        mine = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
+        pivot = copies.join(sets.withColumnRenamed("node", "b"), "b").select(
+            "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - F.lit(1).cast("long"))).alias("copy"), F.col("shingles").alias("sb"))
+        return materialise(dealt.join(mine, "a").join(pivot, ["b", "copy"]).mapInPandas(_confirm(percent), "a long, b long"), "links")
 
     def live() -> DataFrame:
         """Members of buckets that still hold two components."""
-        known = shared.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        known = materialise(shared.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled-bands")
         ends = known.groupBy("key").agg(F.min("label").alias("low"), F.max(F.struct("label", "node")).alias("top")).filter(
-            F.col("low") < F.col("top.label"))
-        return materialise(known.join(ends, "key").select("key", "node", "label", "top"), "live-bands")
+            F.col("low") < F.col("top.label")).select("key", "top")
+        return materialise(look_up(known, ["key"], materialise(ends, "live-keys"), "top", "node").filter("top IS NOT NULL"), "live-bands")
 
     edges = confirmed(sifted(shared.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))))
     labels = components(edges)
     other = live().filter(F.col("label") != F.col("top.label")).select(F.col("node").alias("a"), F.col("top.node").alias("b"))
     edges = edges.union(confirmed(sifted(other)))
     labels = components(edges)
-    edges = edges.union(_searched(live(), labels, nodes, sets_of, percent))
+    edges = edges.union(_searched(live(), nodes, sets_of, percent))
     labels = components(edges)
 
-    named = nodes.select("node", "first_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = materialise(nodes.select("node", "first_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "named")
     first = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    classes = named.join(first, "label").select("node", "component_id")
-    return signed.select("id", F.col("n").alias("n_shingles"), "node").join(classes, "node", "left").select(
-        F.col("id").alias(id_col), "n_shingles", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    classes = look_up(named, ["label"], first, "component_id", "node").select("node", "component_id")
+    classed = look_up(full.select("id", "n", "node"), ["node"], materialise(classes, "classes"), "component_id", "id")
+    alone = signed.filter("node IS NULL").select("id", "n", F.col("id").alias("component_id"))
+    return classed.select("id", "n", "component_id").union(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
