@@ -1,4 +1,4 @@
-"""Global order without a global sort.
+"""Global order without one long sorted group.
 
 Ranks, quantiles, Gini and capture rates all need positions in one long order, and
 one group (a split, a model variant, a busy key) may hold most of the rows. A window
@@ -6,9 +6,9 @@ over the whole group would put it in one task. Instead:
 
 1. rows are summed to one block per distinct value (partial aggregation shrinks
    repeated values before the shuffle),
-2. each block falls in a bucket given by a monotone function of its value and of the
-   smallest and largest value near it, so the buckets follow the data, never depend on a
-   sample, and are the same if a task is run again,
+2. the blocks are range-partitioned by group and value and written with the number of
+   their partition, their bucket: the cuts follow the blocks themselves, so a cluster of
+   values within a hair's breadth fills as many buckets as any others,
 3. the small table of bucket totals is summed in bucket order, and each block adds
    what came before it inside its own bucket.
 """
@@ -21,48 +21,28 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from colgauge.functions.scalars import col, seconds
+from colgauge.session import materialise
 
-LOWEST = -(2**62)
-_LOG_SHIFT = 746.0  # above |ln| of the smallest double, so every logarithm is positive
-_LARGEST = 1.7e308
-CROWDED = 4096  # blocks of a bucket that are still put in order by one task
+BUCKET_BYTES = 32 << 10   # of small tables; larger ones have as many buckets as the session shuffles into
+LEAST_BUCKETS = 128       # but no fewer than these
 
 
-def value_bucket(value: str | Column, steps: int = 4096) -> Column:
-    """A bucket number that never decreases as the value grows; NULL sorts lowest.
-
-    Buckets are equal steps of the logarithm, so they follow values of any scale:
-    ``steps`` of them for each factor of e, on each side of zero.
-    """
-    v = col(value).cast("double")
-    size = F.least(F.abs(v), F.lit(_LARGEST))
-    step = F.floor((F.ln(size) + F.lit(_LOG_SHIFT)) * F.lit(float(steps)))
-    return (
-        F.when(v.isNull(), F.lit(LOWEST))
-        .when(v == 0, F.lit(0).cast("bigint"))
-        .when(v > 0, step)
-        .otherwise(-step)
-    )
+def buckets_for(df: DataFrame) -> int:
+    """How many buckets to cut a table into, by its size as the plan knows it."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    most = max(LEAST_BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return max(1, min(most, size // BUCKET_BYTES))
 
 
-def data_buckets(blocks: DataFrame, group: Sequence[str], order: str) -> DataFrame:
-    """Adds ``_bucket``, a pair of numbers that never decreases along ``order`` within a group.
+def range_buckets(blocks: DataFrame, group: Sequence[str], order: str) -> DataFrame:
+    """``blocks`` written with ``_bucket``, a number that never decreases along ``order`` within a group.
 
-    The first is :func:`value_bucket`. Where that holds more than ``CROWDED`` blocks - a column
-    of narrow range, ids, times - the second cuts it in equal steps between its smallest and
-    largest value, as many as keep the steps of evenly spread values below that number.
+    A bucket is a partition of Spark's range partitioning, each with about as many
+    blocks. The table is written: both uses of the running totals, and every task that is run again,
+    see the same cuts. NULL sorts lowest.
     """
-    value = col(order).cast("double")
-    coarse = blocks.withColumn("_coarse", value_bucket(order))
-    held = coarse.groupBy(*group, "_coarse").agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(F.lit(1)).alias("_held"))
-    crowded = held.filter((F.col("_held") > CROWDED) & (F.col("_lo") < F.col("_hi"))).withColumn(
-        "_steps", F.ceil(F.col("_held") * 2 / F.lit(CROWDED))).drop("_held")
-    share = F.nanvl((value - F.col("_lo")) / (F.col("_hi") - F.col("_lo")), F.lit(0.0))
-    step = F.when(value >= F.col("_hi"), F.col("_steps") - 1).otherwise(
-        F.least(F.floor(share * F.col("_steps")), F.col("_steps") - 1))
-    fine = F.coalesce(step, F.lit(0)).cast("bigint")
-    joined = coarse.join(crowded, [*group, "_coarse"], "left")
-    return joined.withColumn("_bucket", F.struct(F.col("_coarse").alias("a"), fine.alias("b"))).select(*blocks.columns, "_bucket")
+    cut = blocks.repartitionByRange(buckets_for(blocks), *[col(g) for g in group], col(order))
+    return materialise(cut.withColumn("_bucket", F.spark_partition_id().cast("bigint")), "ordered-blocks")
 
 
 def time_bucket(time: str | Column, width: int = 86_400) -> Column:
@@ -120,9 +100,9 @@ def running_totals(
     order. NULL order values come first, or last when descending.
     """
     if bucket is None:
-        b = data_buckets(blocks, group, order)
+        b = range_buckets(blocks, group, order)
         if descending:
-            b = b.withColumn("_bucket", F.struct((-F.col("_bucket.a")).alias("a"), (-F.col("_bucket.b")).alias("b")))
+            b = b.withColumn("_bucket", -F.col("_bucket"))
     else:
         b = blocks.withColumn("_bucket", -bucket if descending else bucket)
     b = carry_in(b, group, "_bucket", {n: F.col(n) for n in sums}, totals=True)

@@ -27,8 +27,10 @@ def df(spark, values):
 
 
 def test_bucket_never_decreases(df):
-    rows = df.filter("x IS NOT NULL").select("x", order.value_bucket("x").alias("b")).toPandas().sort_values("x")
-    assert (rows.b.diff().dropna() >= 0).all()
+    spread = order.range_buckets(df.select("g", "x").distinct(), ["g"], "x")
+    for g in (0, 1):
+        rows = spread.filter(F.col("g") == g).toPandas().sort_values("x", na_position="first")
+        assert (rows._bucket.diff().dropna() >= 0).all()
 
 
 def test_quantiles(df, values):
@@ -94,14 +96,25 @@ def test_psi(spark):
     assert got["same"] == pytest.approx(0, abs=1e-12) and got["gone"] > 1.0 and got["empty"] is None
 
 
-@pytest.mark.parametrize("low, step", [(101_325.0, 5e-6), (1_700_000_000_000_000.0, 1.0), (-8.0, 1e-7)])
-def test_narrow_values_are_spread(spark, low, step):
-    """Values of narrow relative range - pressures, microseconds - do not meet in one bucket."""
-    blocks = spark.range(200_000).select(F.lit("x").alias("g"), (F.lit(low) + F.col("id") * step).alias("value"), F.lit(1).alias("n"))
-    spread = order.data_buckets(blocks, ["g"], "value")
+SPREADS = {
+    "pressures": "101325D + id * 5e-6",
+    "microseconds": "1700000000000000D + id",
+    "negative": "-8D + id * 1e-7",
+    # A cluster, and outliers on both sides of it.
+    "cluster": "1e6 + if(id < 10, id * 40D - 200, id * 1e-6)",
+    # Bursts, each a millionth as wide as the way to the next.
+    "bursts": "floor(id / 20000) * 1e6 + id % 20000 * 1e-5",
+    "magnitudes": "exp(id / 1000) - exp((200000 - id) / 1000)",
+}
+
+
+@pytest.mark.parametrize("kind", SPREADS)
+def test_clustered_values_are_spread(spark, kind):
+    """However close together most values lie, no bucket holds more than a fiftieth of them."""
+    blocks = spark.range(200_000).select(F.lit("x").alias("g"), "id", F.expr(SPREADS[kind]).alias("value"), F.lit(1).alias("n"))
+    spread = order.range_buckets(blocks, ["g"], "value")
     assert spread.groupBy("_bucket").count().agg(F.max("count")).first()[0] < 0.02 * 200_000
+    wanted = blocks.toPandas().value.rank(method="first").to_numpy() - 1
     for down in (False, True):
-        ranked = order.running_totals(blocks, ["g"], "value", ["n"], descending=down)
-        place = F.round((F.col("value") - low) / step)
-        wanted = 199_999 - place if down else place
-        assert ranked.filter(F.col("n_before") != wanted).count() == 0
+        ranked = order.running_totals(blocks, ["g"], "value", ["n"], descending=down).toPandas().sort_values("id")
+        assert (ranked.n_before.to_numpy() == (199_999 - wanted if down else wanted)).all()
