@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from colgauge.functions.scalars import col
@@ -56,13 +58,39 @@ def mutual_info_pairs(codes: DataFrame, pairs: Sequence[tuple[str, str]]) -> Dat
     Natural logarithms, floored at 0; ``nmi`` divides by the smaller entropy and is
     NULL when that is 0. Rows reduce to joint counts before any shuffle.
     """
-    stacked = codes.select(F.explode(F.array(*[
-        F.struct(F.lit(a).alias("feature"), F.lit(b).alias("other"), col(a).cast("int").alias("a"), col(b).cast("int").alias("b"))
-        for a, b in pairs
-    ])).alias("_p")).select("_p.*")
-    pair = ["feature", "other"]
-    joint = stacked.groupBy(*pair, "a", "b").agg(F.count(F.lit(1)).alias("n"))
-    return _mi_from_joint(joint, pair)
+    return _mi_from_joint(joint_counts(codes, pairs), ["feature", "other"])
+
+
+def joint_counts(codes: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """(feature, other, a, b, n): how often two codes meet, counted as arrays batch by batch.
+
+    No row is repeated for its pairs: a task adds up one table of counts for each pair
+    and gives out what is in it once, at its end. NULL is a code like any other.
+    """
+    columns = list(dict.fromkeys(c for pair in pairs for c in pair))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[str, dict] = {c: {} for c in columns}
+        tables = [np.zeros((1, 1), np.int64) for _ in pairs]
+        for batch in batches:
+            places = {}
+            for c in columns:
+                values, inverse = np.unique(batch[c].to_numpy(float, na_value=np.nan), return_inverse=True)
+                places[c] = np.array([seen[c].setdefault(None if np.isnan(v) else int(v), len(seen[c])) for v in values], np.int64)[inverse]
+            for k, (a, b) in enumerate(pairs):
+                shape = len(seen[a]), len(seen[b])
+                counted = np.bincount(places[a] * shape[1] + places[b], minlength=shape[0] * shape[1]).reshape(shape)
+                counted[: tables[k].shape[0], : tables[k].shape[1]] += tables[k]
+                tables[k] = counted
+        for (a, b), held in zip(pairs, tables):
+            i, j = np.nonzero(held)
+            left, right = list(seen[a]), list(seen[b])
+            yield pd.DataFrame({
+                "feature": a, "other": b, "a": pd.array([left[x] for x in i], dtype="Int32"),
+                "b": pd.array([right[x] for x in j], dtype="Int32"), "n": held[i, j]})
+
+    parts = codes.select(*[col(c).cast("int").alias(c) for c in columns]).mapInPandas(count, "feature string, other string, a int, b int, n long")
+    return parts.groupBy("feature", "other", "a", "b").agg(F.sum("n").alias("n"))
 
 
 def _mi_from_joint(joint: DataFrame, pair: Sequence[str]) -> DataFrame:
@@ -121,7 +149,12 @@ def psi(
     edges = quantile_edges(df.filter(col(by) == reference), columns, bins, accuracy)
     coded = quantile_codes(df, [by], edges)
     counts = _bucket_shares(coded, by, columns)
-    levels = F.create_map(*[x for c in columns for x in (F.lit(c), F.lit(len(edges[c]) + 2 if edges[c] else 0))])
+    return stability(counts, edges, by, reference)
+
+
+def stability(counts: DataFrame, edges: Mapping[str, Sequence[float]], by: str, reference: str) -> DataFrame:
+    """:func:`psi` from rows counted by (feature, by, code)."""
+    levels = F.create_map(*[x for c in edges for x in (F.lit(c), F.lit(len(edges[c]) + 2 if edges[c] else 0))])
     totals = counts.groupBy("feature", by).agg(F.sum("n").alias("t"))
     grid = totals.withColumn("code", F.explode(F.sequence(F.lit(0), F.greatest(levels[F.col("feature")] - 1, F.lit(0)))))
     full = grid.join(counts, ["feature", by, "code"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
@@ -138,10 +171,13 @@ def psi(
 
 def distribution_check(
     df: DataFrame, columns: Sequence[str], reference: str = "train", others: Sequence[str] = ("valid", "test"),
-    split: str = "split", bins: int = 10,
+    split: str = "split", bins: int = 10, stabilities: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per column: psi_{split} for each other split, psi_max and psi_worst_split."""
-    long = psi(df, columns, split, reference, bins)
+    """One row per column: psi_{split} for each other split, psi_max and psi_worst_split.
+
+    ``stabilities``, if given, is what :func:`psi` would find.
+    """
+    long = psi(df, columns, split, reference, bins) if stabilities is None else stabilities
     named = [F.max(F.when(col(split) == s, F.col("psi"))).alias(f"psi_{s}") for s in others]
     worst = F.max(F.when(
         F.col("psi").isNotNull(),

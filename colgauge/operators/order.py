@@ -97,10 +97,11 @@ def running_totals(
     """Adds ``{name}_before`` and ``{name}_total`` to blocks of unique (group, order).
 
     ``{name}_before`` sums the column over the blocks that come earlier in the
-    order. NULL order values come first, or last when descending.
+    order. NULL order values come first, or last when descending. Blocks that come from
+    :func:`range_buckets` keep its cuts.
     """
     if bucket is None:
-        b = range_buckets(blocks, group, order)
+        b = blocks if "_bucket" in blocks.columns else range_buckets(blocks, group, order)
         if descending:
             b = b.withColumn("_bucket", -F.col("_bucket"))
     else:
@@ -113,7 +114,7 @@ def running_totals(
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     return b.select(
-        *blocks.columns,
+        *[c for c in blocks.columns if c != "_bucket"],
         *[(F.col(f"{n}_carry") + F.coalesce(F.sum(n).over(inside), F.lit(0))).alias(f"{n}_before") for n in sums],
         *[f"{n}_total" for n in sums],
     )
@@ -178,7 +179,12 @@ def quantiles(
     around each position are looked up in the running counts.
     """
     group = [*by, "feature"]
-    blocks = running_totals(value_counts(melt(df, by, columns), group), group, "value", ["n"])
+    return block_quantiles(value_counts(melt(df, by, columns), group), group, probs)
+
+
+def block_quantiles(counted: DataFrame, group: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """:func:`quantiles` of rows that are summed to blocks of (group, value, n) already."""
+    blocks = running_totals(counted, group, "value", ["n"])
     requests: dict[str, Column] = {}
     for i, p in enumerate(probs):
         at = (F.col("n_total") - 1) * F.lit(float(p))

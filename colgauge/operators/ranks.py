@@ -32,22 +32,27 @@ def rank_table(long: DataFrame, group: Sequence[str]) -> DataFrame:
     )
 
 
-def average_rank(df: DataFrame, id_col: str, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Average ranks as rows: (id, by, feature, value, n_total, avg_rank); a missing value has no rank."""
+def average_rank(
+    df: DataFrame, id_col: str, columns: Sequence[str], by: Sequence[str] = (), table: DataFrame | None = None
+) -> DataFrame:
+    """Average ranks as rows: (id, by, feature, value, n_total, avg_rank); a missing value has no rank.
+
+    ``table``, if given, is the :func:`rank_table` of the columns.
+    """
     long = melt(df, [id_col, *by], columns)
     group = [*by, "feature"]
-    table = rank_table(long, group)
+    table = rank_table(long, group) if table is None else table
     totals = table.groupBy(*group).agg(F.max("n_total").alias("n_total"))
     ranked = attach_by_value(long, table, [*group, "value"], "avg_rank", col(id_col))
     return ranked.join(totals, group) if by else ranked.join(F.broadcast(totals), group)
 
 
-def rank_columns(df: DataFrame, id_col: str, columns: Sequence[str]) -> DataFrame:
+def rank_columns(df: DataFrame, id_col: str, columns: Sequence[str], table: DataFrame | None = None) -> DataFrame:
     """One row per id with each column's centred rank, scaled to -0.5..0.5.
 
     Scaling leaves every correlation as it is and keeps sums of squares small.
     """
-    long = average_rank(df, id_col, columns)
+    long = average_rank(df, id_col, columns, table=table)
     centred = (F.col("avg_rank") - (F.col("n_total") + 1) / 2) / F.col("n_total")
     return long.groupBy(id_col).agg(
         *[F.max(F.when(F.col("feature") == c, centred)).alias(c) for c in columns]
@@ -115,11 +120,11 @@ def _block_sums(wide: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
 
 
 def spearman_pairs(
-    df: DataFrame, id_col: str, pairs: Sequence[tuple[str, str]], method: str = "blocks"
+    df: DataFrame, id_col: str, pairs: Sequence[tuple[str, str]], method: str = "blocks", table: DataFrame | None = None
 ) -> DataFrame:
-    """Rank correlation over ranks of the whole column: (feature, other, rho, n)."""
+    """Rank correlation over ranks of the whole column: (feature, other, rho, n); ``table`` as in :func:`average_rank`."""
     columns = list(dict.fromkeys(name for pair in pairs for name in pair))
-    return correlate(rank_columns(df, id_col, columns), pairs, method)
+    return correlate(rank_columns(df, id_col, columns, table), pairs, method)
 
 
 def spearman_target(df: DataFrame, id_col: str, features: Sequence[str], target: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from colgauge.functions.scalars import col
 from colgauge.operators.binning import distribution_check
+from colgauge.operators.blocks import block_psi, profile_blocks
 from colgauge.operators.clean import FeatureSet
 from colgauge.operators.profile import profile_columns
 
@@ -23,15 +24,23 @@ class QualityOptions:
     distribution: bool = True
 
 
-def data_quality(df: DataFrame, features: FeatureSet, options: QualityOptions = QualityOptions()) -> DataFrame:
+def data_quality(
+    df: DataFrame, features: FeatureSet, options: QualityOptions = QualityOptions(), blocks: DataFrame | None = None
+) -> DataFrame:
     """One row per column: its profile on train, its drift, failed_checks and passed.
 
-    A column without a drift figure does not fail the drift check.
+    A column without a drift figure does not fail the drift check. ``blocks`` of the columns, if given,
+    are read in place of the rows.
     """
-    train = df.filter(col(features.split) == "train")
-    report = profile_columns(train, features.all)
+    found = None
+    if blocks is None:
+        report = profile_columns(df.filter(col(features.split) == "train"), features.all)
+    else:
+        report = profile_blocks(blocks, {c: t for c, t in df.dtypes if c in set(features.all)}, "train", features.split)
     if options.distribution:
-        drift = distribution_check(df, features.all, options.reference, options.others, features.split, options.bins)
+        if blocks is not None:
+            found = block_psi(blocks, features.all, features.split, options.reference, options.bins)
+        drift = distribution_check(df, features.all, options.reference, options.others, features.split, options.bins, found)
         report = report.join(drift, "feature", "left")
     else:
         report = report.withColumn("psi_max", F.lit(None).cast("double"))

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from colgauge.functions.scalars import col
+from colgauge.operators.blocks import value_blocks
 from colgauge.operators.clean import DEFAULT_SENTINELS, FeatureSet, MissingIndicators, add_missing_indicators, clean_missing
 from colgauge.operators.guards import preflight
 from colgauge.operators.metrics import evaluate_predictions, new_feature_share, wide_comparison
@@ -62,15 +63,18 @@ def validate(df: DataFrame, features: FeatureSet, options: RunOptions = RunOptio
     broken = preflight(rows, features, options.fit.task, variants=options.variants).filter("status = 'FAIL'").collect()
     if broken:
         raise ValueError("; ".join(f"{r.check}: {r.detail}" for r in broken))
-    quality = materialise(data_quality(rows, features, options.quality), "quality")
-    stats, matrix = selection.measure(rows, features, options.selection)
+    blocks = value_blocks(rows, [*features.all, features.target], features.split, features.target)
+    quality, (stats, matrix), table = models.side_by_side(rows.sparkSession, [
+        lambda: materialise(data_quality(rows, features, options.quality, blocks), "quality"),
+        lambda: selection.measure(rows, features, options.selection, blocks),
+        lambda: models.training_table(rows, features),
+    ])
     selected = selection.select_features(stats, matrix, features, options.selection)
     new = list(features.new)
     if options.verdict.enforce:
         failed = {r.feature for r in quality.filter("NOT passed").collect()}
         new = [r.feature for r in selected.filter("kept").collect() if r.feature not in failed]
         new = [f for f in features.new if f in new]
-    table = models.training_table(rows, features)
     fits = models.fit_variants(table, models.build_variants(features.base, new, options.variants), options.fit)
     predictions = materialise(models.all_predictions(fits), "predictions")
     metrics = materialise(evaluate_predictions(predictions, options.shares), "metrics")
@@ -113,7 +117,10 @@ def evaluation_results(run: Run, feature_stats: DataFrame, split: str = "test")
 def evaluate_together(
     run: Run, df: DataFrame, which: str = "passing", options: RunOptions = RunOptions()
 ) -> DataFrame | None:
-    """Base against base with all candidates, or with the passing ones, in one model; None below two."""
+    """Base against base with all candidates, or with the passing ones, in one model; None below two.
+
+    ``df`` holds the run's rows; a base that the run fitted with the same options is not fitted again.
+    """
     chosen: Sequence[str] = run.features.new
     if which == "passing":
         passed = {r.feature for r in run.verdicts.filter("verdict = 'PASS'").collect()}
@@ -123,5 +130,7 @@ def evaluate_together(
     table = models.training_table(clean_missing(df, run.features.all, options.sentinels), run.features)
     name = "all_passing" if which == "passing" else "all_new"
     variants = models.build_variants(run.features.base, run.features.new, ("base",), {name: list(chosen)})
-    predictions = materialise(models.all_predictions(models.fit_variants(table, variants, options.fit)), "together")
+    known = [f for f in run.fits if f.variant == variants[0] and f.options == options.fit]
+    fits = known[:1] + models.fit_variants(table, variants[len(known[:1]):], options.fit)
+    predictions = materialise(models.all_predictions(fits), "together")
     return wide_comparison(evaluate_predictions(predictions, options.shares), shares=options.shares)
