@@ -79,11 +79,25 @@ def family_roots(records: DataFrame, key: str = "key", same_as: str = "same_as")
 
 
 def pool_families(
-    records: DataFrame, key: str = "key", same_as: str = "same_as", signal: str = "signal", none: str = "none"
+    records: DataFrame, key: str = "key", same_as: str = "same_as", signal: str = "signal", none: str = "none",
+    inherited_signal: str | None = None, inherited_none: str | None = None,
 ) -> DataFrame:
-    """Every record with its family and the standing of all the family's evidence."""
+    """Every record with its family and the standing of all the family's evidence.
+
+    A record whose ``same_as`` names one that is not there any more brings what it inherited
+    from it (``inherited_*``, NULL counts as 0) into its family; where the other is there, its own evidence counts instead.
+    """
     roots = family_roots(records, key, same_as)
-    counted = records.select(col(key).alias("key"), col(signal).alias("_s"), col(none).alias("_n")).join(roots, "key")
+    kept = lambda name: col(name) if name else F.lit(0)
+    carried = records.select(
+        col(key).alias("key"), col(same_as).alias("_same"), F.coalesce(col(signal), F.lit(0)).alias("_s"), F.coalesce(col(none), F.lit(0)).alias("_n"),
+        F.coalesce(kept(inherited_signal), F.lit(0)).alias("_is"), F.coalesce(kept(inherited_none), F.lit(0)).alias("_in"))
+    if inherited_signal or inherited_none:
+        there = records.select(col(key).alias("_same")).distinct().withColumn("_there", F.lit(True))
+        carried = carried.join(there, "_same", "left")
+        gone = F.col("_same").isNotNull() & F.col("_there").isNull()
+        carried = carried.withColumns({"_s": F.col("_s") + F.when(gone, F.col("_is")).otherwise(0), "_n": F.col("_n") + F.when(gone, F.col("_in")).otherwise(0)})
+    counted = carried.select("key", "_s", "_n").join(roots, "key")
     totals = counted.groupBy("family").agg(
         F.coalesce(F.sum("_s"), F.lit(0)).alias("signal"), F.coalesce(F.sum("_n"), F.lit(0)).alias("none"),
         F.count(F.lit(1)).alias("members"),

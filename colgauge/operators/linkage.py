@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from colgauge.functions.scalars import col, seconds
-from colgauge.operators.order import running_totals, time_bucket
+from colgauge.operators.order import positions, running_totals, time_bucket
 
 STRICT, INCLUSIVE = "strict", "inclusive"
 
@@ -258,6 +258,70 @@ def nth_last_event(linked: DataFrame, n: int, *, time: str, tie: str, id_col: st
     return linked.withColumn("_nth", F.row_number().over(latest)).filter((F.col("_nth") <= n) & (F.col("_nth") == n)).drop("_nth")
 
 
+def nth_event_before(
+    ids: DataFrame,
+    source: DataFrame,
+    n: int,
+    *,
+    key: str,
+    time: str,
+    tie: str,
+    payload: Sequence[str],
+    id_col: str = "id",
+    as_of: str = "as_of",
+    rule: str = STRICT,
+) -> DataFrame:
+    """The n-th latest event of each id's key before its as-of date: (id, as_of, time, tie, payload).
+
+    Ids with fewer events have no row. No id is paired with its past: every event has its place
+    along its key, an as-of date has the number of events before it, and the one it asks for is
+    looked up by key and place. Places and numbers are running totals over time buckets, so
+    neither a busy key nor a long history is ever in one task. Events of an instant are ordered by ``tie``.
+    """
+    wanted = [time, tie, *[c for c in payload if c not in (time, tie)]]
+    events = source.filter(col(time).isNotNull() & col(key).isNotNull()).select(
+        col(key).alias("_key"), col(time).alias("_t"), col(tie).alias("_tie"), F.struct(*[col(c) for c in wanted]).alias("_event"))
+    placed = positions(events, ["_key"], [F.asc("_t"), F.asc("_tie")], time_bucket("_t", 30 * 86_400), "_place")
+    points = ids.filter(col(key).isNotNull() & col(as_of).isNotNull()).select(
+        col(id_col), col(as_of).alias("_as_of"), col(key).alias("_key"), col(as_of).alias("_t"))
+    marks = points.select("_key", "_t", F.lit(0).alias("_n"))
+    blocks = events.select("_key", "_t", F.lit(1).alias("_n")).union(marks).groupBy("_key", "_t").agg(F.sum("_n").alias("_n"))
+    running = running_totals(blocks, ["_key"], "_t", ["_n"], bucket=time_bucket("_t", 30 * 86_400))
+    before = F.col("_n_before") + (F.col("_n") if rule == INCLUSIVE else F.lit(0))
+    asked = points.join(running.select("_key", "_t", (before - n + 1).alias("_place")), ["_key", "_t"]).filter("_place > 0")
+    found = asked.join(placed.select("_key", "_place", "_event"), ["_key", "_place"])
+    return found.select(id_col, F.col("_as_of").alias(as_of), *[F.col(f"_event.`{c}`").alias(c) for c in wanted])
+
+
+def rolling_totals(
+    events: DataFrame, *, key: str, time: str, measure: str, days: int, id_col: str, n: str = "n_events", total: str | None = None
+) -> DataFrame:
+    """For each event how many of its key lie in the ``days`` up to and including it, and their sum: (id, n, total).
+
+    Events of the same instant count, as does one exactly ``days`` earlier. A total is the running
+    total at the event less the one where its window opens, over a key cut into time buckets, so no event is paired
+    with another and no key is one task. Sums as in :func:`window_totals`; an event without key or time has NULLs.
+    """
+    total = total or f"{measure}_sum"
+    rows = events.select(
+        col(id_col).alias("_id"), col(key).alias("_key"), col(time).cast("timestamp").alias("_t"),
+        F.coalesce(col(measure).cast("double").try_cast(AMOUNT), F.lit(0).cast(AMOUNT)).alias("_s"))
+    placed = rows.filter(F.col("_key").isNotNull() & F.col("_t").isNotNull())
+    opens = F.col("_t") - F.expr(f"INTERVAL {int(days)} DAYS")
+    marks = placed.select("_key", opens.alias("_t"), F.lit(0).alias("_n"), F.lit(0).cast(AMOUNT).alias("_s"))
+    blocks = placed.select("_key", "_t", F.lit(1).alias("_n"), "_s").union(marks).groupBy("_key", "_t").agg(
+        F.sum("_n").alias("_n"), F.sum("_s").alias("_s"))
+    running = running_totals(blocks, ["_key"], "_t", ["_n", "_s"], bucket=time_bucket("_t", 30 * 86_400))
+    # An instant and the opening of its window are two blocks of the same table.
+    start = running.select("_key", F.col("_t").alias("_opens"), F.col("_n_before").alias("_n0"), F.col("_s_before").alias("_s0"))
+    ends = running.filter("_n > 0").withColumn("_opens", opens).join(start, ["_key", "_opens"]).select(
+        "_key", "_t", (F.col("_n_before") + F.col("_n") - F.col("_n0")).cast("bigint").alias(n),
+        (F.col("_s_before") + F.col("_s") - F.col("_s0")).cast("double").alias(total))
+    found = placed.select("_id", "_key", "_t").join(ends, ["_key", "_t"]).select(F.col("_id").alias(id_col), n, total)
+    absent = rows.filter(F.col("_key").isNull() | F.col("_t").isNull())
+    return found.unionByName(absent.select(F.col("_id").alias(id_col)), allowMissingColumns=True)
+
+
 def window_totals(
     ids: DataFrame,
     source: DataFrame,

@@ -88,6 +88,16 @@ def top_k_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column]
     return df.withColumn(name, place).filter(F.col(name) <= k)
 
 
+def head_report(rows: DataFrame, id_col: str, order: Sequence[Column], n: int, pinned: Column) -> DataFrame:
+    """The first ``n`` rows, and every pinned row that would have fallen off the end.
+
+    Only the head is ever sorted; rows of a repeated id come in together.
+    """
+    head = rows.orderBy(*order).limit(n)
+    below = rows.filter(pinned).join(head.select(id_col), id_col, "left_anti").select(*rows.columns)
+    return head.union(below)
+
+
 def rotate_batches(rows: DataFrame, place: str, size: int, round_number: int) -> DataFrame:
     """The batch of a numbered list that a round shows: row n is in batch n div size."""
     last = rows.agg(F.max(place)).scalar()

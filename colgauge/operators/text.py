@@ -137,13 +137,14 @@ def _weights(tf: DataFrame, items: DataFrame) -> DataFrame:
 def novelty(
     items: DataFrame, id_col: str, run: str, round_col: str, text: str, threshold: float = REPEAT_FROM
 ) -> DataFrame:
-    """Which items repeat one of an earlier round: (id, run, round, overlap, repeats).
+    """Which items repeat one of an earlier round: (id, run, round, overlap, repeats, repeated).
 
     Texts of the same words are one bag, so copies are compared once. A pair can
     only reach the threshold if both hold one of the other's rarest words: each bag
     is looked up under its rarest words alone, up to where the words left over are
     too light to reach it. No pair above the threshold is lost; ``overlap`` is NULL
-    when no earlier item reaches it. Rarity is taken over all items.
+    when no earlier item reaches it. ``repeated`` is the id of the item that is repeated: the one
+    of largest overlap (to nine places), of these the first by run and round, then by id. Rarity is taken over all items.
     """
     bagged = items.select(
         col(id_col).alias("id"), F.struct(col(run).alias("run"), col(round_col).alias("round")).alias("at"),
@@ -152,7 +153,7 @@ def novelty(
     bagged = materialise(bagged, "bagged")
     bags = bagged.groupBy("bag").agg(
         F.count(F.lit(1)).alias("copies"), F.min("at").alias("first_at"), F.max("at").alias("last_at"),
-        F.any_value("_words").alias("_words"),
+        F.min(F.struct("at", "id")).alias("first"), F.any_value("_words").alias("_words"),
     )
     tf = bags.select("bag", "copies", F.explode("_words").alias("word")).groupBy("bag", "copies", "word").agg(
         F.count(F.lit(1)).alias("tf")
@@ -177,17 +178,19 @@ def novelty(
         .filter(F.col("overlap") >= threshold)
     )
     itself = bags.filter(F.size("_words") > 0).select(
-        F.col("bag").alias("later"), F.lit(1.0).alias("overlap"), F.col("first_at").alias("_first"))
+        F.col("bag").alias("later"), F.lit(1.0).alias("overlap"), F.col("first").alias("_first"))
     partners = close.join(
-        bags.select(F.col("bag").alias("earlier"), F.col("first_at").alias("_first")), "earlier"
+        bags.select(F.col("bag").alias("earlier"), F.col("first").alias("_first")), "earlier"
     ).select("later", "overlap", "_first").unionByName(itself)
+    best = F.min(F.struct((-F.round("overlap", 9)).alias("far"), F.col("_first"), F.col("overlap")))
     hits = (
         bagged.select("id", "at", F.col("bag").alias("later")).join(partners, "later")
-        .filter(F.col("_first") < F.col("at")).groupBy("id").agg(F.max("overlap").alias("overlap"))
+        .filter(F.col("_first.at") < F.col("at")).groupBy("id").agg(best.alias("_best"))
+        .select("id", F.col("_best.overlap").alias("overlap"), F.col("_best._first.id").alias("repeated"))
     )
     return bagged.select("id", "at").join(hits, "id", "left").select(
         F.col("id").alias(id_col), F.col("at.run").alias("run"), F.col("at.round").alias("round"), "overlap",
-        F.col("overlap").isNotNull().alias("repeats"),
+        F.col("overlap").isNotNull().alias("repeats"), "repeated",
     )
 
 

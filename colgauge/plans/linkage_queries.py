@@ -112,7 +112,8 @@ def last_event_before(t: Tables) -> DataFrame:
   FROM model m JOIN hist h ON m.key = h.key AND h.event_time < m.as_of)
 SELECT id, event_id, amount FROM ranked WHERE rn = 2""")
 def nth_last_event(t: Tables) -> DataFrame:
-    return link.nth_last_event(_linked(t), 2, time="event_time", tie="event_id").select("id", "event_id", "amount")
+    found = link.nth_event_before(model_rows(t), history(t), 2, key="key", time="event_time", tie="event_id", payload=["amount"])
+    return found.select("id", "event_id", "amount")
 
 
 @query("rolling_windows", f"""{BASE_SQL}
@@ -146,6 +147,14 @@ def rolling_rows(t: Tables) -> DataFrame:
     return e.select("event_id", F.count(F.lit(1)).over(w).alias("n_7d"), rnd(F.sum("value").over(w), 4).alias("value_7d"))
 
 
+@query("rolling_events_7d", """SELECT event_id, count(*) OVER w AS n_7d, round(sum(value) OVER w, 4) + 0.0 AS value_7d FROM events
+WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 7 DAYS PRECEDING AND CURRENT ROW)""")
+def rolling_events_7d(t: Tables) -> DataFrame:
+    """For each event its user's last seven days, to the microsecond."""
+    out = link.rolling_totals(t.events, key="user_id", time="ts", measure="value", days=7, id_col="event_id", n="n_7d", total="value_7d")
+    return out.select("event_id", "n_7d", rnd("value_7d", 4).alias("value_7d"))
+
+
 def _period_sql(end: str) -> str:
     return f"""SELECT user_id, strftime({end}, '%Y-%m-%d') AS period_end, count(*) AS n_events,
   round(sum(value), 4) AS value_sum, count(*) FILTER (event_type = 'purchase') AS n_purchases,

@@ -432,14 +432,15 @@ idf AS (SELECT w, ln((1.0::DOUBLE + (SELECT count(*) FROM it)) / (1 + count(*)))
 x AS (SELECT id, run, round, tf.w, tf * idf AS v FROM tf JOIN idf ON tf.w = idf.w),
 n AS (SELECT id, sqrt(sum(v * v)) AS n FROM x GROUP BY 1),
 p AS (SELECT b.id, a.id AS other, sum(a.v * b.v) AS d FROM x a JOIN x b ON a.w = b.w AND (a.run, a.round) < (b.run, b.round) GROUP BY 1, 2),
-s AS (SELECT p.id, max(p.d / (na.n * nb.n)) AS overlap FROM p JOIN n na ON p.other = na.id JOIN n nb ON p.id = nb.id
+s AS (SELECT p.id, max(p.d / (na.n * nb.n)) AS overlap, arg_min(p.other, (-round(p.d / (na.n * nb.n), 9), o.run, o.round, p.other)) AS repeated
+      FROM p JOIN n na ON p.other = na.id JOIN n nb ON p.id = nb.id JOIN it o ON o.id = p.other
       WHERE p.d / (na.n * nb.n) >= 0.6 GROUP BY 1)
-SELECT it.id, it.run, it.round, round(s.overlap, 6) AS overlap FROM it LEFT JOIN s ON it.id = s.id""")
+SELECT it.id, it.run, it.round, round(s.overlap, 6) AS overlap, s.repeated FROM it LEFT JOIN s ON it.id = s.id""")
 def novelty(t: Tables) -> DataFrame:
     """Each turn of a conversation as an idea: does it repeat an earlier one?"""
     items = t.conversations.withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
     out = text.novelty(items, "id", "conv_id", "turn", "text")
-    return out.select("id", "run", "round", rnd("overlap").alias("overlap"))
+    return out.select("id", "run", "round", rnd("overlap").alias("overlap"), "repeated")
 
 
 @query("novelty_per_round", """WITH f AS (SELECT user_id AS run, event_type, CAST(strftime(ts, '%j') AS INTEGER) AS round FROM events),
@@ -513,6 +514,57 @@ def worst_report(t: Tables) -> DataFrame:
     return spread.orderBy(F.desc_nulls_last("spread"), "l_partkey").limit(10)
 
 
+@query("pinned_report", """WITH v AS (SELECT l_partkey, round(stddev_samp(l_quantity), 6) AS spread, max(l_quantity) AS largest FROM lineitem GROUP BY 1),
+h AS (SELECT * FROM v ORDER BY spread DESC NULLS LAST, l_partkey LIMIT 10)
+SELECT * FROM h UNION ALL SELECT * FROM v WHERE largest < 40 AND l_partkey NOT IN (SELECT l_partkey FROM h)""")
+def pinned_report(t: Tables) -> DataFrame:
+    """The ten parts of the widest quantities, and below them each part that never sells by the forty."""
+    spread = t.lineitem.groupBy("l_partkey").agg(rnd(F.stddev_samp("l_quantity")).alias("spread"), F.max("l_quantity").alias("largest"))
+    return sampling.head_report(spread, "l_partkey", [F.desc_nulls_last("spread"), F.asc("l_partkey")], 10, F.col("largest") < 40)
+
+
+@query("peek", """WITH k AS (SELECT min(c) AS low, max(c) AS high FROM (SELECT count(*) AS c FROM lineitem))
+SELECT least(50000, low) AS n, TRUE AS own FROM k""")
+def peek(t: Tables) -> DataFrame:
+    """How many rows a look at the line items holds, and whether all of them are theirs."""
+    looked = tables.peek(t.lineitem, 50_000)
+    known = t.lineitem.select("l_orderkey", "l_linenumber").distinct().withColumn("_known", F.lit(True))
+    return looked.join(known, ["l_orderkey", "l_linenumber"], "left").agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.every(F.coalesce("_known", F.lit(False))), F.lit(True)).alias("own"))
+
+
+@query("resolve_features", """SELECT 'base' AS kind, count(o_totalprice) AS held, 'o_totalprice' AS feature FROM orders
+UNION ALL SELECT 'base', count(o_custkey), 'o_custkey' FROM orders""")
+def resolve_features(t: Tables) -> DataFrame:
+    """The numeric columns of the orders that are left as features, and how many values each has."""
+    orders = t.orders
+    found = clean.resolve_features(orders, "o_orderstatus", id_cols=["o_orderkey"], exclude=["o_shippriority"])
+    kinds = {**dict.fromkeys(found.base, "base"), **dict.fromkeys(found.new, "new")}
+    counted = orders.agg(*[F.count(c).alias(c) for c in kinds]).unpivot([], list(kinds), "feature", "held")
+    named = F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])
+    return counted.select(named[F.col("feature")].alias("kind"), "held", "feature")
+
+
+@query("inherited_evidence", """WITH c AS (SELECT conv_id * 1000 + turn AS key, CASE WHEN turn > min(turn) OVER (PARTITION BY conv_id) THEN conv_id * 1000 + turn - 1 END AS same_as,
+    CAST(role = 'user' AS INT) AS signal, CAST(role <> 'user' AS INT) AS "none", length(text) % 3 AS i, length(text) AS n FROM conversations),
+r AS (SELECT * FROM c WHERE n > 60),
+k AS (SELECT r.*, r.same_as IS NOT NULL AND p.key IS NULL AS gone, p.key IS NOT NULL AS linked FROM r LEFT JOIN (SELECT key FROM r) p ON p.key = r.same_as),
+f AS (SELECT *, max(CASE WHEN NOT linked THEN key END) OVER (PARTITION BY key // 1000 ORDER BY key) AS family FROM k),
+t AS (SELECT family, CAST(sum(signal + CASE WHEN gone THEN i ELSE 0 END) AS BIGINT) AS signal, CAST(sum("none" + CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS "none", count(*) AS members FROM f GROUP BY 1)
+SELECT f.key, f.family, t.signal, t."none", t.members FROM f JOIN t USING (family)""")
+def inherited_evidence(t: Tables) -> DataFrame:
+    """Turns linked to the turn before; short ones are gone, and what was inherited from them takes their place."""
+    from pyspark.sql import Window
+
+    key = F.col("conv_id") * 1000 + F.col("turn")
+    first = F.min("turn").over(Window.partitionBy("conv_id"))
+    records = t.conversations.select(
+        key.alias("key"), F.when(F.col("turn") > first, key - 1).alias("same_as"), (F.col("role") == "user").cast("int").alias("signal"),
+        (F.col("role") != "user").cast("int").alias("none"), (F.length("text") % 3).alias("was_signal"), F.lit(1).alias("was_none"), F.length("text").alias("n"))
+    out = evidence.pool_families(records.filter("n > 60"), inherited_signal="was_signal", inherited_none="was_none")
+    return out.select("key", "family", "signal", "none", "members")
+
+
 @query("union_runs", "SELECT o_orderkey AS id, 'orders' AS run FROM orders UNION ALL SELECT DISTINCT l_orderkey, 'items' FROM lineitem")
 def union_runs(t: Tables) -> DataFrame:
     items = t.lineitem.select(F.col("l_orderkey").alias("id")).distinct().withColumn("run", F.lit("items"))
