@@ -51,12 +51,18 @@ def groups_for(df: DataFrame, each: int = 8 << 20, least: int = 8) -> int:
     return max(least, -(-input_bytes(df) // each))
 
 
-def look_up(rows: DataFrame, keys: list[str], known: DataFrame, take: str, spread: str) -> DataFrame:
+def held_by(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, n_total): how many rows hold each key."""
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).withColumn("n_total", F.lit(rows.count()))
+
+
+def look_up(rows: DataFrame, keys: list[str], known: DataFrame, take: str, spread: str, held: DataFrame | None = None) -> DataFrame:
     """Adds ``take`` from ``known`` (unique keys, none NULL) to ``rows``, which are read three times; NULL where nothing is known.
 
+    ``held``, if given, is what :func:`held_by` finds.
+
     Keys that hold a thousandth of the rows, so at most a thousand, are sent to every task, the others meet by a
     shuffle that ``spread`` deals the rows of the first ones over. ``take`` is a small value.
     """
-    held = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    counted = held.join(known.select(*keys, take), keys).withColumn("n_total", F.lit(rows.count()))
+    counted = (held_by(rows, keys) if held is None else held).join(known.select(*keys, take), keys)
     return attach_by_value(rows, counted, keys, take, F.col(spread))

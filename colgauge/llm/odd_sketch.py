@@ -32,7 +32,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from colgauge.llm.common import look_up, query, table
+from colgauge.llm.common import held_by, look_up, query, table
 from colgauge.llm.words import each_text, mix
 from colgauge.session import discard, materialise
 
@@ -108,11 +108,12 @@ def _sign(size: int):
             for words in each_text(b["text"].tolist()):
                 s = shingle_set(words, size)
                 if not len(s):
-                    rows.append((0, None, None, None))
+                    rows.append((0, None, None, None, None))
                     continue
                 low = minima(s)
-                rows.append((len(s), _node(s), odd_sketch(low), band_keys(low).view(np.int64)))
-            out = pd.DataFrame(rows, columns=["n", "node", "sketch", "bands"])
+                sketch, bands = odd_sketch(low), band_keys(low).view(np.int64)
+                rows.append((len(s), _node(s), sketch, bands, sketch.tobytes() + bands.tobytes()))
+            out = pd.DataFrame(rows, columns=["n", "node", "sketch", "bands", "packed"])
             out["node"] = pd.array(out["node"], dtype="Int64")
             out.insert(0, "id", b["id"].array)
             yield out
@@ -143,14 +144,20 @@ def _column(members: list, name: str, kind) -> np.ndarray:
     return np.array([m[name] for m in members], kind)
 
 
-def _passing(a: list, b: list, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+def _packed(members: list) -> np.ndarray:
+    """A row for each node: its sketch, then the keys of its bands."""
+    return np.frombuffer(b"".join(m["packed"] for m in members), _U).reshape(len(members), -1)
+
+
+def _passing(a: list, b: list, mine: np.ndarray, theirs: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
     """For each node of ``a`` the places of those nodes of ``b`` that may link with it and lie in another component."""
-    bits = _column(b, "sketch", np.int64).view(_U).reshape(len(b), -1)
+    bits = theirs[:, :_LONGS]
     n, labels, limit = _column(b, "n", np.int64), _column(b, "label", np.int64), far_apart(percent)
     for i, m in enumerate(a):
         at = np.flatnonzero((labels != m["label"]) & (np.minimum(n, m["n"]) * 100 >= np.maximum(n, m["n"]) * percent))
-        apart = np.bitwise_count(bits[at] ^ np.array(m["sketch"], np.int64).view(_U)).sum(1, dtype=np.int64)
-        yield i, at[apart <= limit]
+        if len(at):
+            apart = np.bitwise_count(bits[at] ^ mine[i, :_LONGS]).sum(1, dtype=np.int64)
+            yield i, at[apart <= limit]
 
 
 def _sieve(percent: int):
@@ -160,10 +167,11 @@ def _sieve(percent: int):
         for batch in batches:
             for r in batch.itertuples(index=False):
                 a, b = r.members, r.others if r.others is not None else r.members
-                bands, found = _column(b, "bands", np.int64).reshape(len(b), -1), set()
-                for i, at in _passing(a, b, percent):
-                    shared = bands[at] == np.array(a[i]["bands"], np.int64)
-                    first = bands[at, shared.argmax(1)] == r.key if len(at) else np.zeros(0, bool)
+                mine, theirs, found = _packed(a), _packed(b), set()
+                key = np.int64(r.key).view(_U)
+                for i, at in _passing(a, b, mine, theirs, percent):
+                    bands = theirs[at, _LONGS:]
+                    first = bands[np.arange(len(at)), (bands == mine[i, _LONGS:]).argmax(1)] == key
                     if first.any():
                         found.add(a[i]["node"])
                         found.update(b[k]["node"] for k in at[first])
@@ -187,7 +195,7 @@ def _search(percent: int):
                     return x
 
                 sets = [np.frombuffer(m["shingles"], _U) for m in b]
-                for i, at in _passing(a, b, percent):
+                for i, at in _passing(a, b, _packed(a), _packed(b), percent):
                     mine = np.frombuffer(a[i]["shingles"], _U)
                     for k in at:
                         one, two = root(a[i]["label"]), root(b[k]["label"])
@@ -233,12 +241,12 @@ def _block_pairs(rows: DataFrame, weight: Column, size: int, fields: list[str],
 
 def _searched(live: DataFrame, nodes: DataFrame, sets_of, percent: int) -> DataFrame:
     """Links between the components that still share a bucket."""
-    facts = live.select("key", "node", "label").join(nodes.select("node", "n", "sketch", "bands"), "node")
-    met = _block_pairs(facts, F.lit(1), BLOCK, ["node", "label", "n", "sketch", "bands"], "sketch")
+    facts = live.select("key", "node", "label").join(nodes.select("node", "n", "packed"), "node")
+    met = _block_pairs(facts, F.lit(1), BLOCK, ["node", "label", "n", "packed"], "sketch")
     passed = materialise(met.mapInPandas(_sieve(percent), "key long, node long").distinct(), "passed")
     sets = sets_of(passed.select("node"))
-    rows = live.select("key", "node", "label").join(passed, ["key", "node"]).join(nodes.select("node", "n", "sketch"), "node").join(sets, "node")
-    met = _block_pairs(rows, F.length("shingles") / 8, PART, ["node", "label", "n", "sketch", "shingles"], "set")
+    rows = live.select("key", "node", "label").join(passed, ["key", "node"]).join(nodes.select("node", "n", "packed"), "node").join(sets, "node")
+    met = _block_pairs(rows, F.length("shingles") / 8, PART, ["node", "label", "n", "packed", "shingles"], "set")
     return materialise(met.select("members", "others").mapInPandas(_search(percent), "a long, b long"), "links")
 
 
@@ -265,9 +273,10 @@ def components(edges: DataFrame) -> DataFrame:
     are looked up so that neither a pivot of many edges nor a large component is a hot key.
     """
     both = materialise(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
+    degrees = materialise(held_by(both, ["b"]), "degrees")
     labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
     while True:
-        seen = look_up(both, ["b"], labels.select(F.col("node").alias("b"), "label"), "label", "a")
+        seen = look_up(both, ["b"], labels.select(F.col("node").alias("b"), "label"), "label", "a", degrees)
         near = seen.groupBy(F.col("a").alias("node")).agg(F.min("label").alias("_near"))
         # A label also offers itself to the node it names, so that trees hang on smaller roots.
         offered = near.join(labels, "node").select(F.col("label").alias("node"), "_near").groupBy("node").agg(F.min("_near").alias("_offer"))
@@ -277,7 +286,7 @@ def components(edges: DataFrame) -> DataFrame:
         after = materialise(after.select("node", F.least("label", "_up").alias("label"), "_old"), "labels")
         discard(labels, taken)
         if not after.filter(F.col("label") != F.col("_old")).limit(1).count():
-            discard(both)
+            discard(both, degrees)
             return after.select("node", "label")
         labels = after
 
@@ -288,10 +297,10 @@ def near_duplicates(docs: DataFrame, id_col: str, text: str, shingle: int = SHIN
     ``component_id`` is the smallest id reachable over links, the row's own included.
     """
     read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    signed = materialise(read.mapInPandas(_sign(shingle), "id long, n long, node long, sketch array<long>, bands array<long>"), "signed")
+    signed = materialise(read.mapInPandas(_sign(shingle), "id long, n long, node long, sketch array<long>, bands array<long>, packed binary"), "signed")
     full = signed.filter(F.col("node").isNotNull())
     nodes = materialise(full.groupBy("node").agg(
-        F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"), F.min("id").alias("first_id")), "nodes")
+        F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"), F.first("packed").alias("packed"), F.min("id").alias("first_id")), "nodes")
     bands = nodes.select("node", F.explode("bands").alias("key"))
     pivots = bands.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot < last").select("key", "pivot")
     # Only buckets of two nodes or more go on.

@@ -120,10 +120,10 @@ def _table(model: LanguageModel) -> np.ndarray:
 
 
 def fit_languages(docs: DataFrame, text: str, lang: str, id_col: str, learns: Column) -> LanguageModel:
-    """Fits on a bounded, hash-drawn sample of the rows that ``learns`` marks."""
+    """Fits on a bounded sample of the rows that ``learns`` marks, drawn by the hash of id and text."""
     rows = docs.filter(learns & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"),
-        (F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(1 << 40)) / F.lit(float(1 << 40))).alias("at"))
+        (F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text)), F.lit(1 << 40)) / F.lit(float(1 << 40))).alias("at"))
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(counts)
 
@@ -131,7 +131,8 @@ def fit_languages(docs: DataFrame, text: str, lang: str, id_col: str, learns: Co
         share = F.lit(0.0)
         for name, total in counts.items():
             share = F.when(F.col("lang") == name, F.lit(n / total)).otherwise(share)
-        return rows.filter(F.col("at") < share)
+        # Rows of one id and text share a draw, and teach once.
+        return rows.filter(F.col("at") < share).dropDuplicates(["lang", "at"])
 
     schema = "lang string, at double, grams binary"
     sets = sorted(drawn(LANDMARKS).mapInPandas(_distinct, schema).collect(), key=lambda r: (r.lang, r.at, bytes(r.grams))) if langs else []
@@ -178,8 +179,9 @@ def _found(docs: DataFrame, text: str, model: LanguageModel) -> DataFrame:
 
 
 def identify(docs: DataFrame, text: str, model: LanguageModel, lang: str = "lang_pred", score: str = "score") -> DataFrame:
-    """``docs`` with all its columns and two more: the language and how sure it is."""
-    return _found(docs, text, model).select("row.*", F.col("found.lang").alias(lang), F.col("found.score").alias(score))
+    """``docs`` with all its columns and two more, in place of any so named: the language and how sure it is."""
+    kept = [F.col("row")[c].alias(c) for c in docs.columns if c not in (lang, score)]
+    return _found(docs, text, model).select(*kept, F.col("found.lang").alias(lang), F.col("found.score").alias(score))
 
 
 SURE = 0.35     # the pipeline keeps a document whose best language has at least this share
@@ -188,11 +190,11 @@ SURE = 0.35     # the pipeline keeps a document whose best language has at least
 def keep_known(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose language is found with some certainty, columns as they were.
 
-    Texts without a letter go, and those that no language claims; labels only teach.
+    Texts without a letter go, and those that no language claims; labels only teach. Where nothing is labelled, texts with a letter stay.
     """
     model = fit_languages(docs, text, lang, id_col, fold(id_col, 3) != 1)
     if not model.langs:
-        return docs
+        return docs.filter(F.col(text).rlike(r"\p{L}"))
     return _found(docs, text, model).filter((F.col("found.lang") != UNKNOWN) & (F.col("found.score") >= SURE)).select("row.*")
 
 

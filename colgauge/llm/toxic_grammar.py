@@ -29,7 +29,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from colgauge.llm.common import fold, query, table
 
 SAMPLE = 20_000         # labelled rows of the fit, about
-LEARNED = 2_000         # learned insults at most, those with most support
 CONTEXTS = 8            # different words before it that a learned insult needs among toxic texts
 PURE = 0.8              # share of toxic texts among its occurrences, some taken off
 SHRINK = 4.0            # occurrences taken off before a share is believed
@@ -200,7 +199,7 @@ def _learned_insults(sample: DataFrame) -> list[str]:
     counts = seen.groupBy("word").agg(
         F.sum((F.col("t") > 0).cast("int")).alias("contexts"), F.sum((F.col("t") < F.col("n")).cast("int")).alias("clean"))
     pure = F.col("contexts") - SHRINK >= PURE * (F.col("contexts") + F.col("clean") - SHRINK)
-    return [r.word for r in counts.filter((F.col("contexts") >= CONTEXTS) & pure).orderBy(F.desc("contexts"), "word").limit(LEARNED).collect()]
+    return [r.word for r in counts.filter((F.col("contexts") >= CONTEXTS) & pure).orderBy(F.desc("contexts"), "word").collect()]
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, learns: Column, id_col: str = "doc_id", text: str = "text", toxic: str = "toxic") -> Toxicity:
@@ -229,12 +228,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learns: Column, id_col: str
 
 
 def score_toxicity(docs: DataFrame, text: str, model: Toxicity, name: str = "score") -> DataFrame:
-    """``docs`` with all its columns and ``name``, a number from 0 to 1."""
+    """``docs`` with all its columns and ``name``, a number from 0 to 1, in place of any so named."""
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series([model.score(t) for t in texts])
 
-    return docs.select(F.struct("*").alias("row"), score(F.col(text)).alias("_new")).select("row.*", F.col("_new").alias(name))
+    return docs.withColumn(name, score(F.col(text)))
 
 
 @query("op10_toxic_grammar")
