@@ -13,6 +13,8 @@ STRICT, INCLUSIVE = "strict", "inclusive"
 
 
 AMOUNT = "decimal(28,9)"
+SLICE = 50_000      # events of one key that meet its ids in one task, where a link is told to spread
+
 
 def _aslist(value: str | Sequence[str]) -> list[str]:
     return [value] if isinstance(value, str) else list(value)
@@ -40,13 +42,16 @@ def link_point_in_time(
     rule: str = STRICT,
     days: int | None = None,
     bound_scan: bool = True,
+    slice_rows: int | None = None,
 ) -> DataFrame:
     """Every event of an id's key before its as-of date: (id, as_of, source columns).
 
     Many-to-many by design. With ``days`` the join key also holds the time interval,
     so a busy key is spread over its intervals and only neighbouring ones meet; the
     exact window is then applied. ``bound_scan`` gives the source scan the range of
-    as-of dates as a filter it can push down.
+    as-of dates as a filter it can push down. ``slice_rows`` is for links without ``days``: keys are
+    counted, the events of one with more than that many are dealt over slices in time, and
+    its ids are repeated for each slice.
     """
     keys = _aslist(key)
     base = ids.select(col(id_col), col(as_of), *[col(k) for k in keys])
@@ -67,6 +72,9 @@ def link_point_in_time(
         base = base.withColumn("_interval", F.explode(F.sequence(first, last)))
         events = events.withColumn("_interval", time_bucket(time, width))
         on.append("_interval")
+    elif slice_rows:
+        base, events = _sliced(base, events, keys, time, slice_rows)
+        on.append("_slice")
     linked = base.join(events, on, "inner").filter(before_as_of(time, as_of, rule))
     if days is not None:
         linked = cut_window(linked, time, as_of, days)
@@ -154,19 +162,25 @@ def guard_join(left: DataFrame, right: DataFrame, keys: str | Sequence[str], how
     return left.join(right, _aslist(keys), how)
 
 
-def link_aggregate(ids: DataFrame, aggregate: DataFrame, *, key: str | Sequence[str], id_col: str = "id",
-                   as_of: str = "as_of", period_end: str = "period_end") -> DataFrame:
-    """Period buckets of an id's key that ended before its as-of date."""
-    return link_point_in_time(ids, aggregate, key=key, time=period_end, id_col=id_col, as_of=as_of)
+def link_aggregate(ids: DataFrame, aggregate: DataFrame, *, key: str | Sequence[str], id_col: str = "id", as_of: str = "as_of",
+                   period_end: str = "period_end", days: int | None = None, slice_rows: int | None = None) -> DataFrame:
+    """Period buckets of an id's key that ended before its as-of date; ``days`` and ``slice_rows`` as in :func:`link_point_in_time`.
+
+    The aggregate is no scan that a bound could reach: give it raw events from :func:`bounded_source`.
+    """
+    return link_point_in_time(
+        ids, aggregate, key=key, time=period_end, id_col=id_col, as_of=as_of, days=days, bound_scan=False, slice_rows=slice_rows)
 
 
 def attach_feature(rows: DataFrame, feature: DataFrame, id_col: str = "id") -> DataFrame:
     """A feature joined back to every row, repeats of an id included.
 
-    The feature is first brought to one row per id, of several values the largest, so no row is multiplied.
+    Of several rows of an id the largest is taken, compared column by column from the left, so no
+    row is multiplied and the values of two rows are never mixed.
     """
-    single = feature.groupBy(id_col).agg(*[F.max(col(c)).alias(c) for c in feature.columns if c != id_col])
-    return rows.join(single, id_col, "left")
+    values = [c for c in feature.columns if c != id_col]
+    single = feature.groupBy(id_col).agg(F.max(F.struct(*[col(c) for c in values])).alias("_largest"))
+    return rows.join(single.select(id_col, *[F.col(f"_largest.`{c}`").alias(c) for c in values]), id_col, "left")
 
 
 def backfill_columns(sample: DataFrame, pool: DataFrame, id_col: str, columns: Sequence[str]) -> DataFrame:
@@ -200,6 +214,33 @@ def join_periods(a: DataFrame, b: DataFrame, id_col: str = "id", period_end: str
     return latest.select(id_col, *[F.col(f"_latest.`{c}`").alias(c) for c in (period_end, *payload)])
 
 
+def _sliced(base: DataFrame, events: DataFrame, keys: Sequence[str], time: str, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``_slice``: steps of equal time between a busy key's first and last event, as many as its events need."""
+    at = seconds(time).cast("double")
+    counted = events.groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias("_held"), F.min(at).alias("_lo"), F.max(at).alias("_hi"))
+    # At most one key for every ``rows`` events.
+    busy = counted.filter(F.col("_held") > rows).withColumn("_slices", F.ceil(F.col("_held") / F.lit(rows)).cast("int")).drop("_held")
+    last = F.coalesce(F.col("_slices") - 1, F.lit(0))
+    share = F.try_divide(at - F.col("_lo"), F.col("_hi") - F.col("_lo"))
+    step = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * F.col("_slices")).cast("int"), last)
+    dealt = events.join(busy, list(keys), "left").withColumn("_slice", F.coalesce(step, F.lit(0))).drop("_lo", "_hi", "_slices")
+    repeated = base.join(busy.select(*keys, "_slices"), list(keys), "left").withColumn("_slice", F.explode(F.sequence(F.lit(0), last))).drop("_slices")
+    return repeated, dealt
+
+
+def bounded_source(source: DataFrame, ids: DataFrame, time: str, as_of: str = "as_of", days: int | None = None) -> DataFrame:
+    """The raw events that any as-of date can look back on, as a filter the scan can take.
+
+    For sources that are summed to periods before they are linked: a period that ended before an as-of
+    date holds only events before it. With ``days``, events older than the earliest look-back go as well.
+    """
+    kept = source.filter(col(time) < ids.agg(F.max(col(as_of))).scalar())
+    if days is not None:
+        first = F.min(F.struct(col(as_of).alias("at")))["at"]
+        kept = kept.filter(col(time) >= ids.filter(col(as_of).isNotNull()).agg(days_before(first, days)).scalar())
+    return kept
+
+
 def last_event_before(
     ids: DataFrame,
     source: DataFrame,

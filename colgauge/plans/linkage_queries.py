@@ -216,8 +216,9 @@ MONTHLY_SQL = """monthly AS (SELECT o_custkey AS key, last_day(CAST(o_orderdate
 
 
 def _monthly(t: Tables) -> DataFrame:
+    """Months of each key; events that no as-of date can see do not leave the scan."""
     return agg.aggregate_by_period(
-        history(t), "key", "event_time", "month", [F.sum("amount").alias("amount"), F.count(F.lit(1)).alias("n")]
+        link.bounded_source(history(t), model_rows(t), "event_time"), "key", "event_time", "month", [F.sum("amount").alias("amount"), F.count(F.lit(1)).alias("n")]
     )
 
 
@@ -226,7 +227,7 @@ SELECT m.id, count(*) AS n_months, CAST(sum(a.n) AS BIGINT) AS n_orders, round(s
   strftime(max(a.period_end), '%Y-%m-%d') AS last_month
 FROM model m JOIN monthly a ON m.key = a.key AND a.period_end < m.as_of GROUP BY m.id""")
 def link_monthly(t: Tables) -> DataFrame:
-    linked = link.link_aggregate(model_rows(t), _monthly(t), key="key")
+    linked = link.link_aggregate(model_rows(t), _monthly(t), key="key", slice_rows=link.SLICE)
     return linked.groupBy("id").agg(
         F.count(F.lit(1)).alias("n_months"), F.sum("n").alias("n_orders"),
         rnd(F.sum("amount"), 3).alias("amount"), day_text(F.max("period_end")).alias("last_month"),
@@ -241,7 +242,7 @@ s AS (SELECT id, avg(amount) FILTER (age BETWEEN 1 AND 3) AS r, avg(amount) FILT
 SELECT id, round(r, 6) AS recent_mean, round(b, 6) AS before_mean,
   round(CASE WHEN b > 0 THEN r / b END, 6) AS recent_ratio FROM s""")
 def recent_vs_before(t: Tables) -> DataFrame:
-    linked = link.link_aggregate(model_rows(t), _monthly(t), key="key")
+    linked = link.link_aggregate(model_rows(t), _monthly(t), key="key", slice_rows=link.SLICE)
     months = lambda c: F.year(c) * 12 + F.month(c)
     out = agg.recent_vs_before(linked, "amount", months("as_of") - months("period_end"), 3, 9)
     return out.select("id", rnd("recent_mean", 6).alias("recent_mean"), rnd("before_mean", 6).alias("before_mean"),

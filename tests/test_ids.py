@@ -88,6 +88,8 @@ def test_attach_feature_multiplies_nothing(spark):
     rows = spark.createDataFrame([(1,), (1,), (2,)], "id int")
     feature = spark.createDataFrame([(1, 5), (1, 7), (3, 1)], "id int, f int")
     assert sorted((r.id, r.f) for r in linkage.attach_feature(rows, feature).collect() if r.f) == [(1, 7), (1, 7)]
+    two = spark.createDataFrame([(1, 5, 9), (1, 7, 2)], "id int, f int, g int")
+    assert {(r.f, r.g) for r in linkage.attach_feature(rows, two).collect() if r.f} == {(7, 2)}
 
 
 def test_runs_named_by_text(spark):
