@@ -6,9 +6,12 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
 from colgauge.operators import aggregate as agg, cases, linkage as link, metrics, ranks, representative
+from colgauge.operators.clean import FeatureSet
 from colgauge.plans import models, quality, screening, selection, validation, verdict
 from colgauge.plans.featurebook import FeatureBook, row_expression
-from colgauge.plans.rank_queries import BASE, CODED_SQL, FEATURE_SQL, NEW, feature_rows, mi_sql, psi_sql, rank_sql
+from colgauge.plans.rank_queries import (
+    BASE, CODED_SQL, FEATURE_SQL, NEW, PAIRS, RANKED_SQL, _pair_rows, feature_rows, mi_sql, psi_sql, rank_sql,
+)
 from colgauge.plans.registry import BASE_SQL, MODEL_SQL, Tables, day_text, history, model_rows, query, rnd
 from colgauge.plans.table_queries import FEATURES
 from colgauge.session import materialise
@@ -57,14 +60,29 @@ def selection_stats(t: Tables) -> DataFrame:
     return stats.select("feature", *[rnd(c).alias(c) for c in stats.columns if c != "feature"])
 
 
-@query("select_features")
+SELECT_SQL = f"""WITH RECURSIVE {RANKED_SQL.removeprefix('WITH ')},
+pr AS ({_pair_rows(PAIRS)}), ty AS ({' UNION ALL '.join(f"SELECT '{a}' AS feature, corr({a}, ry) AS rho FROM rk" for a in NEW)}),
+o AS (SELECT feature, list({{'other': pr.other, 'size': abs(pr.rho)}}) AS near FROM pr GROUP BY 1),
+weak AS (SELECT feature FROM ty WHERE coalesce(abs(rho), 0) < 0.002),
+ord AS (SELECT o.*, row_number() OVER (ORDER BY abs(ty.rho) DESC) AS k FROM o JOIN ty USING (feature) WHERE feature NOT IN (FROM weak)),
+g AS (SELECT 0::BIGINT AS k, [{', '.join(f"'{b}'" for b in BASE)}] AS taken, '' AS feature, TRUE AS kept
+  UNION ALL SELECT ord.k, CASE WHEN over THEN taken ELSE list_append(taken, ord.feature) END, ord.feature, NOT over
+  FROM (SELECT g.k + 1 AS k, g.taken, coalesce(list_max(list_transform(list_filter(x.near, lambda n: list_contains(g.taken, n.other)), lambda n: n.size)), 0) > 0.5 AS over
+        FROM g JOIN ord x ON x.k = g.k + 1) s JOIN ord ON ord.k = s.k)
+SELECT feature, CASE WHEN kept THEN 'IN' ELSE 'OUT' END AS verdict, CASE WHEN kept THEN '-' ELSE 'redundancy screen' END AS decided_by,
+  round(rho, 6) + 0.0 AS spearman_target FROM g JOIN ty USING (feature) WHERE k > 0
+UNION ALL SELECT feature, 'OUT', 'signal screen', round(rho, 6) + 0.0 FROM weak JOIN ty USING (feature)"""
+
+
+@query("select_features", SELECT_SQL)
 def select_features(t: Tables) -> DataFrame:
     """The greedy pass over measured candidates, then IN or OUT with what decided it."""
     options = selection.SelectionOptions(target_min_abs=0.002, max_abs_rho=0.5)
     rows = feature_rows(t)
     stats, matrix = selection.measure(rows, FEATURES, options)
     selected = selection.select_features(stats, matrix, FEATURES, options)
-    return selection.selection_verdicts(selected, stats, None, NEW)
+    out = selection.selection_verdicts(selected, stats, None, NEW)
+    return out.select("feature", "verdict", "decided_by", rnd("spearman_target").alias("spearman_target"))
 
 
 # ---- verdicts: one candidate per part, with evidence read off its sales ----
@@ -230,6 +248,76 @@ def evaluation_results(t: Tables) -> DataFrame:
     return validation.evaluation_results(run, ranks.feature_stats(rows, "id", NEW, BASE, "y"))
 
 
+# ---- the same, with the answer planted among the candidates, so that what comes out is known ----
+PLANTED = FeatureSet("y", tuple(BASE), ("answer", "flat"), ("id",))
+
+
+def _planted(t: Tables) -> DataFrame:
+    """Model rows with a candidate that equals the outcome and one that never varies."""
+    return feature_rows(t).withColumns({"answer": F.col("y").cast("double"), "flat": F.lit(1.0)})
+
+
+@query("screen_gain_planted", f"""WITH {MODEL_SQL} SELECT 'answer' AS feature, 1.0 AS gini,
+  round(least(floor(count(*) * 0.05), sum(y)) / sum(y), 6) AS capture FROM model WHERE split = 'valid'""")
+def screen_gain_planted(t: Tables) -> DataFrame:
+    """A feature that is the outcome puts every event before every other row."""
+    found = models.screen_gain(models.training_table(_planted(t), PLANTED), BASE, "answer", FIT)
+    return found.select("feature", rnd("gini").alias("gini"), rnd("capture").alias("capture"))
+
+
+@query("random_search_planted", "SELECT 'base_plus_new' AS variant, unnest([0, 1]) AS trial, 1.0 AS score")
+def random_search_planted(t: Tables) -> DataFrame:
+    table = models.training_table(_planted(t), PLANTED)
+    log = models.random_search(table, models.build_variants(BASE, PLANTED.new), models.FitOptions(rounds=4), trials=2)[1]
+    return log.select("variant", "trial", rnd("score").alias("score"))
+
+
+@query("attribution_planted", """SELECT unnest(['answer', 'flat', 'price', 'acctbal', 'nation']) AS feature, unnest([1.0, 0.0, 0.0, 0.0, 0.0]) AS attr_share,
+  unnest([1.0, 0.0, 0.0, 0.0, 0.0]) AS importance_share, unnest([TRUE, FALSE, FALSE, FALSE, FALSE]) AS first""")
+def attribution_planted(t: Tables) -> DataFrame:
+    """The outcome among the features takes all of the attribution and of the importance."""
+    table = models.training_table(_planted(t), PLANTED)
+    fits = models.fit_variants(table, models.build_variants(BASE, PLANTED.new, ("base_plus_new",)), FIT)
+    both = link.merge_rankings(verdict.attribution_ranks(models.mean_attribution(fits, table)), models.importance_table(fits))
+    return both.select("feature", rnd("attr_share").alias("attr_share"), rnd("importance_share").alias("importance_share"), (F.col("attr_rank") == 1).alias("first"))
+
+
+@query("check_cascade_planted", f"""WITH {MODEL_SQL} SELECT 'answer' AS feature, 'passed' AS stage, TRUE AS verified, 1.0 AS coverage, 1.0 AS variable_gini
+UNION ALL SELECT 'copied', 'C0', FALSE, round(avg(CAST(price IS NOT NULL AS INT)), 6), NULL FROM model WHERE split <> 'test'
+UNION ALL SELECT 'flat', 'gate', FALSE, 1.0, NULL""")
+def check_cascade_planted(t: Tables) -> DataFrame:
+    """The outcome clears every check, a copy stops at the first and a constant at the gate."""
+    rows = materialise(_planted(t).filter("split <> 'test'").withColumn("copied", F.col("price") * 2 + 1), "screen-rows")
+    options = screening.ScreenOptions(fit=FIT)
+    out = screening.check_cascade(rows, "id", "answer", BASE, "y", options=options)
+    out = out.unionByName(screening.check_cascade(rows, "id", "copied", BASE, "y", earlier=["price"], options=options, fit=False))
+    out = out.unionByName(screening.check_cascade(rows, "id", "flat", BASE, "y", options=options))
+    return out.select("feature", "stage", "verified", rnd("coverage").alias("coverage"), rnd("variable_gini").alias("variable_gini"))
+
+
+@query("validation_planted", """SELECT 'answer' AS feature, 'PASS' AS verdict, '' AS failed_at, 'KEEP' AS batch, 1.0 AS adj_gini_test
+UNION ALL SELECT 'flat', 'FAIL', 'data quality', 'KEEP', 1.0""")
+def validation_planted(t: Tables) -> DataFrame:
+    """A whole run keeps the outcome, stops the constant, and finds a perfect model with both."""
+    run = validation.validate(_planted(t), PLANTED, RUN)
+    gini = run.metrics.filter("variant = 'base_plus_new' AND split = 'test'").agg(F.max("adj_gini")).scalar()
+    return run.verdicts.select(
+        "feature", "verdict", "failed_at", run.batch.agg(F.max("verdict")).scalar().alias("batch"), rnd(gini).alias("adj_gini_test"))
+
+
+@query("evaluation_results_planted", """SELECT 'loi__answer' AS variant, 'answer' AS feature, TRUE AS trained, 1.0 AS adj_gini_test, 'PASS' AS verdict, 'base, combo__all_new' AS together""")
+def evaluation_results_planted(t: Tables) -> DataFrame:
+    """The planted candidate's own model and verdict; beside it the variants of one model of all candidates."""
+    rows = _planted(t)
+    run = validation.validate(rows, PLANTED, RUN)
+    both = validation.evaluate_together(run, rows, "all", RUN)
+    # One row for each variant.
+    names = ", ".join(sorted(r.variant for r in both.select("variant").collect()))
+    out = validation.evaluation_results(run, ranks.feature_stats(rows, "id", PLANTED.new, BASE, "y"))
+    return out.filter("feature = 'answer'").select(
+        "variant", "feature", "trained", rnd("adj_gini_test").alias("adj_gini_test"), "verdict", F.lit(names).alias("together"))
+
+
 @query("feature_stats", f"""{FEATURE_SQL}, rk AS (SELECT {', '.join(f'{rank_sql(c)} AS {c}' for c in [*BASE, *NEW])} FROM feat WHERE split = 'train'),
 p AS ({' UNION ALL '.join(f"SELECT '{a}' AS feature, '{b}' AS other, abs(corr({a}, {b})) AS rho FROM rk" for a in NEW for b in BASE)}),
 m AS ({' UNION ALL '.join(f"SELECT '{a}' AS feature, avg(CAST({a} IS NULL AS INTEGER)) AS miss FROM feat" for a in NEW)})
