@@ -118,6 +118,21 @@ def test_approvals_and_whole_details(spark, tmp_path):
     assert got[0].detail == long.strip()
 
 
+def test_challenges_and_engines(spark, tmp_path):
+    events = [
+        {"event": "run_started", "run_id": "r", "ts": 0.0, "direction": "d", "params": {"model": "m", "engine": "e"}},
+        {"event": "data_request", "run_id": "r", "ts": 1.0, "intent": "i1", "source_name": "s1", "scope": "in_scope"},
+        {"event": "request_challenged", "run_id": "r", "ts": 2.0, "intent": "i1", "status": "open", "verdict": "weak", "reasoning": "too little"},
+        {"event": "request_challenged", "run_id": "r", "ts": 3.0, "intent": "i1", "status": "kept", "verdict": "sound", "reasoning": "enough"},
+        {"event": "feature_screened", "run_id": "r", "ts": 4.0, "intent": "i2", "name": "f", "verified": True},
+    ]
+    path = tmp_path / "log.jsonl"
+    path.write_text("\n".join(map(json.dumps, events)))
+    got = attempts.read_attempt_log(spark, str(path)).orderBy("ts").collect()
+    assert [(r.kind, r.outcome, r.verdict, r.detail, r.engine) for r in got] == [
+        ("request", "kept", "sound", "enough", "e"), ("feature", "verified", None, "", "e")]
+
+
 def test_names():
     assert snake_name(" ROA(C) % & more__x ") == "roa_c_pct_and_more_x"
 
