@@ -1,16 +1,17 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-A lexicon turns the words of a clause into symbols: insult, threat, target, negation, report, other.
-Three transducers read symbols and write symbols: one marks what stands in the scope of a negation,
-one what is reported speech, one whether an insult or a threat has a target. They are composed into
-a single machine; a clause is one run through it, its output the clause's pattern and the sum of its
-arc weights the pattern's prior log-odds. A word alone never decides: a threat without a target is
-nothing, a negated or reported insult weighs less than a direct one.
+Five transducers are composed into one machine. Two find phrases of one or several words, one those of insult, one
+those of threat: a state is what has been read of a phrase, and where none goes on the longest one that can takes
+over. Three read the symbols that those write (insult, threat, target, negation, report, other): one marks what stands
+in the scope of a negation, one what is reported speech, one whether an insult or a threat has a target, before it or,
+for threats, after it. A clause is one run through the machine, from its first word to its last; its log-odds are the
+sum of the weights of the arcs on its path, and a text's those of all its clauses and of the base. A word alone never decides: a threat
+without a target is nothing, a negated or reported insult weighs less than a direct one.
 
 Labels teach two things, on a bounded sample of about ``SAMPLE`` labelled documents: further insults, a
 symbol of their own (words that stand almost only in toxic documents, after many different words, so
-that copies of one text teach nothing), and the log-odds that a clause of each pattern adds: a ridge
-regression, drawn to the priors, of the label on how many clauses of each pattern a text has.
+that copies of one text teach nothing), and the weights of the arcs: those that write one symbol share one weight, found by a ridge
+regression, drawn to the priors, of the label on how often the paths of a text write each symbol.
 
 Defined results: a NULL or empty text scores as one in which no clause matches; without labels the priors hold; a label that is NULL
 is no label; a document labelled twice is toxic if one label says so; repeated rows are scored each; an empty
@@ -20,7 +21,7 @@ table gives no rows. Only the id and the text are read; the id serves folds and
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 
 import numpy as np
 import pandas as pd
@@ -47,6 +48,16 @@ INSULTS = (
 ).split()
 THREATS = "kill murder destroy hurt hang shoot stab beat burn töten umbringen schlagen tuer frapper matar golpear".split()
 TARGETS = "you your yours yourself he she they them him her du dich dir ihr euch sie tu toi te vous tú ti usted ustedes".split()
+INSULT_PHRASES = (
+    "shut up", "go to hell", "drop dead", "piece of shit", "piece of crap", "waste of space", "son of a bitch", "screw you", "fuck you",
+    "halt die klappe", "fahr zur hölle", "halt die fresse", "leck mich",
+    "ta gueule", "va te faire", "ferme la", "sale con",
+    "vete al infierno", "cierra la boca", "hijo de puta", "vete a la mierda",
+)
+THREAT_PHRASES = (
+    "hope you die", "watch your back", "coming for", "wish you were dead", "beat the hell out of", "smash the face of",
+    "mach dich fertig", "bring dich um", "vais te tuer", "voy a matar", "voy a por",
+)
 NEGATIONS = "not no never isn aren wasn don doesn neither nor without nicht kein keine nie pas jamais ni nunca jamás tampoco".split()
 REPORTS = "said says say told claimed called quoted reported wrote alleged sagte sagt behauptete dit disait dijo dice".split()
 
@@ -61,6 +72,22 @@ def machine(states: Mapping[object, Mapping[str, tuple[object, str, float]]], sy
     return {(s, x): arcs.get(x, (s, x, 0.0)) for s, arcs in states.items() for x in symbols}
 
 
+def phrases(listed: Iterable[str], mark: str, letters: Iterable[str], else_: Mapping[str, str]) -> Arcs:
+    """Reads words and writes ``mark`` where a phrase ends, else the word itself or what ``else_`` has for it.
+
+    A state is the longest end of what was read that begins a phrase.
+    """
+    whole = {tuple(p.split()) for p in listed}
+    begun = {p[:i] for p in whole for i in range(len(p))} | {()}
+    arcs = {}
+    for state in begun:
+        for x in letters:
+            read = (*state, x)
+            ends = [read[i:] for i in range(len(read) + 1)]
+            arcs[state, x] = (next(e for e in ends if e in begun), mark if whole.intersection(ends) else else_.get(x, x), 0.0)
+    return arcs
+
+
 # Symbols: o other, I insult, L learned insult, H threat, Y target, N negation, R report; i l h negated,
 # J M K reported; and with a target A insult, E learned insult, B threat, a e b negated, C F D reported.
 def negation(scope: int = SCOPE) -> Arcs:
@@ -79,26 +106,29 @@ def report() -> Arcs:
 
 def target() -> Arcs:
     pairs = dict(zip("ILHilhJMK", "AEBaebCFD"))
-    weight = {x: {"I": 2.0, "J": 2.0, "L": 0.0, "M": 0.0}.get(x.upper(), -2.0) for x in pairs}
-    alone = {x: (0, x, weight[x]) for x in pairs}
-    aimed = {x: (1, y, weight[x] + (4.5 if x in "HhK" else 0.5)) for x, y in pairs.items()}
-    return machine({0: alone | {"Y": (1, "o", 0.0)}, 1: aimed | {"Y": (1, "o", 0.0)}}, "oILHYilhJMK")
+    threats = "HhK"
+    weight = {x: -3.0 if x in threats else {"I": 2.0, "J": 2.0, "L": 0.0, "M": 0.0}.get(x.upper(), -2.0) for x in pairs}
+    gain = {x: 5.5 if x in threats else 0.5 for x in pairs}
+    alone = {x: (x if x in threats else 0, x, weight[x]) for x in pairs} | {"Y": (1, "o", 0.0)}
+    aimed = {x: (1, y, weight[x] + gain[x]) for x, y in pairs.items()} | {"Y": (1, "o", 0.0)}
+    # After a threat that has no target yet, a target makes it one.
+    waits = {x: alone | {"Y": (1, pairs[x], gain[x])} for x in threats}
+    return machine({0: alone, 1: aimed} | waits, "oILHYilhJMK")
 
 
 def compose(a: Arcs, b: Arcs, start: tuple = (0, 0)) -> Arcs:
-    """The machine that runs ``a`` and feeds what it writes to ``b``; weights add."""
+    """The machine that runs ``a`` and feeds what it writes to ``b``; weights add. Only states that can be reached."""
     symbols = {x for _, x in a}
     out: dict = {}
-    queue = [start]
+    queue, met = [start], {start}
     while queue:
         s, t = state = queue.pop()
         for x in symbols:
-            if (state, x) in out:
-                continue
             s2, y, w = a[s, x]
             t2, z, v = b[t, y]
             out[state, x] = ((s2, t2), z, w + v)
-            if all(((s2, t2), q) not in out for q in symbols):
+            if (s2, t2) not in met:
+                met.add((s2, t2))
                 queue.append((s2, t2))
     return out
 
@@ -106,49 +136,63 @@ def compose(a: Arcs, b: Arcs, start: tuple = (0, 0)) -> Arcs:
 GRAMMAR = compose(compose(negation(), report()), target(), ((0, 0), 0))
 START = ((0, 0), 0)
 
+# What a word is read as: itself if a longer phrase holds it, else one letter for all words of its kind.
+KINDS = {w: k for k, words in {"R": REPORTS, "N": NEGATIONS, "Y": TARGETS, "H": THREATS, "I": INSULTS}.items() for w in words}
+PARTS = {w for p in (*INSULT_PHRASES, *THREAT_PHRASES) for w in p.split()}
+_LETTERS = [*"oILHYNR", *sorted(PARTS)]
+CLAUSES = compose(
+    compose(phrases(INSULT_PHRASES, "I", _LETTERS, {}),
+            phrases(THREAT_PHRASES, "H", _LETTERS, {w: KINDS.get(w, "o") for w in PARTS}), ((), ())),
+    GRAMMAR, (((), ()), START))
+CLAUSE_START = (((), ()), START)
 
-# From the weakest to the strongest; a clause counts as its strongest symbol.
+
+# From the weakest to the strongest.
 PATTERNS = "hblieaKMDFJCHLEIBA"
 
 
 class Reader:
-    """Clause patterns of a text: the written symbols that stand for something, and their weight."""
+    """What the paths of a text's clauses write, and their weights."""
 
     def __init__(self, learned: list[str]):
-        kinds = {"R": REPORTS, "N": NEGATIONS, "Y": TARGETS, "H": THREATS, "L": learned, "I": INSULTS}
-        self.symbol = {w: k for k, words in kinds.items() for w in words}
-        self.marked = {w for w, k in self.symbol.items() if k in "ILH"}
+        self.letter = {w: "L" for w in learned} | KINDS | {w: w for w in PARTS}
+        # A clause without any of these writes nothing but "o"; a phrase is known by its longest word.
+        self.marked = {w for w, k in self.letter.items() if k in "ILH"} | {w for w in PARTS if KINDS.get(w, "o") in "IH"} | {
+            max(p.split(), key=len) for p in (*INSULT_PHRASES, *THREAT_PHRASES)}
 
-    def patterns(self, text: str | None) -> list[tuple[str, float]]:
+    def paths(self, text: str | None) -> Iterator[tuple[list[str], float]]:
+        """For each clause that matches: the symbols written, "o" left out, and the sum of the arcs' weights before learning."""
         low = (text or "").lower()
         if self.marked.isdisjoint(_WORD.findall(low)):
-            return []
-        out = []
+            return
         for clause in _CLAUSE.split(low):
             words = _WORD.findall(clause)
             if self.marked.isdisjoint(words):
                 continue
-            state, wrote, weight = START, [], 0.0
+            state, wrote, weight = CLAUSE_START, [], 0.0
             for w in words:
-                state, y, v = GRAMMAR[state, self.symbol.get(w, "o")]
+                state, y, v = CLAUSES[state, self.letter.get(w, "o")]
                 weight += v
                 if y != "o":
                     wrote.append(y)
             if wrote:
-                out.append((max(wrote, key=PATTERNS.index), weight))
-        return out
+                yield wrote, weight
 
+    def patterns(self, text: str | None) -> list[tuple[str, float]]:
+        """The strongest symbol of each clause that matches, and the weight of its path."""
+        return [(max(wrote, key=PATTERNS.index), weight) for wrote, weight in self.paths(text)]
 
     def counts(self, text: str | None) -> np.ndarray:
-        """How many clauses of each pattern a text has."""
+        """How often the paths of a text write each symbol."""
         out = np.zeros(len(PATTERNS))
-        for pattern, _ in self.patterns(text):
-            out[PATTERNS.index(pattern)] += 1
+        for wrote, _ in self.paths(text):
+            for y in wrote:
+                out[PATTERNS.index(y)] += 1
         return out
 
 
 def prior_weights() -> np.ndarray:
-    """The log-odds of no match, then what a clause of each pattern adds: the arc weights of its plainest clause."""
+    """The log-odds of no match, then what writing each symbol adds: the arc weights of the plainest clause that does."""
     plain = {"I": "I", "L": "L", "H": "H", "A": "YI", "E": "YL", "B": "YH", "i": "NI", "l": "NL", "h": "NH",
              "a": "NYI", "e": "NYL", "b": "NYH", "J": "RI", "M": "RL", "K": "RH", "C": "RYI", "F": "RYL", "D": "RYH"}
     weights = []
@@ -162,7 +206,7 @@ def prior_weights() -> np.ndarray:
 
 
 class Toxicity:
-    """A reader and the log-odds of its patterns; a few kB, sent with the tasks."""
+    """A reader and the learned weight of each symbol's arcs; a few kB, sent with the tasks."""
 
     def __init__(self, learned: list[str], weights: np.ndarray):
         self.reader, self.weights = Reader(learned), weights
@@ -183,7 +227,7 @@ def fit_weights(x: np.ndarray, toxic: np.ndarray, n: np.ndarray) -> np.ndarray:
         theta = theta + np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
-    theta[1:] = np.maximum(theta[1:], 0)        # no clause of this grammar makes a text less toxic
+    theta[1:] = np.maximum(theta[1:], 0)        # nothing this grammar finds makes a text less toxic
     return theta
 
 

@@ -206,6 +206,54 @@ def test_composition_equals_cascade():
             assert got == out and w == pytest.approx(a + b + c)
 
 
+def test_clause_machine_equals_cascade():
+    """Phrase machines and symbol machines run one after the other, arc by arc, give the path of the composed machine."""
+    random.seed(4)
+    tg = toxic_grammar
+    letters = [*"oILHYNR", *sorted(tg.PARTS)]
+    others = {w: tg.KINDS.get(w, "o") for w in tg.PARTS}
+    machines = [tg.phrases(tg.INSULT_PHRASES, "I", letters, {}), tg.phrases(tg.THREAT_PHRASES, "H", letters, others),
+                tg.negation(), tg.report(), tg.target()]
+    texts = [random.choices(letters, k=10) for _ in range(200)]
+    texts += [random.choices("oYNR", k=2) + random.choice([*tg.INSULT_PHRASES, *tg.THREAT_PHRASES]).split() + ["Y"] for _ in range(100)]
+    for text in texts:
+        states, joint = [(), (), 0, 0, 0], tg.CLAUSE_START
+        for x in text:
+            total, y = 0.0, x
+            for k, m in enumerate(machines):
+                states[k], y, w = m[states[k], y]
+                total += w
+            joint, got, weight = tg.CLAUSES[joint, x]
+            assert got == y and weight == pytest.approx(total)
+
+
+def test_phrases_end_where_a_phrase_does():
+    listed, letters = ["a b c", "b c d", "x", "b"], "abcdxo"
+    arcs = toxic_grammar.phrases(listed, "!", letters, {"x": "?"})
+    random.seed(5)
+    for _ in range(300):
+        text, state = random.choices(letters, k=9), ()
+        for i, x in enumerate(text):
+            state, y, _ = arcs[state, x]
+            ends = any(" ".join(text[:i + 1]).endswith(p) and len(p.split()) <= i + 1 for p in listed)
+            assert y == ("!" if ends else "?" if x == "x" else x)
+
+
+def test_toxicity_scores_the_path():
+    tg = toxic_grammar
+    reader, model = tg.Reader([]), tg.Toxicity([], tg.prior_weights())
+    text = "You will kill you idiot scum moron. Nobody is an idiot! He said go to hell; shut up"
+    written = [w for w, _ in reader.paths(text)]
+    assert [len(w) for w in written] == [4, 1, 1, 1] and reader.counts(text).sum() == 7
+    prior = dict(zip(tg.PATTERNS, model.weights[1:]))
+    total = model.weights[0] + sum(prior[y] for w in written for y in w)
+    assert model.score(text) == pytest.approx(1 / (1 + np.exp(-total)))
+    assert model.score("you idiot, you scum") > model.score("you idiot")
+    assert model.score("i will kill you") > 0.7 > 0.1 > model.score("kill the process, kill it") == model.score("fine")
+    assert [p for p, _ in reader.patterns("shut up. Up and shut. go to hell")] == ["I", "I"]
+    assert reader.patterns("wish you were dead")[0][0] == "B"
+
+
 def test_toxicity_held_out(spark):
     folder = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{folder}/labels.parquet")
