@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, functions as F
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import DataFrame, Window, functions as F
 
 from colgauge.operators import aggregate as agg, cases, linkage as link, metrics, ranks, representative
 from colgauge.operators.clean import FeatureSet
@@ -343,14 +343,36 @@ def representative_rows(t: Tables) -> DataFrame:
     return picked.groupBy("label", "batch").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _assign(rows: str, centres: str) -> str:
+    return f"SELECT vec_id, label, x, cluster, power(list_distance(x, c), 2) AS d FROM {rows} JOIN {centres} USING (label) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, cluster) = 1"
+
+
+def _means(rows: str) -> str:
+    return f"SELECT label, cluster, list(m ORDER BY i) AS c FROM (SELECT label, cluster, i, avg(x[i]) AS m FROM {rows}, (SELECT unnest(range(1, (SELECT max(len(x)) + 1 FROM v))) AS i) GROUP BY 1, 2, 3) GROUP BY 1, 2"
+
+
+@query("grouped_kmeans", f"""WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE label IS NOT NULL),
+c0 AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS cluster, x AS c FROM v QUALIFY cluster <= 3),
+a0 AS ({_assign("v", "c0")}), c1 AS ({_means("a0")}), a1 AS ({_assign("v", "c1")}), c2 AS ({_means("a1")}), a2 AS ({_assign("v", "c2")})
+SELECT vec_id, label, CAST(cluster AS INTEGER) AS cluster, round(d, 4) + 0.0 AS distance FROM a2""")
+def grouped_kmeans(t: Tables) -> DataFrame:
+    """Two rounds of Lloyd in every label at once, from its three first vectors: each row's cluster and squared distance."""
+    vectors = t.embeddings.filter("label IS NOT NULL").select(
+        "vec_id", "label", array_to_vector(F.col("embedding").cast("array<double>")).alias("encoded"))
+    first = Window.partitionBy("label").orderBy("vec_id")
+    start = vectors.withColumn("cluster", F.row_number().over(first)).filter("cluster <= 3").select(
+        "label", "cluster", vector_to_array("encoded").alias("centre"))
+    centres = representative.grouped_kmeans(vectors, "label", start, rounds=2)
+    return representative.nearest_centres(vectors, "label", centres).select(
+        "vec_id", "label", "cluster", rnd("distance", 4).alias("distance"))
+
+
 @query("encode_for_clustering", f"""{FEATURE_SQL}, m AS (SELECT median(price) AS p, median(returned) AS r FROM feat),
 f AS (SELECT id, price, coalesce(returned, r) AS returned FROM feat, m),
 b AS (SELECT quantile_cont(price, 0.005) AS p0, quantile_cont(price, 0.995) AS p1, quantile_cont(returned, 0.005) AS r0, quantile_cont(returned, 0.995) AS r1 FROM f),
 c AS (SELECT id, least(greatest(price, p0), p1) AS price, least(greatest(returned, r0), r1) AS returned FROM f, b)
 SELECT id, round((price - avg(price) OVER ()) / stddev_pop(price) OVER (), 5) + 0.0 AS e0, round((returned - avg(returned) OVER ()) / stddev_pop(returned) OVER (), 5) + 0.0 AS e1 FROM c""")
 def encode(t: Tables) -> DataFrame:
-    from pyspark.ml.functions import vector_to_array
-
     out = representative.encode_for_clustering(feature_rows(t), "id", ["price", "returned"], ["y"])
     e = vector_to_array("encoded")
     return out.select("id", rnd(e[0], 5).alias("e0"), rnd(e[1], 5).alias("e1"))
