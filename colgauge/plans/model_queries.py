@@ -138,6 +138,22 @@ def decide_batch(t: Tables) -> DataFrame:
     return verdict.decide_batch(verdict.candidate_verdicts(_part_evidence(t), ENFORCED)).select("verdict", "n_candidates", "n_passed")
 
 
+@query("decide_batch_columns", f"""WITH {EVIDENCE_SQL}, parts AS (SELECT 'all' AS part, * FROM vv UNION ALL SELECT 'stopped' AS part, * FROM vv WHERE failed_at <> ''),
+w AS (SELECT part, failed_at AS gate FROM parts WHERE failed_at <> '' GROUP BY 1, 2
+  QUALIFY row_number() OVER (PARTITION BY part ORDER BY count(*) DESC, list_position(['data quality', 'feature selection', 'gini gain', 'attribution rank'], failed_at)) = 1),
+n AS (SELECT part, count(*) AS n_candidates, count(*) FILTER (failed_at = '') AS n_passed, coalesce(string_agg(feature, ',' ORDER BY feature) FILTER (failed_at = ''), '') AS passed FROM parts GROUP BY 1)
+SELECT part, CASE WHEN n_passed > 0 THEN 'KEEP' ELSE 'TRY A NEW BATCH' END AS verdict, n_candidates, n_passed, passed, CASE WHEN n_passed > 0 THEN '' ELSE gate END AS worst_gate,
+  CASE WHEN n_passed > 0 THEN n_passed || ' candidates cleared every gate' ELSE 'every candidate was stopped, most often at: ' || gate END AS note FROM n LEFT JOIN w USING (part)""")
+def decide_batch_columns(t: Tables) -> DataFrame:
+    """Every column of the decision, over all candidates and over those that were stopped."""
+    judged = materialise(verdict.candidate_verdicts(_part_evidence(t), ENFORCED), "judged")
+    parts = {"all": judged, "stopped": judged.filter(F.col("verdict") == "FAIL")}
+    all_parts, stopped = (verdict.decide_batch(v).select(
+        F.lit(part).alias("part"), "verdict", "n_candidates", "n_passed", F.array_join("passed", ",").alias("passed"), "worst_gate", "note",
+    ) for part, v in parts.items())
+    return all_parts.unionByName(stopped)
+
+
 @query("screen_gate", """SELECT event_id, CASE WHEN value / 1000 - 0.05 > 0.005 AND user_id / 1000 > 0.02 THEN 1 ELSE 0 END AS passed FROM events""")
 def screen_gate(t: Tables) -> DataFrame:
     why = verdict.screen_gate(F.col("value") / 1000 - 0.05, F.col("user_id") / 1000, 0.005, 0.02)
