@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import BinaryType, DoubleType
 
 from colgauge.functions.scalars import col
 from colgauge.operators.order import attach_by_value
-from colgauge.session import materialise
+from colgauge.session import discard, materialise
 
 # The words that carry no meaning of their own.
 STOP_WORDS = (
@@ -17,6 +22,8 @@ STOP_WORDS = (
 ).split()
 REPEAT_FROM = 0.6
 PASSAGES = 1000     # passages whose words are sent to every task at once
+LEVELS = 4          # of what a word and the more frequent ones weigh, by which postings are dealt
+BUCKETS = 512       # of words in a bag's print
 
 
 def words(text: str | Column) -> Column:
@@ -134,6 +141,69 @@ def _weights(tf: DataFrame, items: DataFrame) -> DataFrame:
     return raw.join(norms, "bag").select("bag", "word", "df", (F.col("w") / F.col("_norm")).alias("weight"))
 
 
+@F.pandas_udf(BinaryType())
+def _print(cells: pd.Series) -> pd.Series:
+    def one(given: np.ndarray) -> bytes:
+        steps = np.zeros(BUCKETS, np.uint8)
+        steps[np.asarray(given) >> 8] = np.asarray(given) & 255
+        return steps.tobytes()
+
+    return cells.map(one)
+
+
+@F.pandas_udf(DoubleType())
+def _print_product(a: pd.Series, b: pd.Series) -> pd.Series:
+    x, y = (np.frombuffer(b"".join(p), np.uint8).reshape(-1, BUCKETS).astype(np.float32) for p in (a, b))
+    return pd.Series(np.einsum("ij,ij->i", x, y).astype(float))
+
+
+def _prints(weights: DataFrame) -> DataFrame:
+    """(bag, step, print): words dealt to buckets by their hash, the length of each bucket rounded up to whole steps.
+
+    The scalar product of two prints is never below that of the bags.
+    """
+    bucket = F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int")
+    cells = weights.repartition("bag").groupBy("bag", bucket.alias("_bucket")).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_length"))
+    cells = cells.withColumn("step", F.max("_length").over(Window.partitionBy("bag")) / 255)
+    steps = F.least(F.lit(255), F.ceil(F.col("_length") / F.col("step"))).cast("int")
+    return cells.groupBy("bag", "step").agg(F.collect_list(F.col("_bucket") * 256 + steps).alias("_cells")).select(
+        "bag", "step", _print("_cells").alias("print"))
+
+
+def _candidates(weights: DataFrame, times: DataFrame, threshold: float) -> DataFrame:
+    """(earlier, later): every pair of bags whose overlap can reach the threshold, and few others.
+
+    ``_reach`` is what a word and the more frequent ones of its bag weigh, squared. Under the rarest word
+    a pair shares, its overlap is no larger than the root of both reaches' product: postings are dealt by word and
+    level of reach, and meet only where two levels allow it. There the product of the
+    word's own weights and the lengths of what is left, and that of the prints, must reach the threshold too.
+    """
+    rest = Window.partitionBy("bag").orderBy(F.col("df").desc(), F.col("word").desc()).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    width = -2 * math.log(threshold) / LEVELS if 0 < threshold < 1 else math.inf
+    level = F.least(F.lit(LEVELS), F.floor(-F.log(F.least(F.col("_reach"), F.lit(1.0))) / F.lit(width))).cast("int")
+    prefix = (
+        weights.withColumn("_reach", F.sum(F.col("weight") * F.col("weight")).over(rest))
+        .filter(F.col("_reach") >= threshold * threshold - 1e-9)
+        .select("bag", "word", F.col("weight").alias("w"), F.sqrt(F.greatest(F.lit(0.0), F.col("_reach") - F.col("weight") * F.col("weight"))).alias("left"),
+                level.alias("level"))
+        .join(_prints(weights).join(times, "bag"), "bag")
+    )
+    prefix = materialise(prefix, "postings")
+    a = prefix.select(F.col("bag").alias("earlier"), "word", F.struct("w", "left", "step", "print").alias("a"), F.col("first_at").alias("_from"),
+                      F.explode(F.sequence(F.lit(0), F.lit(LEVELS) - F.col("level"))).alias("level"))
+    b = prefix.select(F.col("bag").alias("later"), "word", F.struct("w", "left", "step", "print").alias("b"), F.col("last_at").alias("_to"), "level")
+    enough = F.lit(threshold - 1e-9)
+    found = a.join(b, ["word", "level"]).filter(
+        (F.col("earlier") != F.col("later")) & (F.col("_from") < F.col("_to"))
+        & (F.col("a.w") * F.col("b.w") + F.col("a.left") * F.col("b.left") >= enough)
+    ).filter(_print_product("a.print", "b.print") * F.col("a.step") * F.col("b.step") >= enough)
+    found = materialise(found.select("earlier", "later").distinct(), "pairs")
+    discard(prefix)
+    return found
+
+
 def novelty(
     items: DataFrame, id_col: str, run: str, round_col: str, text: str, threshold: float = REPEAT_FROM
 ) -> DataFrame:
@@ -142,14 +212,15 @@ def novelty(
     Texts of the same words are one bag, so copies are compared once. A pair can
     only reach the threshold if both hold one of the other's rarest words: each bag
     is looked up under its rarest words alone, up to where the words left over are
-    too light to reach it. No pair above the threshold is lost; ``overlap`` is NULL
+    too light to reach it, and a pair is looked at in full only if bounds on what both have in common
+    allow it. No pair above the threshold is lost; ``overlap`` is NULL
     when no earlier item reaches it. ``repeated`` is the id of the item that is repeated: the one
     of largest overlap (to nine places), of these the first by run and round, then by id. Rarity is taken over all items.
     """
     bagged = items.select(
         col(id_col).alias("id"), F.struct(col(run).alias("run"), col(round_col).alias("round")).alias("at"),
         F.array_sort(words(text)).alias("_words"),
-    ).withColumn("bag", F.sha2(F.concat_ws(" ", "_words"), 256))
+    ).withColumn("bag", F.unhex(F.sha2(F.concat_ws(" ", "_words"), 256)))
     bagged = materialise(bagged, "bagged")
     bags = bagged.groupBy("bag").agg(
         F.count(F.lit(1)).alias("copies"), F.min("at").alias("first_at"), F.max("at").alias("last_at"),
@@ -159,24 +230,12 @@ def novelty(
         F.count(F.lit(1)).alias("tf")
     )
     weights = materialise(_weights(materialise(tf, "words"), bags), "weights")
-    rest = Window.partitionBy("bag").orderBy(F.col("df").desc(), F.col("word").desc()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    reach = F.sum(F.col("weight") * F.col("weight")).over(rest)
-    prefix = weights.withColumn("_reach", reach).filter(F.col("_reach") >= threshold * threshold - 1e-9)
-    times = bags.select("bag", "first_at", "last_at")
-    looked_up = prefix.select("bag", "word").join(times, "bag")
-    a = looked_up.select(F.col("bag").alias("earlier"), "word", F.col("first_at").alias("_from"))
-    b = looked_up.select(F.col("bag").alias("later"), "word", F.col("last_at").alias("_to"))
-    pairs = a.join(b, "word").filter((F.col("earlier") != F.col("later")) & (F.col("_from") < F.col("_to"))).select(
-        "earlier", "later").distinct()
-    left = weights.select(F.col("bag").alias("earlier"), "word", F.col("weight").alias("_wa"))
-    right = weights.select(F.col("bag").alias("later"), "word", F.col("weight").alias("_wb"))
-    close = (
-        pairs.join(left, "earlier").join(right, ["later", "word"])
-        .groupBy("earlier", "later").agg(F.sum(F.col("_wa") * F.col("_wb")).alias("overlap"))
-        .filter(F.col("overlap") >= threshold)
-    )
+    pairs = _candidates(weights, bags.select("bag", "first_at", "last_at"), threshold)
+    vectors = weights.groupBy("bag").agg(F.map_from_entries(F.collect_list(F.struct("word", "weight"))).alias("vector"))
+    left = vectors.select(F.col("bag").alias("earlier"), F.map_entries("vector").alias("_a"))
+    right = vectors.select(F.col("bag").alias("later"), F.col("vector").alias("_b"))
+    product = F.aggregate("_a", F.lit(0.0), lambda total, x: total + x["value"] * F.coalesce(F.col("_b")[x["key"]], F.lit(0.0)))
+    close = pairs.join(left, "earlier").join(right, "later").select("earlier", "later", product.alias("overlap")).filter(F.col("overlap") >= threshold)
     itself = bags.filter(F.size("_words") > 0).select(
         F.col("bag").alias("later"), F.lit(1.0).alias("overlap"), F.col("first").alias("_first"))
     partners = close.join(
