@@ -63,3 +63,24 @@ def test_flag_outcomes(spark):
     got = {r.k: (r.outcome, r.rows_sooner, r.days_sooner) for r in cases.flag_outcomes(
         cases.first_flags(seq, "k", "t", {"base": F.col("f0"), "variant": F.col("f1")})).collect()}
     assert got == {"a": ("earlier", 1, 1), "b": ("only_base", None, None), "c": ("neither", None, None), "d": ("same", 0, 0)}
+
+
+def test_blocks_of_a_group_stay_apart_where_medians_are_looked_up(spark, monkeypatch):
+    """The medians, one row for each group, come to the blocks; the blocks are not dealt by group."""
+    from colgauge.operators import ranks
+
+    plans = []
+
+    def stop(filled, *_):
+        plans.append(filled._jdf.queryExecution().executedPlan().toString())
+        raise StopIteration
+
+    monkeypatch.setattr(ranks, "running_totals", stop)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(100).selectExpr("id % 2 AS y", "if(id % 7 = 0, NULL, id) AS a", "'all' AS split")
+        with pytest.raises(StopIteration):
+            ranks.variable_gini(df, ["a"], "y", by=["split"])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plans[0]
