@@ -41,9 +41,16 @@ def whole_text(text: str | Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+GUESSED = 1 << 50     # bytes; a plan over rows that are in no file says more than this
+
+
 def input_bytes(df: DataFrame) -> int:
-    """Bytes of the files behind ``df`` as the plan knows them; what sizes of groups follow."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Bytes of the files behind ``df`` as the plan knows them, counted where it only guesses; what sizes of groups follow."""
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if known < GUESSED:
+        return known
+    sizes = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns]
+    return int(df.agg(F.sum(sum(sizes, F.lit(0)).cast("long"))).first()[0] or 0)
 
 
 def groups_for(df: DataFrame, each: int = 8 << 20, least: int = 8) -> int:

@@ -36,6 +36,14 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+def test_group_numbers_of_rows_that_are_in_no_file(spark):
+    """A plan over an RDD of rows guesses exabytes; numbers of groups then follow the rows."""
+    from colgauge.llm.common import groups_for, input_bytes
+
+    df = spark.createDataFrame(spark.sparkContext.parallelize([("abcdé",), (None,), ("x" * 100,)]), "text string")
+    assert input_bytes(df) == 106 and groups_for(df, 50, 1) == 3 and groups_for(empty(spark).select("text")) == 8
+
+
 # --- 1 -----------------------------------------------------------------------------------------
 
 
