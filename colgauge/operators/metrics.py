@@ -10,14 +10,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from colgauge.functions.scalars import col
-from colgauge.operators.order import quantiles, running_totals
+from colgauge.operators.order import add_up, quantiles, running_totals
 from colgauge.session import materialise
 
 GROUP = ("variant", "split")
 NOT_AN_OUTCOME = -9999
+TIE_STEPS = 1024          # by which rows of equal score are counted before any are put in order
 FLAG_SHARES = (0.01, 0.02, 0.05, 0.10, 0.20)
 
 
@@ -29,18 +30,18 @@ def score_blocks(pred: DataFrame, group: Sequence[str] = GROUP, y: str = "y", sc
     """
     outcome = col(y).cast("double")
     valid = outcome.isNotNull() & (outcome != NOT_AN_OUTCOME)
-    zero = F.lit(0.0)
-    scored = pred.withColumn("value", col(score).cast("double"))
-    blocks = scored.groupBy(*group, "value").agg(
-        F.count(outcome).alias("n"),
-        F.coalesce(F.sum(outcome), zero).alias("sy"),
-        F.count(F.when(valid, F.lit(1))).alias("m"),
-        F.coalesce(F.sum(F.when(valid, outcome)), zero).alias("my"),
-        F.coalesce(F.sum(F.when(valid, col(score).cast("double"))), zero).alias("mp"),
-        F.count(F.lit(1)).alias("rows"),
-        F.coalesce(F.sum(col(score).cast("double")), zero).alias("sp"),
+    zero, value = F.lit(0.0), col(score).cast("double")
+    count = lambda c: c.cast("bigint")
+    rows = pred.select(
+        *[col(g).alias(g) for g in group], value.alias("value"),
+        count(outcome.isNotNull()).alias("n"), F.coalesce(outcome, zero).alias("sy"),
+        count(valid).alias("m"), F.when(valid, outcome).otherwise(zero).alias("my"), F.lit(1).cast("bigint").alias("rows"),
     )
-    return running_totals(blocks, group, "value", ["n", "sy", "m", "my", "mp", "rows", "sp"], descending=True)
+    # A block's rows have one score: its sums follow from its counts.
+    summed = materialise(add_up(rows, [*group, "value"], ["n", "sy", "m", "my", "rows"]), "scores")
+    score_sum = lambda n: F.when(F.col(n) > 0, F.coalesce("value", zero) * F.col(n)).otherwise(zero)
+    blocks = summed.withColumns({"mp": score_sum("m"), "sp": score_sum("rows")})
+    return running_totals(blocks, group, "value", ["n", "sy", "m", "my", "mp", "rows", "sp"], descending=True, merge=True)
 
 
 def _cumulated() -> Column:
@@ -141,14 +142,8 @@ def top_sums(
     )
     same = [col(g) == col(f"_{g}") for g in group]
     rows = pred.join(split, [*same, col(score).cast("double").eqNullSafe(F.col("_score"))]).filter(counted)
-    by_tie = rows.groupBy(*inner, "cut", "need", _tie_order(pred, tie).alias("_tie")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(outcome).alias("_y"),
-        F.sum(F.coalesce("_score", F.lit(0.0))).alias("_p")
-    )
-    picked = running_totals(by_tie, [*inner, "cut", "need"], "_tie", ["n", "_y", "_p"]).filter(
-        F.col("n_before") < F.col("need")
-    )
-    sums = picked.groupBy(*inner, "cut").agg(F.sum("_y").alias("y"), F.sum("_p").alias("p"))
+    tied = rows.select(*inner, "cut", "need", _tie_order(pred, tie).alias("_tie"), outcome.alias("_y"), F.coalesce("_score", F.lit(0.0)).alias("_p"))
+    sums = _first_by_tie(tied, pred.select(_tie_order(pred, tie).alias("_tie")), [*inner, "cut"])
     extra = sums.groupBy(*inner).agg(
         F.map_from_entries(F.collect_list(F.struct("cut", F.struct("y", "p")))).alias("_extra")
     )
@@ -159,6 +154,31 @@ def top_sums(
     ])
 
 
+def _first_by_tie(tied: DataFrame, ties: DataFrame, group: Sequence[str]) -> DataFrame:
+    """(group, y, p): sums of ``_y`` and ``_p`` over the ``need`` rows of a group that come first by ``_tie``.
+
+    Rows are counted by equal steps of the range of ``ties`` where they lie. Only those of the one step that holds the last of
+    the ``need`` rows are put in order.
+    """
+    number = F.col("_tie").cast("double")
+    low, high = ties.agg(F.min(number), F.max(number)).first()
+    width = (high - low) / TIE_STEPS if low is not None else 0.0
+    step = F.floor((number - F.lit(low)) / F.lit(width)) if 0 < width < float("inf") else F.lit(0)
+    placed = tied.withColumn("_step", F.coalesce(F.when(F.isnan(number), F.lit(TIE_STEPS + 1)).otherwise(step).cast("bigint"), F.lit(-1)))
+    keys = [*group, "need"]
+    counted = placed.groupBy(*keys, "_step").agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("_y"), F.sum("_p").alias("_p"))
+    before = Window.partitionBy(*keys).orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)
+    counted = materialise(counted.withColumn("n_before", F.coalesce(F.sum("n").over(before), F.lit(0))), "tie-steps")
+    whole = counted.filter(F.col("n_before") + F.col("n") <= F.col("need")).select(*group, "_y", "_p")
+    split = counted.filter((F.col("n_before") < F.col("need")) & (F.col("n_before") + F.col("n") > F.col("need")))
+    # One step for each group.
+    split = F.broadcast(split.select(*group, "_step", (F.col("need") - F.col("n_before")).alias("_left")))
+    inside = placed.join(split, [*group, "_step"]).groupBy(*group, "_left", "_tie").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("_y").alias("_y"), F.sum("_p").alias("_p"))
+    picked = running_totals(materialise(inside, "tied"), [*group, "_left"], "_tie", ["n", "_y", "_p"]).filter(F.col("n_before") < F.col("_left"))
+    return whole.unionByName(picked.select(*group, "_y", "_p")).groupBy(*group).agg(F.sum("_y").alias("y"), F.sum("_p").alias("p"))
+
+
 def _tie_order(pred: DataFrame, tie: str) -> Column:
     """Ids that are numbers order a tie themselves, all others by their hash."""
     number = isinstance(pred.select(col(tie).alias("t")).schema["t"].dataType, T.NumericType)

@@ -47,6 +47,7 @@ class Run:
     new_share: DataFrame
     verdicts: DataFrame
     batch: DataFrame
+    table: DataFrame | None = None      # the filled rows every fit read
 
 
 def validate(df: DataFrame, features: FeatureSet, options: RunOptions = RunOptions()) -> Run:
@@ -85,7 +86,7 @@ def validate(df: DataFrame, features: FeatureSet, options: RunOptions = RunOptio
     verdicts = materialise(verdict.candidate_verdicts(evidence, options.verdict), "verdicts")
     return Run(
         features, quality, stats, matrix, selected, fits, predictions, metrics, comparison, attribution,
-        new_feature_share(attribution, features.new), verdicts, verdict.decide_batch(verdicts, comparison, options.verdict),
+        new_feature_share(attribution, features.new), verdicts, verdict.decide_batch(verdicts, comparison, options.verdict), table,
     )
 
 
@@ -119,7 +120,8 @@ def evaluate_together(
 ) -> DataFrame | None:
     """Base against base with all candidates, or with the passing ones, in one model; None below two.
 
-    ``df`` holds the run's rows; a base that the run fitted with the same options is not fitted again.
+    ``df`` holds the run's rows, as does the run's own table, which is read where the run kept it; a base that the run
+    fitted with the same options is neither fitted nor, for the same shares, scored again.
     """
     chosen: Sequence[str] = run.features.new
     if which == "passing":
@@ -127,10 +129,16 @@ def evaluate_together(
         chosen = [f for f in run.features.new if f in passed]
     if len(chosen) < 2:
         return None
-    table = models.training_table(clean_missing(df, run.features.all, options.sentinels), run.features)
+    table = run.table
+    if table is None:
+        table = models.training_table(clean_missing(df, run.features.all, options.sentinels), run.features)
     name = "all_passing" if which == "passing" else "all_new"
     variants = models.build_variants(run.features.base, run.features.new, ("base",), {name: list(chosen)})
     known = [f for f in run.fits if f.variant == variants[0] and f.options == options.fit]
-    fits = known[:1] + models.fit_variants(table, variants[len(known[:1]):], options.fit)
-    predictions = materialise(models.all_predictions(fits), "together")
-    return wide_comparison(evaluate_predictions(predictions, options.shares), shares=options.shares)
+    scored = bool(known) and {f"capture_rate_{p:g}" for p in options.shares} <= set(run.metrics.columns)
+    fits = models.fit_variants(table, variants[len(known[:1]):], options.fit)
+    predictions = materialise(models.all_predictions(fits if scored else known[:1] + fits), "together")
+    found = evaluate_predictions(predictions, options.shares)
+    if scored:
+        found = materialise(found.unionByName(run.metrics.filter(F.col("variant") == variants[0].name).select(*[col(c) for c in found.columns])), "together-metrics")
+    return wide_comparison(found, shares=options.shares)

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from colgauge.operators import cases, metrics
+from colgauge.operators import cases, metrics, order
 
 
 def frame(spark, y, score):
@@ -84,3 +84,42 @@ def test_blocks_of_a_group_stay_apart_where_medians_are_looked_up(spark, monkeyp
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "BroadcastHashJoin" in plans[0]
+
+
+def test_tied_rows_are_counted_before_they_are_put_in_order(spark, monkeypatch):
+    """A cut inside one score of all rows puts few rows in order, and takes the rows of the first ids."""
+    n, ordered = 50_000, []
+    plain = metrics.running_totals
+
+    def watched(blocks, group, order, sums, **given):
+        if order == "_tie":
+            ordered.append(blocks.count())
+        return plain(blocks, group, order, sums, **given)
+
+    monkeypatch.setattr(metrics, "running_totals", watched)
+    pred = spark.range(n).selectExpr("'a' AS variant", "'test' AS split", "id * 7 % 50000 AS id", "CAST(id % 3 = 0 AS INT) AS y", "0.5D AS score")
+    rows = pred.toPandas().sort_values("id")
+    got = metrics.evaluate_predictions(pred, [0.01, 0.333]).first()
+    for share in (0.01, 0.333):
+        assert got[f"capture_rate_{share:g}"] == pytest.approx(rows.y[: int(n * share)].sum() / rows.y.sum(), abs=1e-12)
+    assert ordered and max(ordered) < n / 50
+
+
+def test_running_totals_add_up_repeated_blocks(spark):
+    """Blocks that repeat, with NULL, NaN and both zeros among the values, against pandas."""
+    odd = [None, float("nan"), float("inf"), 0.0, -0.0, -1.5, 2.0]
+    rows = [(g, odd[i % 7], i, float(i) / 8) for g in ("a", "b") for i in range(70)] + [(None, 1.0, 1, 1.0)]
+    df = spark.createDataFrame(rows, "g string, value double, n long, s double")
+    place = lambda v: (0, 0.0) if v is None else (1, v) if v == v else (2, 0.0)
+    for down in (False, True):
+        sums = {}
+        for g, v, n, s in rows[:-1]:
+            key = (g, *place(v))
+            sums[key] = [a + b for a, b in zip(sums.get(key, (0, 0.0)), (n, s))]
+        got = order.running_totals(order.add_up(df, ["g", "value"], ["n", "s"]), ["g"], "value", ["n", "s"], descending=down, merge=True).collect()
+        assert len(got) == len(sums)
+        for r in got:
+            me = (r.g, *place(r.value))
+            earlier = [v for k, v in sums.items() if k[0] == me[0] and (k > me if down else k < me)]
+            assert [r.n, r.s] == sums[me] and r.n_before == sum(v[0] for v in earlier) and r.s_before == sum(v[1] for v in earlier)
+            assert r.n_total == sum(v[0] for k, v in sums.items() if k[0] == me[0])
