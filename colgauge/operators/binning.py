@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from colgauge.functions.scalars import col
 from colgauge.operators.order import quantiles
+from colgauge.session import materialise
 
 
 def interior(bins: int) -> list[float]:
@@ -56,9 +57,10 @@ def mutual_info_pairs(codes: DataFrame, pairs: Sequence[tuple[str, str]]) -> Dat
     """Mutual information of coded columns: (feature, other, mi, nmi).
 
     Natural logarithms, floored at 0; ``nmi`` divides by the smaller entropy and is
-    NULL when that is 0. Rows reduce to joint counts before any shuffle.
+    NULL when that is 0. Rows reduce to joint counts before any shuffle, which are written.
     """
-    return _mi_from_joint(joint_counts(codes, pairs), ["feature", "other"])
+    # A few hundred counts a pair, read several times; the rows are counted once.
+    return _mi_from_joint(materialise(joint_counts(codes, pairs), "joint"), ["feature", "other"])
 
 
 def joint_counts(codes: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:

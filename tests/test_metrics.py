@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from colgauge.operators import cases, metrics, order
 
@@ -123,3 +124,24 @@ def test_running_totals_add_up_repeated_blocks(spark):
             earlier = [v for k, v in sums.items() if k[0] == me[0] and (k > me if down else k < me)]
             assert [r.n, r.s] == sums[me] and r.n_before == sum(v[0] for v in earlier) and r.s_before == sum(v[1] for v in earlier)
             assert r.n_total == sum(v[0] for k, v in sums.items() if k[0] == me[0])
+
+
+def test_rows_are_made_once_for_all_that_is_asked_of_them(spark):
+    """Selection and a feature's statistics run what makes their rows once."""
+    from colgauge.operators import ranks
+    from colgauge.operators.clean import FeatureSet
+    from colgauge.plans import selection
+
+    n, made = 300, spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def seen(x):
+        made.add(1)
+        return float(x % 17)
+
+    rows = spark.range(n).select("id", F.lit("train").alias("split"), (F.col("id") % 2).alias("y"), seen("id").alias("a"), (F.col("id") % 5).alias("b"))
+    for ask in (lambda: selection.measure(rows, FeatureSet("y", ("b",), ("a",), ("id",)))[0].collect(),
+                lambda: ranks.feature_stats(rows, "id", ["a"], ["b"], "y").collect()):
+        made.value = 0
+        ask()
+        assert made.value == n
