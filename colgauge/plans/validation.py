@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -120,8 +121,8 @@ def evaluate_together(
 ) -> DataFrame | None:
     """Base against base with all candidates, or with the passing ones, in one model; None below two.
 
-    ``df`` holds the run's rows, as does the run's own table, which is read where the run kept it; a base that the run
-    fitted with the same options is neither fitted nor, for the same shares, scored again.
+    ``df`` holds the run's rows, as does the run's own table, which is read where the run kept it; what the
+    run fitted on the same features with the same options is neither fitted nor, for the same shares, scored again.
     """
     chosen: Sequence[str] = run.features.new
     if which == "passing":
@@ -134,11 +135,13 @@ def evaluate_together(
         table = models.training_table(clean_missing(df, run.features.all, options.sentinels), run.features)
     name = "all_passing" if which == "passing" else "all_new"
     variants = models.build_variants(run.features.base, run.features.new, ("base",), {name: list(chosen)})
-    known = [f for f in run.fits if f.variant == variants[0] and f.options == options.fit]
-    scored = bool(known) and {f"capture_rate_{p:g}" for p in options.shares} <= set(run.metrics.columns)
-    fits = models.fit_variants(table, variants[len(known[:1]):], options.fit)
-    predictions = materialise(models.all_predictions(fits if scored else known[:1] + fits), "together")
-    found = evaluate_predictions(predictions, options.shares)
-    if scored:
-        found = materialise(found.unionByName(run.metrics.filter(F.col("variant") == variants[0].name).select(*[col(c) for c in found.columns])), "together-metrics")
-    return wide_comparison(found, shares=options.shares)
+    known = {v.name: f for v in variants for f in run.fits if f.variant.features == v.features and f.options == options.fit}
+    scored = {f"capture_rate_{p:g}" for p in options.shares} <= set(run.metrics.columns)
+    fits = models.fit_variants(table, [v for v in variants if v.name not in known], options.fit)
+    named = [replace(f, predictions=f.predictions.withColumn("variant", F.lit(name))) for name, f in known.items()]
+    asked = fits if scored else named + fits
+    found = [run.metrics.filter(F.col("variant") == f.variant.name).withColumn("variant", F.lit(name)) for name, f in known.items()] if scored else []
+    if asked:
+        found.append(evaluate_predictions(materialise(models.all_predictions(asked), "together"), options.shares))
+    parts = [part.select(*[col(c) for c in found[-1].columns]) for part in found]
+    return wide_comparison(materialise(reduce(DataFrame.unionByName, parts), "together-metrics"), shares=options.shares)

@@ -1,5 +1,7 @@
 """Selection, verdict gates and whole runs on data whose answer is known."""
 
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -52,6 +54,16 @@ def test_together_and_results(known, run):
     assert {r.variant for r in together.collect()} == {"base", "combo__all_passing"}
 
 
+def test_together_fits_nothing_twice(known, run, monkeypatch):
+    """All candidates together are the run's own model of all candidates."""
+    fresh = {r.variant: r.asDict() for r in validation.evaluate_together(replace(run, fits=[]), known, "all", OPTIONS).collect()}
+    monkeypatch.setattr(models, "fit_variant", lambda *_: pytest.fail("fitted again"))
+    again = {r.variant: r.asDict() for r in validation.evaluate_together(run, known, "all", OPTIONS).collect()}
+    assert set(again) == {"base", "combo__all_new"} == set(fresh)
+    for name, row in fresh.items():
+        assert again[name] == {k: v if isinstance(v, str) else pytest.approx(v) for k, v in row.items()}
+
+
 def test_cascade_stops_where_it_should(spark, known):
     rows = known.filter("split <> 'test'").withColumn("ready", F.when(F.col("new_b") != -9999, F.col("new_b"))).withColumn("flat", F.lit(1.0))
     base = list(FEATURES.base)
