@@ -14,7 +14,6 @@ no rows. Other columns are not read.
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -99,14 +98,14 @@ def _encode(model: bytes):
         for b in batches:
             texts = b["text"].tolist()
             for first, end in chunks(texts):
-                ids = [array("i", x).tobytes() for x in library.encode(texts[first:end], num_threads=1)]
+                ids = [x.tobytes() for x in library.encode(texts[first:end], num_threads=1, return_type="numpy")]
                 yield pd.DataFrame({"id": b["id"].array[first:end], "shard": b["shard"].array[first:end], "ids": ids})
     return run
 
 
 def _pack(length: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pieces = []
+        pieces, places = [], np.arange(length, dtype="<i4")
         for doc, blob in zip(pdf["id"], pdf["ids"]):
             ids = np.append(np.frombuffer(blob, "<i4"), np.int32(END))
             known = not pd.isna(doc)
@@ -118,7 +117,7 @@ def _pack(length: int):
             ids, positions = np.full(length, PAD, "<i4"), np.zeros(length, "<i4")
             used = sum(sizes)
             ids[:used] = np.frombuffer(b"".join(pieces[k][4] for k in members), "<i4")
-            positions[:used] = np.concatenate([np.arange(n) for n in sizes])
+            positions[:used] = np.concatenate([places[:n] for n in sizes])
             out.append((key[0], row, ids.tobytes(), positions.tobytes(), [0, *np.cumsum(sizes).tolist()],
                         [pieces[k][2] if pieces[k][1] else None for k in members], [pieces[k][3] for k in members]))
         return pd.DataFrame(out, columns=["shard", "row", "ids", "positions", "cu_seqlens", "doc_ids", "starts"])

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -513,6 +514,24 @@ def test_best_fit_against_brute_force():
     assert sorted(k for m in rows_ for k in m) == list(range(300))
 
 
+def test_packing_takes_the_library_s_arrays(monkeypatch):
+    """No list of Python numbers is made for each text."""
+    import sentencepiece
+
+    class Library:
+        def __init__(self, **_):
+            pass
+
+        def encode(self, texts, num_threads, return_type):
+            assert return_type == "numpy"
+            return [np.arange(len(t), dtype=np.int32) for t in texts]
+
+    monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", Library)
+    batch = pd.DataFrame({"id": [1, 2], "shard": [0, 0], "text": ["abc", ""]})
+    out = next(best_fit_packing._encode(b"")(iter([batch])))
+    assert [np.frombuffer(b, "<i4").tolist() for b in out["ids"]] == [[0, 1, 2], []]
+
+
 def test_packing_is_lossless(spark, pieces):
     df = rows(spark, "hello world", "a b c", "hello world")
     packed = best_fit_packing.pack(df, "doc_id", "text", best_fit_packing.load_model(), length=16).collect()
