@@ -24,6 +24,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from itertools import accumulate
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -36,6 +37,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"      # a parameter; read by the dr
 CHUNK = 1 << 16         # characters of a chunk of a giant document
 BATCH = 1_000           # documents that a worker holds at once
 REMEMBER = 120_000      # stretches remembered before the older half is let go
+BORDERS = 300_000       # pairs of pieces whose border is remembered
+STARTS = 60_000         # beginnings whose pieces are remembered
 
 SPACE = "▁"
 _NONE = -1              # the state at a sure cut
@@ -62,17 +65,19 @@ class Pieces:
         self.ends: dict[str, int] = {}      # last two characters -> longest piece that ends in them
         for p in self.ids:
             self.ends[p[-2:]] = max(self.ends.get(p[-2:], 1), len(p))
-        # First four characters -> the longest piece that begins so; the pairs of characters inside pieces.
-        self.begins: dict[str, int] = {}
+        # First four characters -> the lengths of longer pieces that begin so; the pairs of characters inside pieces.
+        self.longer: dict[str, set[int]] = {}
         for p in self.ids:
-            if len(p) > 3:
-                self.begins[p[:4]] = max(self.begins.get(p[:4], 4), len(p))
+            if len(p) > 4:
+                self.longer.setdefault(p[:4], set()).add(len(p))
         self.inner = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.known = set(self.ids) & set("".join(self.ids))
         self.spelled = [p.encode() for p in pieces]
         for b, i in enumerate(byte_ids):
             self.spelled[i] = bytes([b])
         self._stands: dict[int, bool] = {}
+        self._chains: tuple[dict, dict] = ({}, {})
+        self._starts: dict[str, tuple[tuple[int, int | None], ...]] = {}
         self._seen: dict[str, tuple[int, ...]] = {}
         self._older: dict[str, tuple[int, ...]] = {}
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
@@ -90,7 +95,7 @@ class Pieces:
                    [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
 
     def __getstate__(self):
-        return self.__dict__ | {"_stands": {}, "_seen": {}, "_older": {}}
+        return self.__dict__ | {"_stands": {}, "_chains": ({}, {}), "_starts": {}, "_seen": {}, "_older": {}}
 
     def _learn_parts(self, i: int) -> None:
         piece, parts, last = self.pieces[i], list(self.pieces[i]), None
@@ -112,25 +117,32 @@ class Pieces:
         key = a << 20 | b
         found = self._stands.get(key)
         if found is None:
+            if len(self._stands) >= BORDERS:
+                self._stands.clear()
             found = self._stands[key] = self._border(a, b)
         return found
 
-    def _chain(self, i: int, side: int) -> list[tuple[int, float, float]]:
-        """The parts that touch the border while a piece is built: (part, made at, gone at)."""
-        out, gone = [], float("inf")
-        while True:
-            out.append((i, self.made[i], gone))
-            if i not in self.parts:
-                return out
-            gone, i = self.made[i], self.parts[i][side]
+    def _chain(self, i: int, side: int) -> list[tuple[str, float, float]]:
+        """The parts that touch the border while a piece is built: (part, made at, gone at); found once for each piece."""
+        out = self._chains[side].get(i)
+        if out is None:
+            out, at, gone = [], i, float("inf")
+            while True:
+                if self.made[at] < gone:
+                    out.append((self.pieces[at], self.made[at], gone))
+                if at not in self.parts:
+                    break
+                gone, at = self.made[at], self.parts[at][side]
+            self._chains[side][i] = out
+        return out
 
     def _border(self, a: int, b: int) -> bool:
-        right = self._chain(b, 0)
+        right, ids = self._chain(b, 0), self.ids.get
         for x, made_x, gone_x in self._chain(a, 1):
             for y, made_y, gone_y in right:
-                if max(made_x, made_y) >= min(gone_x, gone_y):
+                if made_x >= gone_y or made_y >= gone_x:
                     continue        # they never stand side by side
-                both = self.ids.get(self.pieces[x] + self.pieces[y])
+                both = ids(x + y)
                 # Of equal merges the left one comes first.
                 if both is not None and self.rank[both] < gone_x and self.rank[both] <= gone_y:
                     return False
@@ -147,51 +159,61 @@ class Pieces:
             if piece is not None:
                 yield i, piece
 
+    def starting(self, start: str) -> tuple[tuple[int, int | None], ...]:
+        """Lengths and ids of the pieces that begin as the four characters ``start``, the longest first; None where more decide."""
+        found = [(k, None) for k in sorted(self.longer.get(start, ()), reverse=True)]
+        found += [(k, self.ids[start[:k]]) for k in range(len(start), 0, -1) if start[:k] in self.ids]
+        if len(self._starts) >= STARTS:
+            self._starts.clear()
+        self._starts[start] = tuple(found)
+        return self._starts[start]
+
     def stretch_ids(self, text: str) -> tuple[int, ...]:
         """The ids of a text between two sure cuts: the one path through its lattice whose weight is 0.
 
         Followed from piece to piece, the longest first. Only one path of weight 0 leads to a place, so a
         place from which it cannot go on is given up for good, and no place is left twice.
         """
-        ids, begins, borders = self.ids.get, self.begins.get, self._stands.get
+        ids, starts, borders = self.ids.get, self._starts.get, self._stands.get
         whole = ids(text)
         if whole is not None:
             return (whole,)
         n, at, path, lost = len(text), 0, [], set()
-        size = begins(text[:4], 3)
+        before, most = _NONE, n
         while at < n:
-            size = min(size, n - at)
-            before = path[-1] if path else _NONE
-            while size:
-                if at + size not in lost:
+            start = text[at : at + 4]
+            for size, piece in starts(start) or self.starting(start):
+                if size > most or lost and at + size in lost:
+                    continue
+                if piece is None:
                     piece = ids(text[at : at + size])
-                    if piece is not None:
-                        if before < 0:
-                            break
-                        stands = borders(before << 20 | piece)
-                        if self.stands(before, piece) if stands is None else stands:
-                            break
-                size -= 1
-            if size:
-                path.append(piece)
-                at += size
-                size = begins(text[at : at + 4], 3)
+                    if piece is None:
+                        continue
+                if before < 0:
+                    break
+                stands = borders(before << 20 | piece)
+                if self.stands(before, piece) if stands is None else stands:
+                    break
             else:
                 lost.add(at)
-                size = len(self.pieces[path[-1]])
+                size = len(self.pieces[path.pop()])
                 at -= size
-                path.pop()
-                size -= 1
+                before, most = path[-1] if path else _NONE, size - 1
+                continue
+            path.append(piece)
+            at += size
+            before, most = piece, n - at
         return tuple(path)
 
     def pieces_of(self, text: str) -> tuple[int, ...]:
         """The ids of a stretch, cut further wherever no piece holds the two characters beside each other."""
-        inner, out, first = self.inner, [], 0
-        for k in range(1, len(text) + 1):
-            if k < len(text) and text[k - 1 : k + 1] in inner:
-                continue
-            part = text[first:k]
-            first = k
+        inner = self.inner
+        cuts = [k for k, pair in enumerate(map(add, text, text[1:]), 1) if pair not in inner]
+        if not cuts and len(text) > 1:
+            return self.stretch_ids(text)
+        out: list[int] = []
+        for first, end in zip([0, *cuts], [*cuts, len(text)]):
+            part = text[first:end]
             if part in self.ids:
                 out.append(self.ids[part])
             elif len(part) == 1:
@@ -208,7 +230,6 @@ class Pieces:
             if len(text) <= 64:
                 if len(self._seen) >= REMEMBER:
                     self._older, self._seen = self._seen, {}
-                    self._stands.clear()
                 self._seen[text] = ids
         return ids
 

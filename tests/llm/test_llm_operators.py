@@ -1,6 +1,7 @@
 """The training-data operators: edge cases, brute force, round trips."""
 
 import hashlib
+import pickle
 import random
 import zlib
 
@@ -488,6 +489,15 @@ def test_pieces_equal_the_library(spark, pieces):
         assert pieces.decode(pieces.encode(t)) == t.replace("▁", " ")
 
 
+def test_borders_outlive_remembered_stretches(pieces, monkeypatch):
+    own = pickle.loads(pickle.dumps(pieces))
+    monkeypatch.setattr(sentencepieces, "REMEMBER", 1)
+    own.encode("chachauge enchpflich erouenst")
+    known = dict(own._stands)
+    own.encode("ofonsternd")
+    assert known and known.items() <= own._stands.items()
+
+
 def test_giant_texts_by_chunks(spark, pieces):
     library = _library()
     random.seed(9)
