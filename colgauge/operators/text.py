@@ -56,7 +56,7 @@ def text_similarity(others: DataFrame, id_col: str, text: str, query: str) -> Da
     n = others.agg(F.count(F.lit(1)) + 1).scalar()
     tf = materialise(word_counts(others, id_col, text), "words")
     in_query = F.col("word").isin(*counts) if counts else F.lit(False)
-    freq = tf.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    freq = materialise(tf.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "frequencies")
     total = freq.agg(F.sum("n")).scalar()
     table = freq.withColumns({
         "n_total": total,
