@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from colgauge.functions.scalars import col, seconds
 from colgauge.operators.order import positions, running_totals, time_bucket
+from colgauge.session import materialise
 
 STRICT, INCLUSIVE = "strict", "inclusive"
 
@@ -418,11 +419,11 @@ def merge_rankings(attribution: DataFrame, importance: DataFrame) -> DataFrame:
 def disjoint_splits(df: DataFrame, id_cols: str | Sequence[str], split: str = "split") -> DataFrame:
     """Ids found in two splits: one row per pair of splits, with their number and one example."""
     ids = _aslist(id_cols)
-    shared = (
-        df.groupBy(*ids)
-        .agg(F.array_sort(F.collect_set(split)).alias("_splits"))
-        .filter(F.size("_splits") > 1)
-    )
+    # Few ids, if any, have two splits: only theirs are listed.
+    ends = df.groupBy(*[col(i).alias(f"_shared_{n}") for n, i in enumerate(ids)]).agg(F.min(split).alias("_low"), F.max(split).alias("_high"))
+    twice = materialise(ends.filter(F.col("_low") != F.col("_high")).drop("_low", "_high"), "shared-ids")
+    same = [col(i).eqNullSafe(F.col(f"_shared_{n}")) for n, i in enumerate(ids)]
+    shared = df.join(twice, same, "left_semi").groupBy(*ids).agg(F.array_sort(F.collect_set(split)).alias("_splits"))
     text = F.concat_ws("|", *[col(i).cast("string") for i in ids])
     pairs = shared.select(text.alias("_id"), "_splits", F.posexplode("_splits").alias("_at", "left_split")).select(
         "_id", "left_split", F.explode(F.slice("_splits", F.col("_at") + 2, F.size("_splits"))).alias("right_split")

@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from colgauge.functions.scalars import col
-from colgauge.operators.order import add_up, quantiles, running_totals
+from colgauge.operators.order import quantiles, running_totals
 from colgauge.session import materialise
 
 GROUP = ("variant", "split")
@@ -22,25 +22,31 @@ TIE_STEPS = 1024          # by which rows of equal score are counted before any
 FLAG_SHARES = (0.01, 0.02, 0.05, 0.10, 0.20)
 
 
-def score_blocks(pred: DataFrame, group: Sequence[str] = GROUP, y: str = "y", score: str = "score") -> DataFrame:
+def score_cells(pred: DataFrame, group: Sequence[str] = GROUP, y: str = "y", score: str = "score") -> DataFrame:
+    """Rows counted by group, score and outcome, written: (group, value, y, rows). Trees give few scores, so few cells."""
+    rows = pred.select(*[col(g).alias(g) for g in group], col(score).cast("double").alias("value"), col(y).cast("double").alias("y"))
+    return materialise(rows.groupBy(*group, "value", "y").agg(F.count(F.lit(1)).alias("rows")), "scores")
+
+
+def score_blocks(
+    pred: DataFrame, group: Sequence[str] = GROUP, y: str = "y", score: str = "score", cells: DataFrame | None = None
+) -> DataFrame:
     """Rows summed per score, in falling score order.
 
     ``n`` and ``sy`` cover rows with an outcome; ``m``, ``my`` and ``mp`` leave out
-    the not-an-outcome code as well; ``rows`` and ``sp`` cover every row.
+    the not-an-outcome code as well; ``rows`` and ``sp`` cover every row. ``cells``, if given, are :func:`score_cells` of ``pred``.
     """
-    outcome = col(y).cast("double")
+    cells = score_cells(pred, group, y, score) if cells is None else cells
+    outcome, rows, zero = F.col("y"), F.col("rows"), F.lit(0.0)
     valid = outcome.isNotNull() & (outcome != NOT_AN_OUTCOME)
-    zero, value = F.lit(0.0), col(score).cast("double")
-    count = lambda c: c.cast("bigint")
-    rows = pred.select(
-        *[col(g).alias(g) for g in group], value.alias("value"),
-        count(outcome.isNotNull()).alias("n"), F.coalesce(outcome, zero).alias("sy"),
-        count(valid).alias("m"), F.when(valid, outcome).otherwise(zero).alias("my"), F.lit(1).cast("bigint").alias("rows"),
+    counted = cells.select(
+        *[col(g) for g in group], "value",
+        F.when(outcome.isNotNull(), rows).otherwise(0).alias("n"), F.coalesce(outcome * rows, zero).alias("sy"),
+        F.when(valid, rows).otherwise(0).alias("m"), F.when(valid, outcome * rows).otherwise(zero).alias("my"), "rows",
     )
     # A block's rows have one score: its sums follow from its counts.
-    summed = materialise(add_up(rows, [*group, "value"], ["n", "sy", "m", "my", "rows"]), "scores")
     score_sum = lambda n: F.when(F.col(n) > 0, F.coalesce("value", zero) * F.col(n)).otherwise(zero)
-    blocks = summed.withColumns({"mp": score_sum("m"), "sp": score_sum("rows")})
+    blocks = counted.withColumns({"mp": score_sum("m"), "sp": score_sum("rows")})
     return running_totals(blocks, group, "value", ["n", "sy", "m", "my", "mp", "rows", "sp"], descending=True, merge=True)
 
 
@@ -56,10 +62,10 @@ def _curve(cumulated: str, total: str, n: str) -> Column:
     return F.when((F.col(n) > 0) & (F.col(total) != 0), curve)
 
 
-def _perfect(pred: DataFrame, group: Sequence[str], y: str) -> DataFrame:
-    """(group, _x2): the curve of the order by y itself."""
-    outcomes = pred.filter(col(y).isNotNull()).groupBy(*group, col(y).cast("double").alias("value")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(col(y).cast("double")).alias("sy")
+def _perfect(cells: DataFrame, group: Sequence[str]) -> DataFrame:
+    """(group, _x2): the curve of the order by y itself, from :func:`score_cells`."""
+    outcomes = cells.filter(F.col("y").isNotNull()).groupBy(*group, F.col("y").alias("value")).agg(
+        F.sum("rows").alias("n"), F.sum(F.col("y") * F.col("rows")).alias("sy")
     )
     blocks = running_totals(outcomes, group, "value", ["n", "sy"], descending=True)
     out = blocks.groupBy(*group).agg(_cumulated().alias("_c"), F.max("sy_total").alias("_s"), F.max("n_total").alias("_n"))
@@ -74,10 +80,11 @@ def adjusted_gini(
     pred: DataFrame, group: Sequence[str] = GROUP, y: str = "y", score: str = "score"
 ) -> DataFrame:
     """The Gini of the score order over that of a perfect order: (group, adj_gini)."""
-    areas = score_blocks(pred, group, y, score).groupBy(*group).agg(
+    cells = score_cells(pred, group, y, score)
+    areas = score_blocks(pred, group, y, score, cells).groupBy(*group).agg(
         _cumulated().alias("_c"), F.max("sy_total").alias("_s"), F.max("n_total").alias("_n")
     )
-    both = areas.join(_perfect(pred, group, y), list(group), "left")
+    both = areas.join(_perfect(cells, group), list(group), "left")
     return both.select(*group, _gini(_curve("_c", "_s", "_n")))
 
 
@@ -136,14 +143,17 @@ def top_sums(
     split = out.select(
         *[col(g).alias(f"_{g}") for g in group], F.expr("explode(filter(_cuts, c -> c.need < c.size)) AS _c")
     ).select(*inner, "_c.cut", "_c.counter", "_c.need", F.col("_c.score").alias("_score"))
+    # Each cut has a number, so that rows carry that rather than the names of its group.
+    split = materialise(split.withColumn("_cut", F.monotonically_increasing_id()), "split-blocks")
     outcome = col(y).cast("double")
     counted = F.when(F.col("counter") == "n", outcome.isNotNull()).otherwise(
         outcome.isNotNull() & (outcome != NOT_AN_OUTCOME)
     )
     same = [col(g) == col(f"_{g}") for g in group]
     rows = pred.join(split, [*same, col(score).cast("double").eqNullSafe(F.col("_score"))]).filter(counted)
-    tied = rows.select(*inner, "cut", "need", _tie_order(pred, tie).alias("_tie"), outcome.alias("_y"), F.coalesce("_score", F.lit(0.0)).alias("_p"))
-    sums = _first_by_tie(tied, pred.select(_tie_order(pred, tie).alias("_tie")), [*inner, "cut"])
+    tied = rows.select("_cut", "need", _tie_order(pred, tie).alias("_tie"), outcome.alias("_y"), F.coalesce("_score", F.lit(0.0)).alias("_p"))
+    sums = _first_by_tie(tied, pred.select(_tie_order(pred, tie).alias("_tie")), ["_cut"])
+    sums = sums.join(split.select("_cut", *inner, "cut"), "_cut")
     extra = sums.groupBy(*inner).agg(
         F.map_from_entries(F.collect_list(F.struct("cut", F.struct("y", "p")))).alias("_extra")
     )
@@ -239,10 +249,11 @@ def evaluate_predictions(
     group: Sequence[str] = GROUP, y: str = "y", score: str = "score", tie: str | None = "id",
 ) -> DataFrame:
     """The full metric bundle of every variant and split, one row each."""
-    blocks = score_blocks(pred, group, y, score)
+    cells = score_cells(pred, group, y, score)
+    blocks = score_blocks(pred, group, y, score, cells)
     cuts = {**_capture_cuts(shares), **_calibration_cuts(bins)}
     found = top_sums(pred, blocks, cuts, group, y, score, tie)
-    return found.join(_perfect(pred, group, y), list(group), "left").select(
+    return found.join(_perfect(cells, group), list(group), "left").select(
         *group, F.col("rows_total").alias("n_rows"),
         _gini(_curve("cumulated", "sy_total", "n_total")), _calibration_column(bins),
         F.try_divide(F.col("sy_total"), F.col("n_total")).alias("actual_mean"),

@@ -78,7 +78,7 @@ def validate(df: DataFrame, features: FeatureSet, options: RunOptions = RunOptio
         new = [r.feature for r in selected.filter("kept").collect() if r.feature not in failed]
         new = [f for f in features.new if f in new]
     fits = models.fit_variants(table, models.build_variants(features.base, new, options.variants), options.fit)
-    predictions = materialise(models.all_predictions(fits), "predictions")
+    predictions = models.all_predictions(fits)
     metrics = materialise(evaluate_predictions(predictions, options.shares), "metrics")
     comparison = wide_comparison(metrics, shares=options.shares)
     explained = [f for f in fits if options.verdict.attribution_variant == "leave_one_in" or f.variant.name in ("base", options.verdict.attribution_variant)]
@@ -142,6 +142,6 @@ def evaluate_together(
     asked = fits if scored else named + fits
     found = [run.metrics.filter(F.col("variant") == f.variant.name).withColumn("variant", F.lit(name)) for name, f in known.items()] if scored else []
     if asked:
-        found.append(evaluate_predictions(materialise(models.all_predictions(asked), "together"), options.shares))
+        found.append(evaluate_predictions(models.all_predictions(asked), options.shares))
     parts = [part.select(*[col(c) for c in found[-1].columns]) for part in found]
     return wide_comparison(materialise(reduce(DataFrame.unionByName, parts), "together-metrics"), shares=options.shares)

@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from colgauge.operators import metrics
 from colgauge.operators.clean import FeatureSet
 from colgauge.plans import models, screening, selection, validation, verdict
 
@@ -64,6 +65,40 @@ def test_together_fits_nothing_twice(known, run, monkeypatch):
         assert again[name] == {k: v if isinstance(v, str) else pytest.approx(v) for k, v in row.items()}
 
 
+def test_a_model_is_read_as_sql(run, monkeypatch):
+    """The sum of the trees as SQL is what Spark's model says of every row; a larger model is scored by Spark's own."""
+    from pyspark.ml.functions import vector_to_array
+
+    fitted = next(f for f in run.fits if f.variant.name == "base_plus_new")
+    model = fitted.model.transform(models._vectors(run.table, fitted.variant.features)).select(
+        F.col("_id").alias("id"), vector_to_array("probability")[1].alias("p"), vector_to_array("rawPrediction")[1].alias("m"))
+    both = models.with_margin(fitted, run.table).withColumnRenamed("_id", "id").join(model, "id").join(
+        fitted.predictions.select("id", "score"), "id").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("m") - F.col("_margin"))).alias("m"), F.max(F.abs(F.col("p") - F.col("score"))).alias("p")).first()
+    assert fitted.margin and both.n == 3000 and both.m < 1e-12 and both.p < 1e-12
+    monkeypatch.setattr(models, "WRITTEN", 3)
+    large = replace(fitted, margin=None)
+    assert large.margin is None
+    a, b = (models.mean_attribution([f], run.table).orderBy("feature").collect() for f in (fitted, large))
+    assert [r.feature for r in a] == [r.feature for r in b] and [r.mean_abs_attr for r in a] == pytest.approx([r.mean_abs_attr for r in b])
+
+
+def test_rows_are_scored_where_they_are_read(run):
+    """A run keeps no table of a row for each variant and model row, and as few cells as there are scores."""
+    assert all("laid-out-" in path for path in run.predictions.inputFiles())
+    cells = metrics.score_cells(run.predictions)
+    assert cells.agg(F.sum("rows")).first()[0] == 3000 * len(run.fits)
+    assert cells.count() == run.predictions.select("variant", "split", "score", "y").distinct().count()
+
+
+def test_ids_in_two_splits(spark):
+    from colgauge.operators.linkage import disjoint_splits
+
+    rows = [(1, "a", "train"), (1, "a", "test"), (2, "a", "train"), (2, "b", "test"), (3, None, "valid"), (3, None, "test"), (3, None, "train"), (4, "a", None)]
+    got = {(r.left_split, r.right_split): (r.shared_ids, r.example) for r in disjoint_splits(spark.createDataFrame(rows, "k int, m string, split string"), ["k", "m"]).collect()}
+    assert got == {("test", "train"): (2, "1|a"), ("test", "valid"): (1, "3"), ("train", "valid"): (1, "3")}
+
+
 def test_cascade_stops_where_it_should(spark, known):
     rows = known.filter("split <> 'test'").withColumn("ready", F.when(F.col("new_b") != -9999, F.col("new_b"))).withColumn("flat", F.lit(1.0))
     base = list(FEATURES.base)
