@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import BinaryType, DoubleType
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from colgauge.functions.scalars import col
-from colgauge.operators.order import attach_by_value
-from colgauge.session import discard, materialise
+from colgauge.operators.order import attach_by_value, running_totals
+from colgauge.session import materialise
 
 # The words that carry no meaning of their own.
 STOP_WORDS = (
@@ -22,8 +23,12 @@ STOP_WORDS = (
 ).split()
 REPEAT_FROM = 0.6
 PASSAGES = 1000     # passages whose words are sent to every task at once
-LEVELS = 4          # of what a word and the more frequent ones weigh, by which postings are dealt
+BLOCK = 6_000_000   # words of a block of bags; a task holds two
+BLOCKS = 8          # of bags, at least
 BUCKETS = 512       # of words in a bag's print
+PAIRS = 1 << 21     # that a task holds at once
+SLICE = 1 << 13     # bags or pairs whose prints are unpacked at once
+SLACK = 1e-4        # of bounds, as they are taken in single precision
 
 
 def words(text: str | Column) -> Column:
@@ -129,79 +134,171 @@ def nearest_passages(
         F.col("id").alias(id_col), F.col("passage").alias(passage_id), F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
 
 
-def _weights(tf: DataFrame, items: DataFrame) -> DataFrame:
-    """(bag, word, df, weight) with weights of length one; ``copies`` counts the texts of a bag."""
-    n = items.agg(F.sum("copies")).scalar()
-    freq = tf.groupBy("word").agg(F.sum("copies").alias("n"))
-    table = freq.withColumns({"n_total": freq.agg(F.sum("n")).scalar(), "_both": F.struct(F.col("n").alias("df"), _inverse(n.cast("double"), F.col("n")).alias("idf"))})
-    raw = attach_by_value(tf, table, ["word"], "_both", F.col("bag")).select(
-        "bag", "word", F.col("_both.df").alias("df"), (F.col("tf") * F.col("_both.idf")).alias("w")
-    )
-    norms = raw.groupBy("bag").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
-    return raw.join(norms, "bag").select("bag", "word", "df", (F.col("w") / F.col("_norm")).alias("weight"))
-
-
-@F.pandas_udf(BinaryType())
-def _print(cells: pd.Series) -> pd.Series:
-    def one(given: np.ndarray) -> bytes:
-        steps = np.zeros(BUCKETS, np.uint8)
-        steps[np.asarray(given) >> 8] = np.asarray(given) & 255
-        return steps.tobytes()
-
-    return cells.map(one)
-
-
-@F.pandas_udf(DoubleType())
-def _print_product(a: pd.Series, b: pd.Series) -> pd.Series:
-    x, y = (np.frombuffer(b"".join(p), np.uint8).reshape(-1, BUCKETS).astype(np.float32) for p in (a, b))
-    return pd.Series(np.einsum("ij,ij->i", x, y).astype(float))
-
-
-def _prints(weights: DataFrame) -> DataFrame:
-    """(bag, step, print): words dealt to buckets by their hash, the length of each bucket rounded up to whole steps.
+def _vectors(words: DataFrame, times: DataFrame, n: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """(bag, first_at, last_at, length, words) of bags that share a word with another, and what a word's rarity follows from.
 
-    The scalar product of two prints is never below that of the bags.
+    Words are numbered from the rarest on and stand as often as the bag has them, those of one bag alone left out; ``length`` is
+    of the whole bag. Words from a number on weigh as much as given beside it, of which there are few: no more than the root of twice the words.
+    """
+    freq = materialise(words.groupBy("word").agg(F.sum("copies").alias("df"), F.count(F.lit(1)).alias("n")), "frequencies")
+    shared = freq.filter("n > 1")
+    steps = shared.groupBy("df").agg(F.count(F.lit(1)).alias("n")).select("df", "n", _inverse(F.lit(float(n)), F.col("df")).alias("idf")).orderBy("df").collect()
+    starts = np.cumsum([0, *[r.n for r in steps]])[:-1]
+    start = freq.sparkSession.createDataFrame([(r.df, int(x)) for r, x in zip(steps, starts)], "df long, start long")
+    numbered = running_totals(shared.select("df", "word", F.lit(1).cast("bigint").alias("k")), ["df"], "word", ["k"])
+    numbered = numbered.join(F.broadcast(start), "df").select("word", (F.col("start") + F.col("k_before")).cast("int").alias("number"))
+    table = freq.join(numbered, "word", "left").select(
+        "word", "n", freq.agg(F.sum("n")).scalar().alias("n_total"), F.struct("df", "number").alias("_code"))
+    coded = attach_by_value(words, table, ["word"], "_code", F.col("bag")).select("bag", "tf", "_code.*")
+    weight = F.col("tf") * _inverse(F.lit(float(n)), F.col("df"))
+    numbers = F.collect_list(F.when(F.col("number").isNotNull(), F.array_repeat("number", F.col("tf").cast("int"))))
+    vectors = coded.repartition("bag").groupBy("bag").agg(
+        F.sqrt(F.sum(weight * weight)).alias("length"), F.array_sort(F.flatten(numbers)).alias("words")).filter(F.size("words") > 0)
+    return materialise(vectors.join(times, "bag").select("bag", "first_at", "last_at", "length", "words"), "vectors"), starts, np.array([r.idf for r in steps])
+
+
+@dataclass
+class _Block:
+    """The bags of a block as rows (owner, word, weight) by owner and from the rarest word on; a bag's rows begin at ``bounds``.
+
+    ``left`` is the length of a row's more frequent words, ``first`` the rows under which a bag is looked up.
     """
-    bucket = F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int")
-    cells = weights.repartition("bag").groupBy("bag", bucket.alias("_bucket")).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_length"))
-    cells = cells.withColumn("step", F.max("_length").over(Window.partitionBy("bag")) / 255)
-    steps = F.least(F.lit(255), F.ceil(F.col("_length") / F.col("step"))).cast("int")
-    return cells.groupBy("bag", "step").agg(F.collect_list(F.col("_bucket") * 256 + steps).alias("_cells")).select(
-        "bag", "step", _print("_cells").alias("print"))
-
-
-def _candidates(weights: DataFrame, times: DataFrame, threshold: float) -> DataFrame:
-    """(earlier, later): every pair of bags whose overlap can reach the threshold, and few others.
 
-    ``_reach`` is what a word and the more frequent ones of its bag weigh, squared. Under the rarest word
-    a pair shares, its overlap is no larger than the root of both reaches' product: postings are dealt by word and
-    level of reach, and meet only where two levels allow it. There the product of the
-    word's own weights and the lengths of what is left, and that of the prints, must reach the threshold too.
+    n: int
+    owner: np.ndarray
+    word: np.ndarray
+    weight: np.ndarray
+    bounds: np.ndarray
+    left: np.ndarray
+    first: np.ndarray
+    step: np.ndarray
+    prints: np.ndarray
+
+    @classmethod
+    def of(cls, rows: pa.Table, starts: np.ndarray, idf: np.ndarray, threshold: float) -> _Block:
+        held = rows["words"].combine_chunks()
+        every, n = held.flatten().to_numpy(zero_copy_only=False), len(held)
+        sizes = pc.list_value_length(held).to_numpy(zero_copy_only=False)
+        owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
+        at = np.flatnonzero(np.r_[True, (every[1:] != every[:-1]) | (owner[1:] != owner[:-1])][: len(every)])
+        times, word, owner = np.diff(np.r_[at, len(every)]), every[at], owner[at]
+        weight = times * idf[np.searchsorted(starts, word, side="right") - 1] / rows["length"].to_numpy()[owner]
+        bounds = np.searchsorted(owner, np.arange(n + 1))
+        square = weight * weight
+        total = np.r_[0.0, np.cumsum(square)]
+        left = np.maximum(0.0, total[bounds[owner + 1]] - total[1:])
+        first = np.flatnonzero(left + square >= threshold * threshold - SLACK)
+        step, prints = np.zeros(n, np.float32), np.zeros((n, BUCKETS), np.uint8)
+        for k in range(0, n, SLICE):
+            m = min(n, k + SLICE)
+            part = slice(bounds[k], bounds[m])
+            cells = np.bincount((owner[part] - k) * BUCKETS + word[part] % BUCKETS, square[part], (m - k) * BUCKETS).reshape(-1, BUCKETS)
+            step[k:m] = np.sqrt(cells.max(1)) / 255
+            prints[k:m] = np.minimum(255, np.ceil(np.sqrt(cells) / step[k:m, None]))
+        return cls(n, owner, word, weight, bounds, np.sqrt(left), first, step, prints)
+
+
+def _met(a: _Block, b: _Block, same: bool, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of bags whose overlap can reach the threshold, and few others, each once; of one block, the smaller first.
+
+    Under the rarest word a pair shares, its overlap is no larger than the product of the word's own weights and that of the
+    lengths of what is left; the product of two prints is never below that of the bags.
     """
-    rest = Window.partitionBy("bag").orderBy(F.col("df").desc(), F.col("word").desc()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    width = -2 * math.log(threshold) / LEVELS if 0 < threshold < 1 else math.inf
-    level = F.least(F.lit(LEVELS), F.floor(-F.log(F.least(F.col("_reach"), F.lit(1.0))) / F.lit(width))).cast("int")
-    prefix = (
-        weights.withColumn("_reach", F.sum(F.col("weight") * F.col("weight")).over(rest))
-        .filter(F.col("_reach") >= threshold * threshold - 1e-9)
-        .select("bag", "word", F.col("weight").alias("w"), F.sqrt(F.greatest(F.lit(0.0), F.col("_reach") - F.col("weight") * F.col("weight"))).alias("left"),
-                level.alias("level"))
-        .join(_prints(weights).join(times, "bag"), "bag")
-    )
-    prefix = materialise(prefix, "postings")
-    a = prefix.select(F.col("bag").alias("earlier"), "word", F.struct("w", "left", "step", "print").alias("a"), F.col("first_at").alias("_from"),
-                      F.explode(F.sequence(F.lit(0), F.lit(LEVELS) - F.col("level"))).alias("level"))
-    b = prefix.select(F.col("bag").alias("later"), "word", F.struct("w", "left", "step", "print").alias("b"), F.col("last_at").alias("_to"), "level")
-    enough = F.lit(threshold - 1e-9)
-    found = a.join(b, ["word", "level"]).filter(
-        (F.col("earlier") != F.col("later")) & (F.col("_from") < F.col("_to"))
-        & (F.col("a.w") * F.col("b.w") + F.col("a.left") * F.col("b.left") >= enough)
-    ).filter(_print_product("a.print", "b.print") * F.col("a.step") * F.col("b.step") >= enough)
-    found = materialise(found.select("earlier", "later").distinct(), "pairs")
-    discard(prefix)
-    return found
+    place = b.first[np.argsort(b.word[b.first], kind="stable")]
+    words, weight, left, owner = b.word[place], b.weight[place].astype(np.float32), b.left[place].astype(np.float32), b.owner[place]
+    asked = a.word[a.first]
+    low = np.searchsorted(words, asked)
+    many = np.searchsorted(words, asked, side="right") - low
+    ends = np.r_[0, np.cumsum(many)]
+    edge = np.searchsorted(a.owner[a.first], np.arange(a.n + 1))    # a bag's rows stay together, so a pair comes once
+    k = 0
+    while k < a.n:
+        m = max(k + 1, int(np.searchsorted(ends[edge], ends[edge[k]] + PAIRS, side="right")) - 1)
+        rows = np.arange(edge[k], edge[m])
+        row = np.repeat(rows, many[rows])
+        to = np.arange(len(row)) + np.repeat(low[rows] - (ends[rows] - ends[edge[k]]), many[rows])
+        mine = a.first[row]
+        keep = a.weight[mine].astype(np.float32) * weight[to] + a.left[mine].astype(np.float32) * left[to] >= threshold - SLACK
+        if same:
+            keep &= a.owner[mine] < owner[to]
+        pairs = np.unique(a.owner[mine[keep]].astype(np.int64) * b.n + owner[to[keep]])
+        for at in range(0, len(pairs), SLICE):
+            x, y = np.divmod(pairs[at: at + SLICE], b.n)
+            bound = np.einsum("ij,ij->i", a.prints[x].astype(np.float32), b.prints[y].astype(np.float32)) * a.step[x] * b.step[y]
+            yield x[bound >= threshold - SLACK], y[bound >= threshold - SLACK]
+        k = m
+
+
+def _overlaps(a: _Block, b: _Block, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The scalar product of each pair of bags."""
+    def rows(block: _Block, bags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sizes = block.bounds[bags + 1] - block.bounds[bags]
+        ends = np.cumsum(sizes)
+        at = np.arange(ends[-1]) + np.repeat(block.bounds[bags] - (ends - sizes), sizes)
+        return at, np.repeat(np.arange(len(bags), dtype=np.int64), sizes) << 32 | block.word[at]
+
+    (p, left), (q, right) = rows(a, x), rows(b, y)
+    both, i, j = np.intersect1d(left, right, assume_unique=True, return_indices=True)
+    return np.bincount(both >> 32, a.weight[p[i]] * b.weight[q[j]], len(x))
+
+
+def _records(later: np.ndarray, first: np.ndarray, overlap: np.ndarray) -> np.ndarray:
+    """Which rows have a larger overlap than all of the same ``later`` that come first."""
+    order = np.lexsort((-overlap, first, later))
+    levels, level = np.unique(overlap[order], return_inverse=True)
+    height = later[order].astype(np.int64) * len(levels) + level
+    return order[height > np.r_[-1, np.maximum.accumulate(height)][:-1]]
+
+
+def _candidates(words: DataFrame, times: DataFrame, threshold: float, n: int | None = None) -> DataFrame:
+    """(earlier, later, overlap) of bags: for each every earlier one that reaches the threshold and is closer than all before that one.
+
+    ``words`` has a row for each word of a bag, with ``tf`` and the bag's ``copies`` where those are not 1; ``n`` counts
+    the texts. An item of a bag repeats the closest bag that began before the item, the first of equally close ones, so no other pair can
+    be asked for. Bags are dealt to blocks of about ``BLOCK`` words, and each two blocks are compared by one task, which
+    keeps no pairs but these: what is written and held does not follow the number of pairs.
+    """
+    one = F.lit(1).cast("bigint")
+    words = words.select("bag", "word", *[(F.col(c) if c in words.columns else one).alias(c) for c in ("tf", "copies")])
+    vectors, starts, idf = _vectors(words, times, times.count() if n is None else n)
+    blocks = max(BLOCKS, -(-(vectors.agg(F.sum(F.size("words"))).first()[0] or 0) // BLOCK))
+
+    def compare(rows: pa.Table) -> pa.Table:
+        at = rows["block"].to_numpy()
+        sides = [rows.filter(pa.array(at == k)) for k in np.unique(at)]
+        found, held = [], 0
+        if rows["cell"][0].as_py() % (blocks + 1) == 0 or len(sides) == 2:
+            a, *other = [_Block.of(side, starts, idf, threshold) for side in sides]
+            b = other[0] if other else a
+            both = pa.concat_tables(sides)
+            first, last = both["first_at"].to_numpy(), both["last_at"].to_numpy()
+            for x, y in _met(a, b, not other, threshold):
+                if not len(x):
+                    continue
+                overlap = _overlaps(a, b, x, y)
+                close = overlap >= threshold
+                x, y, overlap = x[close], y[close] + (a.n if other else 0), overlap[close]
+                for e, l in ((x, y), (y, x)):
+                    before = first[e] < last[l]
+                    found.append((e[before], l[before], overlap[before]))
+                    held += int(before.sum())
+                if held > PAIRS:
+                    e, l, o = map(np.concatenate, zip(*found))
+                    keep = _records(l, first[e], o)
+                    found, held = [(e[keep], l[keep], o[keep])], 0
+        e, l, o = map(np.concatenate, zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        if len(e):
+            keep = _records(l, first[e], o)
+            e, l, o, bags = e[keep], l[keep], o[keep], both["bag"]
+        else:
+            bags = rows["bag"]
+        return pa.table({"earlier": bags.take(pa.array(e)), "later": bags.take(pa.array(l)), "overlap": pa.array(o)})
+
+    kind = T.StructType([T.StructField(c, words.schema["bag"].dataType) for c in ("earlier", "later")] + [T.StructField("overlap", T.DoubleType())])
+    dealt = vectors.withColumn("block", F.pmod(F.xxhash64("bag"), F.lit(blocks)).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    cell = F.least("block", "_other") * blocks + F.greatest("block", "_other")
+    cells = dealt.withColumn("cell", cell.cast("int")).drop("_other").repartition(blocks * (blocks + 1), "cell")
+    return materialise(cells.groupBy("cell").applyInArrow(compare, kind), "pairs")
 
 
 def novelty(
@@ -213,37 +310,34 @@ def novelty(
     only reach the threshold if both hold one of the other's rarest words: each bag
     is looked up under its rarest words alone, up to where the words left over are
     too light to reach it, and a pair is looked at in full only if bounds on what both have in common
-    allow it. No pair above the threshold is lost; ``overlap`` is NULL
+    allow it. No pair that an item could repeat is lost; ``overlap`` is NULL
     when no earlier item reaches it. ``repeated`` is the id of the item that is repeated: the one
     of largest overlap (to nine places), of these the first by run and round, then by id. Rarity is taken over all items.
     """
-    bagged = items.select(
-        col(id_col).alias("id"), F.struct(col(run).alias("run"), col(round_col).alias("round")).alias("at"),
-        F.array_sort(words(text)).alias("_words"),
+    placed = items.select(col(run).alias("run"), col(round_col).alias("round"), col(id_col).alias("id"), col(text).alias("_text"))
+    placed = placed.repartitionByRange("run", "round", "id").sortWithinPartitions("run", "round", "id")
+    bagged = placed.select(
+        F.monotonically_increasing_id().alias("place"), "id", F.struct("run", "round").alias("at"), F.array_sort(words("_text")).alias("_words"),
     ).withColumn("bag", F.unhex(F.sha2(F.concat_ws(" ", "_words"), 256)))
     bagged = materialise(bagged, "bagged")
-    bags = bagged.groupBy("bag").agg(
-        F.count(F.lit(1)).alias("copies"), F.min("at").alias("first_at"), F.max("at").alias("last_at"),
-        F.min(F.struct("at", "id")).alias("first"), F.any_value("_words").alias("_words"),
-    )
-    tf = bags.select("bag", "copies", F.explode("_words").alias("word")).groupBy("bag", "copies", "word").agg(
+    # The place of a bag's first item is its number.
+    bags = materialise(bagged.groupBy("bag").agg(
+        F.count(F.lit(1)).alias("copies"), F.min("place").alias("first_at"), F.max("place").alias("last_at"),
+        F.min(F.struct("at", "id")).alias("first"), F.max(F.size("_words")).alias("size"),
+    ), "bags")
+    tf = bagged.groupBy("bag").agg(
+        F.count(F.lit(1)).alias("copies"), F.min("place").alias("number"), F.any_value("_words").alias("_words")
+    ).select("bag", "number", "copies", F.explode("_words").alias("word")).groupBy("bag", "number", "copies", "word").agg(
         F.count(F.lit(1)).alias("tf")
-    )
-    weights = materialise(_weights(materialise(tf, "words"), bags), "weights")
-    pairs = _candidates(weights, bags.select("bag", "first_at", "last_at"), threshold)
-    vectors = weights.groupBy("bag").agg(F.map_from_entries(F.collect_list(F.struct("word", "weight"))).alias("vector"))
-    left = vectors.select(F.col("bag").alias("earlier"), F.map_entries("vector").alias("_a"))
-    right = vectors.select(F.col("bag").alias("later"), F.col("vector").alias("_b"))
-    product = F.aggregate("_a", F.lit(0.0), lambda total, x: total + x["value"] * F.coalesce(F.col("_b")[x["key"]], F.lit(0.0)))
-    close = pairs.join(left, "earlier").join(right, "later").select("earlier", "later", product.alias("overlap")).filter(F.col("overlap") >= threshold)
-    itself = bags.filter(F.size("_words") > 0).select(
-        F.col("bag").alias("later"), F.lit(1.0).alias("overlap"), F.col("first").alias("_first"))
-    partners = close.join(
-        bags.select(F.col("bag").alias("earlier"), F.col("first").alias("_first")), "earlier"
-    ).select("later", "overlap", "_first").unionByName(itself)
+    ).select(F.col("number").alias("bag"), "copies", "word", "tf")
+    numbers = bags.select(F.col("first_at").alias("bag"), "first_at", "last_at")
+    close = _candidates(materialise(tf, "words"), numbers, threshold, bagged.count())
+    partners = close.join(bags.select(F.col("first_at").alias("earlier"), F.col("first").alias("_first")), "earlier").join(
+        bags.select(F.col("first_at").alias("later"), "bag"), "later").select("bag", "overlap", "_first")
+    itself = bags.filter((F.col("size") > 0) & (F.col("copies") > 1)).select("bag", F.lit(1.0).alias("overlap"), F.col("first").alias("_first"))
     best = F.min(F.struct((-F.round("overlap", 9)).alias("far"), F.col("_first"), F.col("overlap")))
     hits = (
-        bagged.select("id", "at", F.col("bag").alias("later")).join(partners, "later")
+        bagged.select("id", "at", "bag").join(partners.unionByName(itself), "bag")
         .filter(F.col("_first.at") < F.col("at")).groupBy("id").agg(best.alias("_best"))
         .select("id", F.col("_best.overlap").alias("overlap"), F.col("_best._first.id").alias("repeated"))
     )
