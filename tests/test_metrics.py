@@ -126,6 +126,26 @@ def test_running_totals_add_up_repeated_blocks(spark):
             assert r.n_total == sum(v[0] for k, v in sums.items() if k[0] == me[0])
 
 
+def test_feature_stats_ask_test_rows_too(spark):
+    """The query gives each candidate's Gini on test; a feature without one comes with the reason."""
+    import __spark_entry__ as entry
+    from colgauge.operators import ranks
+    from conftest import SMALL
+
+    got = entry.queries()["feature_stats"](spark, SMALL).collect()
+    assert len(got) == 3 and all((r.variable_gini is None) == (r.variable_gini_note is not None) for r in got)
+    assert any(r.variable_gini is not None for r in got)
+    n = 300
+    rows = spark.range(n).selectExpr(
+        "id", "CASE WHEN id < 100 THEN 'train' WHEN id < 200 THEN 'valid' ELSE 'test' END AS split", "CAST(id % 2 AS INT) AS y", "CAST(id AS DOUBLE) AS b",
+        "CAST(id % 2 AS DOUBLE) AS answer", "IF(id < 100, id % 5, 2.5D) AS ends", "IF(id < 200, id % 5, NULL) AS gone")
+    stats = {r.feature: (r.variable_gini, r.variable_gini_note) for r in ranks.feature_stats(rows, "id", ["answer", "ends", "gone"], ["b"], "y").collect()}
+    hint = "; it does vary on train, so its source may end too early"
+    assert stats == {"answer": (1.0, None), "ends": (None, "one value (2.5) on valid and test" + hint), "gone": (None, "empty on test" + hint)}
+    one_class = ranks.feature_stats(rows.withColumn("y", F.lit(0)), "id", ["answer"], ["b"], "y").first()
+    assert (one_class.variable_gini, one_class.variable_gini_note) == (None, "no signal on test")
+
+
 def test_rows_are_made_once_for_all_that_is_asked_of_them(spark):
     """Selection and a feature's statistics run what makes their rows once."""
     from colgauge.operators import ranks
