@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from colgauge.operators import metrics
+from colgauge.operators import metrics, ranks
 from colgauge.operators.clean import FeatureSet
 from colgauge.plans import models, screening, selection, validation, verdict
 
@@ -55,6 +55,25 @@ def test_together_and_results(known, run):
     assert {r.variant for r in together.collect()} == {"base", "combo__all_passing"}
 
 
+def test_results_explain_every_model(known, run):
+    """Each variant's row says where its candidates stand in its own model, and where the column nearest to its feature does."""
+    clean = known.withColumn("new_b", F.when(F.col("new_b") != -9999, F.col("new_b")))
+    out = validation.evaluation_results(run, ranks.feature_stats(clean, "id", FEATURES.new, FEATURES.base, "y"))
+    got = {r.variant: r for r in out.collect()}
+    assert set(got) == {"base_plus_new", *[f"loi__{f}" for f in FEATURES.new]}
+    of = {f.variant.name: f for f in run.fits}
+    for name, r in got.items():
+        alone = models.mean_attribution([of[name]], run.table).collect()
+        place = {a.feature: i + 1 for i, a in enumerate(sorted(alone, key=lambda a: (-a.mean_abs_attr, a.feature)))}
+        share = {a.feature: a.attr_share for a in alone}
+        new = sorted((place[f], f) for f in of[name].variant.features if f in FEATURES.new)
+        assert [(x.rank, x.feature, x.of) for x in r.new_ranks] == [(k, f, len(place)) for k, f in new]
+        assert [x.share for x in r.new_ranks] == pytest.approx([share[f] for _, f in new])
+        if r.feature:
+            assert r.nearest_rank_in_variant == place[r.max_corr_with] and r.nearest_rank_in_base is not None
+    assert got["loi__new_copy"].max_corr_with == "old_0" and got["loi__new_a"].new_ranks[0].rank == 1
+
+
 def test_together_fits_nothing_twice(known, run, monkeypatch):
     """All candidates together are the run's own model of all candidates."""
     fresh = {r.variant: r.asDict() for r in validation.evaluate_together(replace(run, fits=[]), known, "all", OPTIONS).collect()}
