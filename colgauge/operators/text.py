@@ -23,10 +23,10 @@ STOP_WORDS = (
 ).split()
 REPEAT_FROM = 0.6
 PASSAGES = 1000     # passages whose words are sent to every task at once
-BLOCK = 6_000_000   # words of a block of bags; a task holds two
+BLOCK = 4_000_000   # words of a block of bags; a task holds two
 BLOCKS = 8          # of bags, at least
 BUCKETS = 512       # of words in a bag's print
-PAIRS = 1 << 21     # that a task holds at once
+PAIRS = 1 << 20     # that a task holds at once
 SLICE = 1 << 13     # bags or pairs whose prints are unpacked at once
 SLACK = 1e-4        # of bounds, as they are taken in single precision
 
@@ -187,7 +187,7 @@ class _Block:
         square = weight * weight
         total = np.r_[0.0, np.cumsum(square)]
         left = np.maximum(0.0, total[bounds[owner + 1]] - total[1:])
-        first = np.flatnonzero(left + square >= threshold * threshold - SLACK)
+        first = np.flatnonzero(left + square >= threshold * threshold - SLACK).astype(np.int32)
         step, prints = np.zeros(n, np.float32), np.zeros((n, BUCKETS), np.uint8)
         for k in range(0, n, SLICE):
             m = min(n, k + SLICE)
@@ -195,7 +195,7 @@ class _Block:
             cells = np.bincount((owner[part] - k) * BUCKETS + word[part] % BUCKETS, square[part], (m - k) * BUCKETS).reshape(-1, BUCKETS)
             step[k:m] = np.sqrt(cells.max(1)) / 255
             prints[k:m] = np.minimum(255, np.ceil(np.sqrt(cells) / step[k:m, None]))
-        return cls(n, owner, word, weight, bounds, np.sqrt(left), first, step, prints)
+        return cls(n, owner, word, weight, bounds, np.sqrt(left).astype(np.float32), first, step, prints)
 
 
 def _met(a: _Block, b: _Block, same: bool, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -205,7 +205,7 @@ def _met(a: _Block, b: _Block, same: bool, threshold: float) -> Iterator[tuple[n
     lengths of what is left; the product of two prints is never below that of the bags.
     """
     place = b.first[np.argsort(b.word[b.first], kind="stable")]
-    words, weight, left, owner = b.word[place], b.weight[place].astype(np.float32), b.left[place].astype(np.float32), b.owner[place]
+    words, weight, left, owner = b.word[place], b.weight[place].astype(np.float32), b.left[place], b.owner[place]
     asked = a.word[a.first]
     low = np.searchsorted(words, asked)
     many = np.searchsorted(words, asked, side="right") - low
@@ -218,7 +218,7 @@ def _met(a: _Block, b: _Block, same: bool, threshold: float) -> Iterator[tuple[n
         row = np.repeat(rows, many[rows])
         to = np.arange(len(row)) + np.repeat(low[rows] - (ends[rows] - ends[edge[k]]), many[rows])
         mine = a.first[row]
-        keep = a.weight[mine].astype(np.float32) * weight[to] + a.left[mine].astype(np.float32) * left[to] >= threshold - SLACK
+        keep = a.weight[mine].astype(np.float32) * weight[to] + a.left[mine] * left[to] >= threshold - SLACK
         if same:
             keep &= a.owner[mine] < owner[to]
         pairs = np.unique(a.owner[mine[keep]].astype(np.int64) * b.n + owner[to[keep]])
@@ -268,9 +268,9 @@ def _candidates(words: DataFrame, times: DataFrame, threshold: float, n: int | N
         sides = [rows.filter(pa.array(at == k)) for k in np.unique(at)]
         found, held = [], 0
         if rows["cell"][0].as_py() % (blocks + 1) == 0 or len(sides) == 2:
+            both = pa.concat_tables(sides).drop_columns(["words"])
             a, *other = [_Block.of(side, starts, idf, threshold) for side in sides]
             b = other[0] if other else a
-            both = pa.concat_tables(sides)
             first, last = both["first_at"].to_numpy(), both["last_at"].to_numpy()
             for x, y in _met(a, b, not other, threshold):
                 if not len(x):
