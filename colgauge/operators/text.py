@@ -27,7 +27,7 @@ BLOCK = 4_000_000   # words of a block of bags; a task holds two
 BLOCKS = 8          # of bags, at least
 BUCKETS = 512       # of words in a bag's print
 PAIRS = 1 << 20     # that a task holds at once
-SLICE = 1 << 13     # bags or pairs whose prints are unpacked at once
+SLICE = 1 << 12     # bags or pairs whose prints are unpacked at once
 SLACK = 1e-4        # of bounds, as they are taken in single precision
 
 
@@ -180,22 +180,25 @@ class _Block:
         every, n = held.flatten().to_numpy(zero_copy_only=False), len(held)
         sizes = pc.list_value_length(held).to_numpy(zero_copy_only=False)
         owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
-        at = np.flatnonzero(np.r_[True, (every[1:] != every[:-1]) | (owner[1:] != owner[:-1])][: len(every)])
-        times, word, owner = np.diff(np.r_[at, len(every)]), every[at], owner[at]
-        weight = times * idf[np.searchsorted(starts, word, side="right") - 1] / rows["length"].to_numpy()[owner]
-        bounds = np.searchsorted(owner, np.arange(n + 1))
-        square = weight * weight
-        total = np.r_[0.0, np.cumsum(square)]
-        left = np.maximum(0.0, total[bounds[owner + 1]] - total[1:])
-        first = np.flatnonzero(left + square >= threshold * threshold - SLACK).astype(np.int32)
+        at = np.flatnonzero(np.r_[True, (every[1:] != every[:-1]) | (owner[1:] != owner[:-1])][: len(every)]).astype(np.int32)
+        times, word, owner = np.diff(at, append=np.int32(len(every))), every[at], owner[at]
+        bounds, length = np.searchsorted(owner, np.arange(n + 1, dtype=np.int32)), rows["length"].to_numpy()
+        weight, left, first = np.zeros(len(word)), np.zeros(len(word), np.float32), []
         step, prints = np.zeros(n, np.float32), np.zeros((n, BUCKETS), np.uint8)
-        for k in range(0, n, SLICE):
+        for k in range(0, n, SLICE):    # so that what is made on the way is small beside the block
             m = min(n, k + SLICE)
-            part = slice(bounds[k], bounds[m])
-            cells = np.bincount((owner[part] - k) * BUCKETS + word[part] % BUCKETS, square[part], (m - k) * BUCKETS).reshape(-1, BUCKETS)
+            part, begins = slice(bounds[k], bounds[m]), bounds[k: m + 1] - bounds[k]
+            mine = owner[part] - k
+            weight[part] = times[part] * idf[np.searchsorted(starts, word[part], side="right") - 1] / length[k:m][mine]
+            square = weight[part] * weight[part]
+            total = np.r_[0.0, np.cumsum(square)]
+            after = np.maximum(0.0, total[begins[1:]][mine] - total[1:])
+            left[part] = np.sqrt(after)
+            first.append((np.flatnonzero(after + square >= threshold * threshold - SLACK) + bounds[k]).astype(np.int32))
+            cells = np.bincount(mine * BUCKETS + word[part] % BUCKETS, square, (m - k) * BUCKETS).reshape(-1, BUCKETS)
             step[k:m] = np.sqrt(cells.max(1)) / 255
             prints[k:m] = np.minimum(255, np.ceil(np.sqrt(cells) / step[k:m, None]))
-        return cls(n, owner, word, weight, bounds, np.sqrt(left).astype(np.float32), first, step, prints)
+        return cls(n, owner, word, weight, bounds, left, np.concatenate(first), step, prints)
 
 
 def _met(a: _Block, b: _Block, same: bool, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
